@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cohortspark.functions import fixed
+from cohortspark.functions.text import let
 
 
 def _plane_of(values: Column) -> Column:
@@ -16,23 +17,31 @@ def _plane_of(values: Column) -> Column:
         F.abs(a[2] * b[0] - a[0] * b[2]),
         F.abs(a[0] * b[1] - a[1] * b[0]),
     )
-    largest = F.array_max(normal)
     names = F.array(F.lit("SAGITTAL"), F.lit("CORONAL"), F.lit("AXIAL"))
-    return F.when(largest < 0.8, "OBLIQUE").otherwise(names[F.array_position(normal, largest).cast("int") - 1])
+    return let(
+        normal,
+        lambda n: F.when(F.array_max(n) < 0.8, "OBLIQUE").otherwise(
+            F.get(names, F.array_position(n, F.array_max(n)).cast("int") - 1)
+        ),
+    )
 
 
 def scan_plane_from_iop(text: Column) -> Column:
     """Plane from six backslash-separated numbers; NULL where the text does not hold six numbers."""
-    numbers = F.transform(F.split(text, r"\\"), lambda v: v.try_cast("double"))
-    good = (F.size(numbers) == 6) & ~F.exists(numbers, lambda v: v.isNull())
-    return F.when(good, _plane_of(numbers))
+    return let(
+        F.transform(F.split(text, r"\\"), lambda v: v.try_cast("double")),
+        lambda n: F.when((F.size(n) == 6) & ~F.exists(n, lambda v: v.isNull()), _plane_of(n)),
+    )
 
 
 def scan_plane_from_text(description: Column) -> Column:
-    plane = F.when(F.lit(False), F.lit(None))
-    for word, name in fixed.PLANE_WORDS:
-        plane = plane.when(F.upper(description).contains(word), name)
-    return plane.otherwise("AXIAL")
+    def first_word(text):
+        plane = F.when(F.lit(False), F.lit(None))
+        for word, name in fixed.PLANE_WORDS:
+            plane = plane.when(text.contains(word), name)
+        return plane.otherwise("AXIAL")
+
+    return let(F.upper(description), first_word)
 
 
 def detect_scan_plane(orientation: Column, description: Column) -> Column:

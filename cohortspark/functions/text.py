@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from cohortspark.functions import fixed
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim all white space, not blanks only."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -27,11 +32,11 @@ def get_tag(tags: Column, key: str, default: str = "") -> Column:
 
 
 def clean_cell(c: Column) -> Column:
-    text = strip(c.cast("string"))
-    return (
-        F.when(text.isNull() | F.lower(text).isin("nan", "none"), "")
+    return let(
+        strip(c.cast("string")),
+        lambda text: F.when(text.isNull() | F.lower(text).isin("nan", "none"), "")
         .when(text.rlike(r"(?U)^\d+\.0$"), F.regexp_replace(text, r"\.0$", ""))
-        .otherwise(text)
+        .otherwise(text),
     )
 
 
@@ -47,14 +52,13 @@ def is_valid_pid(c: Column) -> Column:
 
 
 def normalize_patient_key(raw: Column) -> Column:
-    text = clean_cell(raw)
-    ident = sanitize_id(text)
-    token = F.regexp_replace(F.regexp_extract(ident, r"(?i)^anonym[-_]?(.+)$", 1), r"^[-_]+", "")
-    return (
-        F.when(text == "", "")
-        .when(ident.rlike(r"(?i)^anonym[-_]?."), F.concat(F.lit("ANONYM-"), F.upper(token)))
-        .otherwise(F.upper(ident))
-    )
+    def key_of(ident):
+        token = F.regexp_replace(F.regexp_extract(ident, r"(?i)^anonym[-_]?(.+)$", 1), r"^[-_]+", "")
+        return F.when(ident.rlike(r"(?i)^anonym[-_]?."), F.concat(F.lit("ANONYM-"), F.upper(token))).otherwise(
+            F.upper(ident)
+        )
+
+    return let(clean_cell(raw), lambda text: F.when(text == "", "").otherwise(let(sanitize_id(text), key_of)))
 
 
 _PATH_IDS = [
@@ -138,21 +142,24 @@ def _any_word(words: list[str]) -> str:
 
 def classify_phase_text(c: Column) -> Column:
     """``nc``, ``art``, ``ven``, ``delay``, ``excluded`` or ``undefined``; the order of the rules matters."""
-    text = norm_text(c)
-    seconds = blank_to_null(F.regexp_extract(text, r"(?U)\b(\d{2,3})\s*sec\b", 1)).try_cast("int")
-    minutes = blank_to_null(F.regexp_extract(text, r"(?U)\b(\d{1,2})\s*min\b", 1)).try_cast("int")
-    return (
-        F.when(text.rlike(_any_word(fixed.EXCLUDED_WORDS)), "excluded")
-        .when(text.rlike(_any_word(fixed.NATIVE_WORDS)), "nc")
-        .when(text.rlike(_any_word(fixed.ARTERIAL_WORDS)), "art")
-        .when(text.rlike(_any_word(fixed.DELAYED_WORDS)), "delay")
-        .when(text.rlike(_any_word(fixed.VENOUS_WORDS)), "ven")
-        .when(seconds.between(15, 40), "art")
-        .when(seconds.between(55, 120), "ven")
-        .when(seconds >= 150, "delay")
-        .when(minutes >= 3, "delay")
-        .otherwise("undefined")
-    )
+
+    def rules(text):
+        seconds = blank_to_null(F.regexp_extract(text, r"(?U)\b(\d{2,3})\s*sec\b", 1)).try_cast("int")
+        minutes = blank_to_null(F.regexp_extract(text, r"(?U)\b(\d{1,2})\s*min\b", 1)).try_cast("int")
+        return (
+            F.when(text.rlike(_any_word(fixed.EXCLUDED_WORDS)), "excluded")
+            .when(text.rlike(_any_word(fixed.NATIVE_WORDS)), "nc")
+            .when(text.rlike(_any_word(fixed.ARTERIAL_WORDS)), "art")
+            .when(text.rlike(_any_word(fixed.DELAYED_WORDS)), "delay")
+            .when(text.rlike(_any_word(fixed.VENOUS_WORDS)), "ven")
+            .when(seconds.between(15, 40), "art")
+            .when(seconds.between(55, 120), "ven")
+            .when(seconds >= 150, "delay")
+            .when(minutes >= 3, "delay")
+            .otherwise("undefined")
+        )
+
+    return let(norm_text(c), rules)
 
 
 def _phase(phase: Column | str, source: str) -> Column:
@@ -165,13 +172,14 @@ def detect_protocol(tags: Column, path: Column) -> Column:
     text = F.concat_ws(
         " ", *[get_tag(tags, t) for t in (fixed.TAG_DESCRIPTION, fixed.TAG_PROTOCOL_NAME, fixed.TAG_SEQUENCE_NAME)]
     )
-    meta, name = classify_phase_text(text), classify_phase_text(path)
-    return (
-        F.when(meta.isin(fixed.PHASES), _phase(meta, "metadata"))
-        .when(meta == "excluded", _phase("undefined", "metadata"))
-        .when(name.isin(fixed.PHASES), _phase(name, "filename"))
-        .when(name == "excluded", _phase("undefined", "filename"))
-        .otherwise(_phase("undefined", "undefined"))
+    found = F.struct(classify_phase_text(text).alias("meta"), classify_phase_text(path).alias("name"))
+    return let(
+        found,
+        lambda f: F.when(f["meta"].isin(fixed.PHASES), _phase(f["meta"], "metadata"))
+        .when(f["meta"] == "excluded", _phase("undefined", "metadata"))
+        .when(f["name"].isin(fixed.PHASES), _phase(f["name"], "filename"))
+        .when(f["name"] == "excluded", _phase("undefined", "filename"))
+        .otherwise(_phase("undefined", "undefined")),
     )
 
 
@@ -183,17 +191,19 @@ def header_value(meta: Column, key: str, default: Column | None = None) -> Colum
 
 def detect_phase_embedded(meta: Column, filename: Column) -> Column:
     """``struct(phase, source)`` from the embedded phase, the texts, the file name; excluded text does not end it."""
-    embedded = F.lower(header_value(meta, "DetectedProtocol"))
-    text = classify_phase_text(
-        F.concat_ws(" ", header_value(meta, "SeriesDescription"), header_value(meta, "ProtocolName"))
+    text = F.concat_ws(" ", header_value(meta, "SeriesDescription"), header_value(meta, "ProtocolName"))
+    found = F.struct(
+        F.lower(header_value(meta, "DetectedProtocol")).alias("embedded"),
+        classify_phase_text(text).alias("text"),
+        classify_phase_text(filename).alias("name"),
     )
-    name = classify_phase_text(filename)
-    return (
-        F.when(embedded == "undefined", _phase("undefined", "undefined"))
-        .when(embedded.isin(fixed.PHASES), _phase(embedded, "metadata"))
-        .when(text.isin(fixed.PHASES), _phase(text, "metadata"))
-        .when(name.isin(fixed.PHASES), _phase(name, "filename"))
-        .otherwise(_phase("undefined", "undefined"))
+    return let(
+        found,
+        lambda f: F.when(f["embedded"] == "undefined", _phase("undefined", "undefined"))
+        .when(f["embedded"].isin(fixed.PHASES), _phase(f["embedded"], "metadata"))
+        .when(f["text"].isin(fixed.PHASES), _phase(f["text"], "metadata"))
+        .when(f["name"].isin(fixed.PHASES), _phase(f["name"], "filename"))
+        .otherwise(_phase("undefined", "undefined")),
     )
 
 
@@ -229,7 +239,7 @@ def age_at_scan(birth: Column, scan: Column) -> Column:
 
 def normalize_class(c: Column) -> Column:
     label = F.regexp_replace(F.upper(strip(c)), r"\+", "")
-    return F.when(label.isin(fixed.CLASS_LABELS), label).otherwise("NG")
+    return let(label, lambda v: F.when(v.isin(fixed.CLASS_LABELS), v).otherwise("NG"))
 
 
 def _lookup(mapping: dict, c: Column) -> Column:

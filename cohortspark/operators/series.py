@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions import fixed, geometry, text
 from cohortspark.scale import first_per_key, numbered
+from cohortspark.session import cut_lineage
 
 MANIFEST_COLUMNS = [
     "filename", "patient_id", "case_id", "group", "phase", "phase_source", "scan_idx", "modality", "scan_plane",
@@ -255,11 +256,16 @@ def case_id_collisions(patients: DataFrame) -> DataFrame:
     return patients.groupBy("case_id").agg(F.count("*").alias("n_patients")).where("n_patients > 1")
 
 
-def series_numbers(series: DataFrame) -> DataFrame:
-    """Scan index per patient, counter per case, and the file name made of it."""
-    indexed = numbered(series, ["patient_id"], [F.col("series_ord")], "scan_idx", start=0)
+def series_numbers(series: DataFrame, largest_case: int | None = None) -> DataFrame:
+    """Scan index per patient, counter per case, and the file name made of it.
+
+    A patient lies in one case, so ``largest_case`` (rows) bounds both groups.
+    """
     order = [F.col("first_seen"), F.col("series_ord")]
-    counted = numbered(indexed, ["case_id"], order, "case_no", start=0)
+    counted = numbered(series, ["case_id"], order, "case_no", start=0, group_rows=largest_case)
+    counted = numbered(
+        counted, ["case_id", "patient_id"], [F.col("series_ord")], "scan_idx", start=0, group_rows=largest_case
+    )
     name = F.format_string("%02d_%s_0000.nii.gz", F.col("case_no"), F.col("case_id"))
     return counted.withColumn("filename", name)
 
@@ -273,13 +279,19 @@ def build_manifest(
 ) -> DataFrame:
     """Kept series (see ``describe_series``) to manifest rows.
 
-    Labels and case ids are worked out once per patient and joined back once.
+    Labels and case ids are worked out once per patient, on a table that is cut off from the series, and joined
+    back once.
     """
-    patients = kept.groupBy("patient_id").agg(F.min("series_ord").alias("first_seen"))
+    patients = cut_lineage(
+        kept.groupBy("patient_id").agg(F.min("series_ord").alias("first_seen"), F.count("*").alias("n_series"))
+    )
     mapped = class_labels.select("patient_id", F.col("case_id").alias("mapped_case"))
     patients = lookup_group(patients, class_labels).join(mapped, "patient_id", "left")
-    patients = assign_case_ids(attach_alias_labels(patients, aliases), start_case_id).drop("mapped_case")
-    rows = series_numbers(kept.join(patients, "patient_id"))
+    patients = cut_lineage(
+        assign_case_ids(attach_alias_labels(patients, aliases), start_case_id).drop("mapped_case")
+    )
+    largest_case = patients.groupBy("case_id").agg(F.sum("n_series").alias("n")).agg(F.max("n")).first()[0] or 0
+    rows = series_numbers(kept.join(patients, "patient_id"), largest_case)
     protocol = text.detect_protocol(F.col("tags"), F.col("directory"))
     columns = {**select_metadata(F.col("tags")), "modality": F.col("modality")}
     columns |= {

@@ -34,15 +34,19 @@ def running(
     scans: Mapping[str, tuple[str, Column]],
     *,
     max_group_rows: int = MAX_GROUP_ROWS,
+    group_rows: int | None = None,
     inclusive: bool = True,
 ) -> DataFrame:
     """Add running aggregates per ``keys`` in ``order``.
 
     ``scans`` maps an output column to ``(function, value)`` with function ``sum``, ``min`` or ``max``.
     ``order`` must be total within a key.  With ``inclusive=False`` the current row is left out.
+    A caller that knows the size of the largest group passes it as ``group_rows`` and saves the count.
     """
     upper = Window.currentRow if inclusive else -1
-    if largest_group(df, keys) <= max_group_rows:
+    if group_rows is None:
+        group_rows = largest_group(df, keys)
+    if group_rows <= max_group_rows:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, upper)
         return df.select("*", *[_SCANS[fn](value).over(window).alias(name) for name, (fn, value) in scans.items()])
     return _running_ranged(df, keys, order, scans, upper)
@@ -95,9 +99,17 @@ def numbered(
     *,
     start: int = 1,
     max_group_rows: int = MAX_GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Row numbers from ``start`` per ``keys`` in ``order``; with no keys, over the whole table."""
-    counted = running(df, keys, order, {"_rn": ("sum", F.lit(1))}, max_group_rows=max_group_rows)
+    if group_rows is None:
+        group_rows = largest_group(df, keys)
+    if group_rows <= max_group_rows:
+        position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn(name, (position + F.lit(start - 1)).cast("bigint"))
+    counted = running(
+        df, keys, order, {"_rn": ("sum", F.lit(1))}, max_group_rows=max_group_rows, group_rows=group_rows
+    )
     return counted.withColumn(name, (F.col("_rn") + F.lit(start - 1)).cast("bigint")).drop("_rn")
 
 
