@@ -462,16 +462,16 @@ def load_alias_labels(spark, sf):
 
 
 _ALIAS_PATIENTS = """
-alias_patients as (select concat('ANONYM-X', cast(c_custkey % 12 as varchar)) as patient_id, c_custkey as k from customer
-  union all select cast(c_custkey as varchar), c_custkey from customer)
+alias_patients as (select concat('ANONYM-X', cast(c_custkey % 5 as varchar)) as patient_id, c_custkey as k from customer
+  union all select cast(c_custkey * 3 as varchar), c_custkey from customer)
 """
 
 
 def alias_patients(spark: SparkSession, sf: str) -> DataFrame:
     """Patient ids that partly match the alias labels."""
     rows = table(spark, sf, "customer")
-    named = rows.select(F.concat(F.lit("ANONYM-X"), (F.col("c_custkey") % 12).cast("string")).alias("patient_id"), F.col("c_custkey").alias("k"))
-    return named.union(rows.select(F.col("c_custkey").cast("string"), "c_custkey"))
+    named = rows.select(F.concat(F.lit("ANONYM-X"), (F.col("c_custkey") % 5).cast("string")).alias("patient_id"), F.col("c_custkey").alias("k"))
+    return named.union(rows.select((F.col("c_custkey") * 3).cast("string"), "c_custkey"))
 
 
 _ATTACHED = f"""

@@ -155,8 +155,9 @@ def with_tables(body: str, *names: str) -> str:
     """``body`` preceded by the named derived tables."""
     parts = [f"{n} as ({check_sql(n)}\n)" for n in names]
     body = body.strip()
-    if body.lower().startswith("with "):
-        return "with " + ",\n".join(parts) + ",\n" + body[5:]
+    for head in ("with recursive ", "with "):
+        if body.lower().startswith(head):
+            return head + ",\n".join(parts) + ",\n" + body[len(head):]
     return "with " + ",\n".join(parts) + "\n" + body
 
 
