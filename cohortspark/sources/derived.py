@@ -92,6 +92,15 @@ select cast(p_partkey % 5 as int) as fold, concat('run', cast(p_partkey as strin
   p_size % 3 <> 0 as has_config,
   case p_size % 4 when 0 then 'checkpoint_best.pth' when 1 then 'checkpoints/checkpoint_best.pth' when 2 then 'checkpoints/best_vae.pth' else 'other.pth' end as artifact
 from {part}""",
+    # a manifest with repeated file names and blank groups
+    "study_manifest": """
+select o_orderkey as ord, concat(lpad(cast(o_orderkey % 4 as string), 2, '0'), '_case_', lpad(cast(o_custkey as string), 5, '0'), '_0000.nii.gz') as filename,
+  concat('TCGA-', cast(o_custkey as string)) as patient_id, concat('case_', lpad(cast(o_custkey as string), 5, '0')) as case_id,
+  case o_orderkey % 7 when 0 then 'A' when 1 then 'B' when 2 then '' else 'NG' end as grp,
+  case o_orderkey % 5 when 0 then 'NC' when 1 then 'art' when 2 then 'ven' when 3 then 'delay' else 'undefined' end as phase,
+  concat('M', cast(o_orderkey % 3 as string)) as manufacturer, concat('X', cast(o_orderkey % 5 as string)) as manufacturer_model,
+  o_orderpriority as institution, 'metadata' as protocol_source
+from {orders}""",
     # outcome of VOI processing, one row per case and side
     "side_results": """
 select o_orderkey as ord, concat(lpad(cast(o_orderkey % 100 as string), 2, '0'), '_case_', lpad(cast(o_custkey as string), 5, '0'), '_', cast(o_orderkey as string)) as case_name,
@@ -99,7 +108,7 @@ select o_orderkey as ord, concat(lpad(cast(o_orderkey % 100 as string), 2, '0'),
   case o_custkey % 6 when 0 then 'A' when 1 then 'B' when 2 then 'AB' when 3 then 'D' when 4 then '' else 'NG' end as grp,
   case o_orderkey % 5 when 0 then 'nc' when 1 then 'art' when 2 then 'ven' when 3 then 'delay' else '' end as phase,
   case when o_orderkey % 2 = 0 then 'L' else 'R' end as side,
-  case when o_orderkey % 11 = 0 then 'error' when o_orderkey % 7 = 0 then 'skipped' else 'ok' end as status,
+  case when o_orderkey % 22 = 0 then 'failed' when o_orderkey % 11 = 0 then 'error' when o_orderkey % 7 = 0 then 'skipped' else 'ok' end as status,
   case when o_orderkey % 11 = 0 then 'cannot read' when o_orderkey % 7 = 0 then 'Empty save_mask (no target labels)' else '' end as reason,
   o_orderkey % 3 = 0 as has_tumor
 from {orders}""",
