@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortspark.plans import cohort_queries, series_queries, voxel_queries  # noqa: F401
+from cohortspark.plans import cohort_queries, evaluation_queries, series_queries, voxel_queries  # noqa: F401
 from cohortspark.plans.registry import REGISTRY, Query
 
 
