@@ -59,10 +59,10 @@ def component_runs(voxels: DataFrame, keys: Sequence[str] = ("voi_id",), conn: i
     runs = cut_lineage(runs_of(voxels, keys))
     edges = cut_lineage(_run_edges(runs, keys, conn))
     moves: list[DataFrame] = []
+    # Each round keeps its edges only; its moves follow from them and are worked out again when put together.
     while not edges.isEmpty():
-        move = cut_lineage(_lowest_neighbour(edges, keys, len(moves)))
-        edges = cut_lineage(_contract(edges, move, keys))
-        moves.append(move)
+        moves.append(_lowest_neighbour(edges, keys, len(moves)))
+        edges = cut_lineage(_contract(edges, moves[-1], keys))
     rooted = runs
     if moves:
         # put the rounds together from the last, smallest one back to the first

@@ -98,7 +98,8 @@ def stratified_kfold(train: DataFrame, n_folds: int = 5, seed: int = 42, order:
 
 def build_splits(patients: DataFrame, n_folds: int = 5, test_ratio: float = 0.1, seed: int = 42) -> DataFrame:
     """``fold, split, patient_id``: train and val per fold, and test with fold NULL."""
-    held = cut_lineage(holdout_split(patients, test_ratio, seed).select("patient_id", "class", "first_path", "is_test"))
+    known = cut_lineage(patients.select("patient_id", "class", "first_path"))
+    held = cut_lineage(holdout_split(known, test_ratio, seed))
     folds = stratified_kfold(held.where("not is_test"), n_folds, seed)
     runs = folds.withColumn("_f", F.explode(F.array(*[F.lit(i) for i in range(n_folds)]))).select(
         F.col("_f").alias("fold"), F.when(F.col("_f") == F.col("fold"), "val").otherwise("train").alias("split"), "patient_id"

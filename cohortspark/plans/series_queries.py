@@ -264,13 +264,12 @@ def voi_names(spark, sf):
 from (select doc_id, {ck.norm('text')} as t from documents)""",
 )
 def document_phase_text(spark, sf):
-    docs = table(spark, sf, "documents")
-    t = text.norm_text(F.col("text"))
+    docs = table(spark, sf, "documents").select("doc_id", text.norm_text(F.col("text")).alias("t"))
     return docs.select(
         "doc_id",
-        F.length(t).alias("norm_chars"),
-        F.md5(t.cast("binary")).alias("norm_md5"),
-        text.classify_phase_text(F.col("text")).alias("phase"),
+        F.length("t").alias("norm_chars"),
+        F.md5(F.col("t").cast("binary")).alias("norm_md5"),
+        text.classify_normed(F.col("t")).alias("phase"),
     )
 
 
