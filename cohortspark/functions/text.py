@@ -22,10 +22,13 @@ def let(value: Column, body) -> Column:
 SPACE = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
 WORD = r"[\p{L}\p{N}_]"
 
+# All white-space characters.
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 
 def strip(c: Column) -> Column:
-    """Trim all white space, not blanks only."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    """Trim all white space, not blanks only; looks at the ends of the text only."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def blank_to_null(c: Column) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.scale import numbered
+from cohortspark.scale import MAX_GROUP_ROWS, numbered
 from cohortspark.session import cut_lineage
 
 # Half of the neighbouring (dy, dz) lines; the other half is covered by symmetry.
@@ -59,10 +59,13 @@ def component_runs(voxels: DataFrame, keys: Sequence[str] = ("voi_id",), conn: i
     runs = cut_lineage(runs_of(voxels, keys))
     edges = cut_lineage(_run_edges(runs, keys, conn))
     moves: list[DataFrame] = []
-    # Each round keeps its edges only; its moves follow from them and are worked out again when put together.
+    # Two rounds per step.  A step keeps its edges only; the moves follow from them and are worked out again when
+    # they are put together.
     while not edges.isEmpty():
-        moves.append(_lowest_neighbour(edges, keys, len(moves)))
-        edges = cut_lineage(_contract(edges, moves[-1], keys))
+        for _ in range(2):
+            moves.append(_lowest_neighbour(edges, keys, len(moves)))
+            edges = _contract(edges, moves[-1], keys)
+        edges = cut_lineage(edges)
     rooted = runs
     if moves:
         # put the rounds together from the last, smallest one back to the first
@@ -129,7 +132,9 @@ def component_table(
         F.max("z").alias("max_z"),
         F.min(F.struct(*[axis[a].alias(a) for a in order])).alias("first_voxel"),
     )
-    return numbered(found, keys, [F.col("first_voxel")], "component")
+    total = runs.count()
+    bound = total if total <= MAX_GROUP_ROWS else None  # the whole table bounds its largest group
+    return numbered(found, keys, [F.col("first_voxel")], "component", group_rows=bound)
 
 
 def connected_components(

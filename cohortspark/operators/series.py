@@ -238,16 +238,16 @@ def unmatched_labels(labels: DataFrame, aliases: DataFrame, manifest: DataFrame,
 # ---- numbering -------------------------------------------------------------------------------------------
 
 
-def assign_case_ids(patients: DataFrame, start: int = 1) -> DataFrame:
+def assign_case_ids(patients: DataFrame, start: int = 1, n_patients: int | None = None) -> DataFrame:
     """Patients (``patient_id, first_seen, mapped_case``) with a case id.
 
-    Mapped patients keep theirs, the others are numbered in first-seen order.
+    Mapped patients keep theirs, the others are numbered in first-seen order.  ``n_patients`` saves a count.
     """
     mapped = patients.where(F.col("mapped_case").isNotNull()).withColumn(
         "case_id", text.normalize_case_id(F.col("mapped_case"))
     )
     others = numbered(
-        patients.where(F.col("mapped_case").isNull()), [], [F.col("first_seen")], "_no", start=start
+        patients.where(F.col("mapped_case").isNull()), [], [F.col("first_seen")], "_no", start=start, group_rows=n_patients
     ).withColumn("case_id", text.case_id(F.col("_no")))
     return mapped.unionByName(others.drop("_no"))
 
@@ -279,16 +279,18 @@ def build_manifest(
 ) -> DataFrame:
     """Kept series (see ``describe_series``) to manifest rows.
 
-    Labels and case ids are worked out once per patient, on a table that is cut off from the series, and joined
-    back once.
+    The kept series are used twice, so they are stored once and the slices are not counted again.  Labels and case
+    ids are worked out once per patient, on a small table of its own, and joined back once.
     """
+    kept = cut_lineage(kept)
     patients = cut_lineage(
         kept.groupBy("patient_id").agg(F.min("series_ord").alias("first_seen"), F.count("*").alias("n_series"))
     )
+    n_patients = patients.count()
     mapped = class_labels.select("patient_id", F.col("case_id").alias("mapped_case"))
     patients = lookup_group(patients, class_labels).join(mapped, "patient_id", "left")
     patients = cut_lineage(
-        assign_case_ids(attach_alias_labels(patients, aliases), start_case_id).drop("mapped_case")
+        assign_case_ids(attach_alias_labels(patients, aliases), start_case_id, n_patients).drop("mapped_case")
     )
     largest_case = patients.groupBy("case_id").agg(F.sum("n_series").alias("n")).agg(F.max("n")).first()[0] or 0
     rows = series_numbers(kept.join(patients, "patient_id"), largest_case)

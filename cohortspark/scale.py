@@ -176,6 +176,15 @@ def _ranked_percentiles(folded, by, percents):
     return flat.select(*by, F.array(*points).alias("_q"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all tasks where the input has fewer splits than the session has task slots.
+
+    A large input has more splits than slots and is left as it is.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     """The row with the highest ``order`` per key; an aggregate, so hot keys are combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortspark.scale import spread
+
 SHARED = {
     "series": """
 select o_orderkey as series_ord,
@@ -143,12 +145,18 @@ TABLES = [
 ]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+# Tables whose rows cost much to work on; a file of one row group would otherwise be one task.
+_HEAVY = {"documents", "series", "image_headers", "voxels"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
     """A base table or a derived one."""
+    heavy = heavy or name in _HEAVY
     if name in TABLES:
-        return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+        rows = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+        return spread(rows) if heavy else rows
     text = SHARED[name] if name in SHARED else _BOTH[name][0]
-    inputs = {ref: table(spark, sf_dir, ref) for ref in set(re.findall(r"\{(\w+)\}", text))}
+    inputs = {ref: table(spark, sf_dir, ref, heavy) for ref in set(re.findall(r"\{(\w+)\}", text))}
     return spark.sql(text, **inputs)
 
 
