@@ -1,21 +1,26 @@
 """Connected components of voxel sets, for many volumes at once.
 
-Voxels are folded to runs along x, neighbouring runs become edges, and the run graph is contracted: every node
-moves to the neighbour that a per-round hash ranks lowest, which at least halves the graph about every other
-round whatever its shape (local contraction, Lacki, Mirrokni and Wlodarczyk 2018).  Joins are on
-(volume, node), so one large volume is spread over all tasks.
+Voxels are folded to runs along x and neighbouring runs become edges.  Volumes are dealt to batches; where every batch has a
+bounded number of edges (checked), a batch is solved in one call.  Otherwise the run graph is contracted over all
+tasks: every node moves to the neighbour that a per-round hash ranks lowest, which about halves the graph in each
+round whatever its shape (local contraction, Lacki, Mirrokni and Wlodarczyk 2018).  Joins are then on
+(volume, node), so one large volume is spread out too.  Both ways are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.scale import MAX_GROUP_ROWS, numbered
+from cohortspark.scale import MAX_GROUP_ROWS, largest_group, numbered
 from cohortspark.session import cut_lineage
 
+BATCH_EDGES = 200_000
+
 # Half of the neighbouring (dy, dz) lines; the other half is covered by symmetry.
 _LINES = {26: ((1, 0), (-1, 1), (0, 1), (1, 1)), 6: ((1, 0), (0, 1))}
 
@@ -53,35 +58,71 @@ def _run_edges(runs: DataFrame, keys: Sequence[str], conn: int) -> DataFrame:
     return left.join(right, [*keys, "y", "z"]).where(touch).select(*keys, "u", "v")
 
 
-def component_runs(voxels: DataFrame, keys: Sequence[str] = ("voi_id",), conn: int = 26) -> DataFrame:
+def component_runs(
+    voxels: DataFrame, keys: Sequence[str] = ("voi_id",), conn: int = 26, max_group_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
     """Runs with the ``root`` node of their component."""
     keys = list(keys)
     runs = cut_lineage(runs_of(voxels, keys))
     edges = cut_lineage(_run_edges(runs, keys, conn))
+    total = edges.count()
+    slots = edges.sparkSession.sparkContext.defaultParallelism
+    batches = max(slots, total // BATCH_EDGES + 1)
+    batched = edges.withColumn("_batch", F.pmod(F.xxhash64(*keys), F.lit(batches)))
+    if largest_group(batched, ["_batch"]) <= max_group_rows:
+        targets = _solve_batches(batched, keys)
+    else:
+        targets = _contract_all(edges, keys)
+    rooted = runs.join(targets.withColumnRenamed("u", "node"), [*keys, "node"], "left")
+    return cut_lineage(rooted.withColumn("root", F.coalesce("to", "node")).drop("to"))
+
+
+def _solve_batches(batched: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, u, to``: the lowest node of each component, one batch of whole volumes at a time."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        volume = pdf.groupby(keys, sort=False).ngroup().to_numpy()
+        names, codes = np.unique(np.concatenate([pdf["u"], pdf["v"]]), return_inverse=True)
+        # a node is a (volume, position) pair; pairs are numbered in that order
+        pairs = np.concatenate([volume, volume]) * len(names) + codes
+        nodes, first, ends = np.unique(pairs, return_index=True, return_inverse=True)
+        u, v = ends[: len(pdf)], ends[len(pdf) :]
+        low = np.arange(len(nodes))
+        while True:
+            before = low.copy()
+            shared = np.minimum(low[u], low[v])
+            np.minimum.at(low, u, shared)
+            np.minimum.at(low, v, shared)
+            low = low[low]
+            if np.array_equal(low, before):
+                break
+        position = names[nodes % len(names)]
+        out = pdf[keys].iloc[first % len(pdf)].reset_index(drop=True)
+        return out.assign(u=position, to=position[low])
+
+    schema = batched.select(*keys, "u", F.col("u").alias("to")).schema
+    return batched.groupBy("_batch").applyInPandas(solve, schema)
+
+
+def _contract_all(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, u, to``: one node per component for every node with an edge, by rounds over all tasks."""
     moves: list[DataFrame] = []
-    # Two rounds per step.  A step keeps its edges only; the moves follow from them and are worked out again when
-    # they are put together.
+    # Each round keeps its edges only; its moves follow from them and are worked out again when put together.
     while not edges.isEmpty():
-        for _ in range(2):
-            moves.append(_lowest_neighbour(edges, keys, len(moves)))
-            edges = _contract(edges, moves[-1], keys)
-        edges = cut_lineage(edges)
-    rooted = runs
-    if moves:
-        # put the rounds together from the last, smallest one back to the first
-        target = moves.pop()
-        while moves:
-            onward = target.select(*keys, F.col("u").alias("to"), F.col("to").alias("_final"))
-            target = (
-                moves.pop()
-                .join(onward, [*keys, "to"], "left")
-                .select(*keys, "u", F.coalesce("_final", "to").alias("to"))
-            )
-        rooted = runs.join(target.withColumnRenamed("u", "node"), [*keys, "node"], "left")
-        rooted = rooted.withColumn("root", F.coalesce("to", "node")).drop("to")
-    else:
-        rooted = runs.withColumn("root", F.col("node"))
-    return cut_lineage(rooted)
+        moves.append(_lowest_neighbour(edges, keys, len(moves)))
+        edges = cut_lineage(_contract(edges, moves[-1], keys))
+    if not moves:
+        return edges.select(*keys, "u", F.col("v").alias("to"))
+    # from the last, smallest round back to the first
+    target = moves.pop()
+    while moves:
+        onward = target.select(*keys, F.col("u").alias("to"), F.col("to").alias("_final"))
+        target = (
+            moves.pop()
+            .join(onward, [*keys, "to"], "left")
+            .select(*keys, "u", F.coalesce("_final", "to").alias("to"))
+        )
+    return target
 
 
 def _lowest_neighbour(edges: DataFrame, keys: list[str], round_no: int) -> DataFrame:
