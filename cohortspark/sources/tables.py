@@ -53,7 +53,7 @@ def write_manifest(manifest: DataFrame, path: str, fmt: str = "parquet", partiti
     if partition:
         writer = writer.partitionBy("group", "phase")
     if fmt == "csv":
-        writer.csv(path, header=True, nullValue="nan", emptyValue="")
+        writer.csv(path, header=True, nullValue="nan")
     else:
         writer.parquet(path)
     return True
@@ -61,7 +61,7 @@ def write_manifest(manifest: DataFrame, path: str, fmt: str = "parquet", partiti
 
 def read_manifest(spark: SparkSession, path: str, columns: Sequence[str], fmt: str = "parquet") -> DataFrame:
     if fmt == "csv":
-        return spark.read.schema(manifest_schema(columns)).csv(path, header=True, nullValue="nan", emptyValue="")
+        return spark.read.schema(manifest_schema(columns)).csv(path, header=True, nullValue="nan")
     return spark.read.parquet(path)
 
 
