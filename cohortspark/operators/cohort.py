@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions import text
-from cohortspark.scale import last_per_key, numbered
+from cohortspark.scale import last_per_key, numbered, spread_join
 
 
 def _without_suffix(name: Column) -> Column:
@@ -80,7 +80,7 @@ def scan_patients(files: DataFrame, folder: str = "images") -> DataFrame:
 
 def gather_files(ids: DataFrame, files: DataFrame) -> DataFrame:
     """Files of the listed patients (``patient_id`` and further columns)."""
-    return ids.join(files.select("patient_id", "path"), "patient_id")
+    return spread_join(files.select("patient_id", "path"), ids, "patient_id", ["path"])
 
 
 def discover_review_cases(files: DataFrame, phase: str = "ALL") -> DataFrame:

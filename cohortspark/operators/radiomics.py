@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions import fixed
 from cohortspark.functions.text import let
 from cohortspark.operators.components import component_runs
-from cohortspark.scale import exact_percentiles, running
+from cohortspark.scale import exact_percentiles, running, spread_join
 
 AXES = ("x", "y", "z")
 RANGE = (-150.0, 250.0)
@@ -150,7 +150,7 @@ def discretize(roi: DataFrame, bin_width: float = BIN_WIDTH) -> DataFrame:
     """``level`` from 1 by fixed bin width, counted from the bin of the smallest value of the volume."""
     lowest = roi.groupBy("voi_id").agg(F.floor(F.min("hu") / bin_width).alias("_low"))
     level = (F.floor(F.col("hu") / bin_width) - F.col("_low") + 1).cast("int")
-    return roi.join(lowest, "voi_id").withColumn("level", level).drop("_low")
+    return spread_join(roi, lowest, "voi_id", AXES).withColumn("level", level).drop("_low")
 
 
 def firstorder_features(roi: DataFrame, volumes: DataFrame, bin_width: float = BIN_WIDTH) -> DataFrame:
@@ -169,7 +169,7 @@ def firstorder_features(roi: DataFrame, volumes: DataFrame, bin_width: float = B
         roi, ["voi_id"], {"v": x}, {"p10": 10.0, "p25": 25.0, "median": 50.0, "p75": 75.0, "p90": 90.0}
     )
     spread = (
-        roi.join(base.select("voi_id", F.col("mean").alias("_m")), "voi_id")
+        spread_join(roi, base.select("voi_id", F.col("mean").alias("_m")), "voi_id", AXES)
         .groupBy("voi_id")
         .agg(F.avg(F.abs(x - F.col("_m"))).alias("mad"))
     )

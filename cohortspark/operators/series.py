@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions import fixed, geometry, text
-from cohortspark.scale import first_per_key, numbered
+from cohortspark.scale import first_per_key, numbered, spread_join
 from cohortspark.session import cut_lineage
 
 MANIFEST_COLUMNS = [
@@ -45,17 +45,12 @@ def leaf_dirs(files: DataFrame, path: str = "path") -> DataFrame:
     return with_files.join(ancestors, "directory", "left_anti")
 
 
-def discover_series(slices: DataFrame, with_files: bool = False) -> DataFrame:
-    """Slices folded to series: number of slices and first file.
-
-    ``with_files`` adds the sorted file list; leave it out where a series may be unbounded and use
-    ``series_files`` instead.
-    """
+def discover_series(slices: DataFrame) -> DataFrame:
+    """Slices folded to series: number of slices and first file; the file list is ``series_files``."""
     found = slices.withColumn("directory", parent_dir(F.col("file")))
-    aggs = [F.count("*").alias("num_slices"), F.min("file").alias("first_file")]
-    if with_files:
-        aggs.append(F.sort_array(F.collect_list("file")).alias("files"))
-    return found.groupBy("directory", "series_uid").agg(*aggs)
+    return found.groupBy("directory", "series_uid").agg(
+        F.count("*").alias("num_slices"), F.min("file").alias("first_file")
+    )
 
 
 def series_files(slices: DataFrame) -> DataFrame:
@@ -293,7 +288,7 @@ def build_manifest(
         assign_case_ids(attach_alias_labels(patients, aliases), start_case_id, n_patients).drop("mapped_case")
     )
     largest_case = patients.groupBy("case_id").agg(F.sum("n_series").alias("n")).agg(F.max("n")).first()[0] or 0
-    rows = series_numbers(kept.join(patients, "patient_id"), largest_case)
+    rows = series_numbers(spread_join(kept, patients, "patient_id", ["series_ord"]), largest_case)
     protocol = text.detect_protocol(F.col("tags"), F.col("directory"))
     columns = {**select_metadata(F.col("tags")), "modality": F.col("modality")}
     columns |= {

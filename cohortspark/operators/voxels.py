@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.geometry import clip
 from cohortspark.operators.components import component_runs, component_table
-from cohortspark.scale import exact_percentiles
+from cohortspark.scale import exact_percentiles, spread_join
 
 AXES = ("x", "y", "z")
 INTENSITY_PERCENTS = {
@@ -34,7 +34,7 @@ def transpose_axes(df: DataFrame) -> DataFrame:
 
 def flip_axis(voxels: DataFrame, volumes: DataFrame, axis: str = "x") -> DataFrame:
     size = volumes.select("voi_id", F.col(f"n{axis}").alias("_n"))
-    return voxels.join(size, "voi_id").withColumn(axis, F.col("_n") - 1 - F.col(axis)).drop("_n")
+    return spread_join(voxels, size, "voi_id", AXES).withColumn(axis, F.col("_n") - 1 - F.col(axis)).drop("_n")
 
 
 def reorient_ras(voxels: DataFrame, volumes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +81,7 @@ def reorient_ras(voxels: DataFrame, volumes: DataFrame) -> tuple[DataFrame, Data
         )
         for w in range(3)
     }
-    joined = voxels.join(plan, "voi_id").withColumns(new)
+    joined = spread_join(voxels, plan, "voi_id", AXES).withColumns(new)
     return joined.select(*voxels.columns), moved
 
 
@@ -239,7 +239,7 @@ def sanity_flags(
     tumor_label: int = 2,
 ) -> DataFrame:
     """Flags that do not reject: boundary contact, small tumour, small volume, intensities out of range."""
-    joined = voxels.join(volumes.select("voi_id", "nx", "ny", "nz"), "voi_id")
+    joined = spread_join(voxels, volumes.select("voi_id", "nx", "ny", "nz"), "voi_id", AXES)
     near = F.lit(False)
     for a in AXES:
         near = near | (F.col(a) < margin) | (F.col(a) >= F.col(f"n{a}") - margin)
@@ -377,7 +377,7 @@ def crop_voxels(voxels: DataFrame, boxes: DataFrame) -> DataFrame:
     inside = F.lit(True)
     for a in AXES:
         inside = inside & (F.col(a) >= F.col(f"crop_{a}")) & (F.col(a) < F.col(f"crop_{a}") + F.col(f"crop_size_{a}"))
-    joined = voxels.join(boxes, "voi_id").where(inside)
+    joined = spread_join(voxels, boxes, "voi_id", AXES).where(inside)
     return joined.withColumns({f"{a}_local": F.col(a) - F.col(f"crop_{a}") for a in AXES})
 
 
@@ -410,7 +410,8 @@ def resample_voxels(
     shuffled beyond the join with the volume sizes.
     """
     grid = resample_grid(volumes, target).select("voi_id", "nx", "ny", "nz", "mx", "my", "mz", "spacing")
-    current = voxels.select("voi_id", *AXES, F.col(value).cast("double").alias("_v")).join(grid, "voi_id")
+    values = voxels.select("voi_id", *AXES, F.col(value).cast("double").alias("_v"))
+    current = spread_join(values, grid, "voi_id", AXES)
     current = current.withColumn("_w", F.lit(1.0)).withColumn("_outside", F.lit(False))
     for i, a in enumerate(AXES):
         step = F.lit(float(target[i])) / F.col("spacing")[i]
@@ -458,7 +459,7 @@ def pad_to_min(volumes: DataFrame, voxels: DataFrame, patch: Sequence[int], fill
         sized = sized.withColumn(f"_l{a}", F.expr(f"(_p{a} + 1) div 2").cast("int")).withColumn(
             f"_t{a}", F.col(f"n{a}") + F.col(f"_p{a}")
         )
-    moved = voxels.select("voi_id", *AXES, "hu").join(sized, "voi_id")
+    moved = spread_join(voxels.select("voi_id", *AXES, "hu"), sized, "voi_id", AXES)
     moved = moved.select("voi_id", *[(F.col(a) + F.col(f"_l{a}")).alias(a) for a in AXES], "hu")
     lines = sized.where("_px + _py + _pz > 0")
     for a in ("z", "y"):
@@ -506,7 +507,7 @@ def contact_ratio(
     around = [(dy, dz) for dy in range(-r, r + 1) for dz in range(-r, r + 1)]
     offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dz).alias("dz")) for dy, dz in around])
     grown = (
-        lesion_runs.join(volumes.select("voi_id", "nx", "ny", "nz"), "voi_id")
+        spread_join(lesion_runs, volumes.select("voi_id", "nx", "ny", "nz"), "voi_id", ["x0", "y", "z"])
         .withColumn("o", F.explode(offsets))
         .withColumns({"_y": F.col("y") + F.col("o.dy"), "_z": F.col("z") + F.col("o.dz")})
         .where("_y >= 0 and _y < ny and _z >= 0 and _z < nz")
@@ -532,7 +533,7 @@ def select_slices(voxels: DataFrame, volumes: DataFrame, num_slices: int, centre
         start = F.greatest(F.lit(0), F.expr("_d div 2") - F.expr("_n div 2"))
         start = F.least(start, F.col("_d") - F.col("_n"))
         return (
-            voxels.join(depth, "voi_id")
+            spread_join(voxels, depth, "voi_id", AXES)
             .where((F.col("z") >= start) & (F.col("z") < start + F.col("_n")))
             .drop("_d", "_n")
         )
@@ -543,4 +544,4 @@ def select_slices(voxels: DataFrame, volumes: DataFrame, num_slices: int, centre
         )
     )
     picks = depth.select("voi_id", F.array_distinct(spread).alias("_s"))
-    return voxels.join(picks, "voi_id").where(F.array_contains("_s", F.col("z"))).drop("_s")
+    return spread_join(voxels, picks, "voi_id", AXES).where(F.array_contains("_s", F.col("z"))).drop("_s")

@@ -108,7 +108,7 @@ def manifest_by_filename(spark, sf):
     with_tables(
         r"""with img as (select distinct filename from (select concat(lpad(cast(ord % 5 as varchar), 2, '0'), '_', case_id, '_0000.nii.gz') as filename from study_manifest)),
 last_row as (select filename, arg_max(grp, ord) as grp, arg_max(phase, ord) as phase, arg_max(case_id, ord) as case_id from study_manifest group by 1),
-msk as (select distinct concat(lpad(cast(ord % 5 as varchar), 2, '0'), '_', case_id, '.nii.gz') as filename from study_manifest where ord % 9 <> 0)
+msk as (select distinct concat(lpad(cast(ord % 5 as varchar), 2, '0'), '_', case_id, '.nii.gz') as filename from study_manifest where has_mask)
 select replace(i.filename, '_0000.nii.gz', '') as case_name, coalesce(nullif(l.grp, ''), 'NG') as "group", coalesce(l.phase, 'undefined') as phase,
   i.filename as image_name, m.filename as mask_name, regexp_extract(i.filename, 'case_\d{5}') as patient_id, coalesce(l.case_id, regexp_extract(i.filename, 'case_\d{5}')) as case_id
 from img i join msk m on m.filename = replace(i.filename, '_0000.nii.gz', '.nii.gz') left join last_row l on l.filename = i.filename""",
@@ -119,7 +119,7 @@ def pair_images_masks(spark, sf):
     rows = study_manifest(spark, sf)
     stem = F.concat(F.lpad((F.col("ord") % 5).cast("string"), 2, "0"), F.lit("_"), "case_id")
     images = rows.select(F.concat(stem, F.lit("_0000.nii.gz")).alias("filename")).distinct()
-    masks = rows.where("ord % 9 <> 0").select(F.concat(stem, F.lit(".nii.gz")).alias("filename"))
+    masks = rows.where("has_mask").select(F.concat(stem, F.lit(".nii.gz")).alias("filename"))
     return cohort.pair_images_masks(images, masks, cohort.manifest_by_filename(rows), pattern=CASE_PATTERN, require=True)
 
 
@@ -278,15 +278,15 @@ def missing_reclassifications(spark, sf):
 
 def _delete_plan(spark, sf):
     rows = study_manifest(spark, sf)
-    files = rows.where("ord % 4 <> 1").select(F.concat(F.lit("nifti/"), "filename").alias("path"))
-    files = files.union(rows.where("ord % 20 = 0").select(F.concat(F.lit("deleted/"), "filename")))
+    files = rows.where("is_live").select(F.concat(F.lit("nifti/"), "filename").alias("path"))
+    files = files.union(rows.where("is_deleted").select(F.concat(F.lit("deleted/"), "filename")))
     return curation.soft_delete_plan(_file_decisions(spark, sf), files)
 
 
 _DELETE = (
     _FILE_DEC
     + """, plan as (select filename, concat('nifti/', filename) as from_path, concat('deleted/', filename) as to_path,
-  case when filename in (select filename from study_manifest where ord % 20 = 0) then 'done' when filename in (select filename from study_manifest where ord % 4 <> 1) then 'move'
+  case when filename in (select filename from study_manifest where is_deleted) then 'done' when filename in (select filename from study_manifest where is_live) then 'move'
     else 'missing' end as state from fd where action = 'delete')"""
 )
 
@@ -534,6 +534,29 @@ def plan_audit(spark, sf):
     return sampling.plan_audit(plan_patches(spark, sf))
 
 
+def _u(*parts):
+    """The uniform of ``sampling.uniform`` as check text."""
+    joined = ", ".join(parts)
+    return f"(('0x' || substring(md5(concat_ws('|', '{SEED}', {joined})), 1, 13))::bigint / 4503599627370496.0::double)"
+
+
+_ID = ("cast(voi_id as varchar)", "cast(lesion_id as varchar)", "cast(patch_index as varchar)")
+
+
+@query(
+    "L5 L6 L8 stochastic",
+    _plan_sql(f"""select voi_id, lesion_id, patch_index, case when u < prior_center then 'center' when u < prior_center + prior_border then 'border' else 'context' end as role, sign
+from (select b.*, i.i as patch_index, {_u("'role'", *_ID)} * (prior_center + prior_border + prior_context) as u, case when {_u("'sign'", *_ID)} < 0.5 then -1.0 else 1.0 end as sign
+  from budget b, unnest(range(0, b.budget)) i(i))"""),
+)
+def stochastic_roles(spark, sf):
+    rows, profile = _lesion_rows(spark, sf)
+    options = sampling.SamplerOptions(patch=(2, 3, 2), stochastic=True)
+    patches = sampling.assign_roles(rows.join(profile, "size_bin").withColumn("budget", sampling.patch_budget(options)), options)
+    u = sampling.uniform(options.seed, F.lit("sign"), "voi_id", "lesion_id", "patch_index")
+    return patches.select("voi_id", "lesion_id", "patch_index", "role", F.when(u < 0.5, -1.0).otherwise(1.0).alias("sign"))
+
+
 @query("L5 L6 L8 stochastic")
 def plan_patches_stochastic(spark, sf):
     rows, profile = _lesion_rows(spark, sf)

@@ -292,7 +292,7 @@ def step_thinning(spark, sf):
 
 
 _STEPS = """
-steps as (select epoch, ord // 3 as batch, case ord % 3 when 0 then 'loss' when 1 then 'PSNR' else 'SSIM' end as key, value from metric_events where fold < 3),
+steps as (select epoch, ord // 3 as batch, case ord % 3 when 0 then 'loss' when 1 then 'PSNR' else 'SSIM' end as key, value from metric_events),
 bt as (select epoch, count(distinct batch) as nb, count(distinct batch) filter (where key = 'PSNR') as np from steps group by 1)"""
 
 
@@ -306,7 +306,7 @@ from steps s join bt on bt.epoch = s.epoch where s.key = 'loss' or np > 0 group
 )
 def epoch_average(spark, sf):
     o = F.col("ord")
-    steps = table(spark, sf, "metric_events").where("fold < 3").select(
+    steps = table(spark, sf, "metric_events").select(
         "epoch", F.expr("ord div 3").alias("batch"),
         F.when(o % 3 == 0, "loss").when(o % 3 == 1, "PSNR").otherwise("SSIM").alias("key"), "value",
     )
@@ -488,19 +488,22 @@ def firstorder_features(spark, sf):
     with_tables(
         """with s as (select voi_id, x * 0.8::double as x, y * 0.8::double as y, z * (1.0::double + voi_id % 4) as z, x as ix, y as iy, z as iz from voxels where label = 2),
 c as (select voi_id, count(*) as n, var_pop(x) as xx, var_pop(y) as yy, var_pop(z) as zz, covar_pop(x, y) as xy, covar_pop(x, z) as xz, covar_pop(y, z) as yz,
-  (max(ix) - min(ix) + 1) * 0.8 as ex, (max(iy) - min(iy) + 1) * 0.8 as ey, (max(iz) - min(iz) + 1) * (1 + voi_id % 4) as ez from s group by 1)
+  (max(ix) - min(ix) + 1) * 0.8 as ex, (max(iy) - min(iy) + 1) * 0.8 as ey, (max(iz) - min(iz) + 1) * (1 + voi_id % 4) as ez from s group by 1),
+q as (select *, (xx + yy + zz) / 3 as q from c),
+p as (select *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) as p from q),
+d as (select *, (xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz) as det from p),
+f as (select *, acos(case when p > 0 then greatest(-1, least(1, det / (2 * p * p * p))) else 1 end) / 3 as phi from d),
+l as (select *, q + 2 * p * cos(phi) as l1, q + 2 * p * cos(phi + 2 * pi() / 3) as l3 from f)
 select voi_id, n, round(n * (0.8::double * 0.8::double * (1 + voi_id % 4)), 6) as voxel_volume, round(ex, 6) as extent_x, round(ey, 6) as extent_y, round(ez, 6) as extent_z,
-  round(xx + yy + zz, 4) as variance_sum, round(xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz), 7) as determinant from c""",
+  round(4 * sqrt(greatest(l1, 0)), 2) as major_axis, round(4 * sqrt(greatest(3 * q - l1 - l3, 0)), 2) as minor_axis, round(4 * sqrt(greatest(l3, 0)), 2) as least_axis from l""",
         "voxels",
     ),
 )
 def shape_features(spark, sf):
-    """The axis lengths are checked by the two invariants of the covariance matrix."""
     out = rad.shape_features(table(spark, sf, "voxels"), table(spark, sf, "volumes"))
-    square = [F.pow(F.col(c) / 4, 2) for c in ("major_axis", "minor_axis", "least_axis")]
     return out.select(
         "voi_id", "n", r6("voxel_volume").alias("voxel_volume"), *[r6(f"extent_{a}").alias(f"extent_{a}") for a in "xyz"],
-        F.round(square[0] + square[1] + square[2], 4).alias("variance_sum"), (F.round(square[0] * square[1] * square[2], 7) + 0.0).alias("determinant"),
+        *[F.round(c, 2).alias(c) for c in ("major_axis", "minor_axis", "least_axis")],
     )
 
 

@@ -146,14 +146,12 @@ def leaf_dirs(spark, sf):
 @query(
     "S2",
     with_tables(
-        """select regexp_replace(file, '/[^/]*$', '') as directory, series_uid, count(*) as num_slices, min(file) as first_file,
-  string_agg(file, ',' order by file) as files from slices group by 1, 2""",
+        """select regexp_replace(file, '/[^/]*$', '') as directory, series_uid, count(*) as num_slices, min(file) as first_file from slices group by 1, 2""",
         "slices",
     ),
 )
 def discover_series(spark, sf):
-    found = ops.discover_series(table(spark, sf, "slices"), with_files=True)
-    return found.withColumn("files", F.array_join("files", ","))
+    return ops.discover_series(table(spark, sf, "slices"))
 
 
 @query(

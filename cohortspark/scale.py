@@ -154,8 +154,9 @@ def exact_percentiles(
 def _ranked_percentiles(folded, by, percents):
     totals = folded.groupBy(*by).agg(F.sum("_n").alias("_total"))
     ranked = running(folded, by, [F.col("_x")], {"_upto": ("sum", F.col("_n"))}, max_group_rows=0)
-    # totals has one row per key; the join is decided by its size at run time
-    placed = ranked.join(totals, by).withColumn("_from", F.col("_upto") - F.col("_n"))
+    key = F.struct(*by)
+    ranked, totals = ranked.withColumn("_k", key), totals.select(key.alias("_k"), "_total")
+    placed = spread_join(ranked, totals, "_k", ["_x"]).withColumn("_from", F.col("_upto") - F.col("_n"))
     sides = []
     for i, p in enumerate(percents):
         rank = (F.col("_total") - 1) * F.lit(percents[p] / 100.0)
@@ -176,6 +177,17 @@ def _ranked_percentiles(folded, by, percents):
     return flat.select(*by, F.array(*points).alias("_q"))
 
 
+def spread_join(big: DataFrame, small: DataFrame, key: str, by: Sequence[str], salts: int = 16) -> DataFrame:
+    """Inner join of many rows with few rows per key, when a single key may hold much of the big side.
+
+    The big side is dealt to ``salts`` parts of each key by the columns ``by``, the small side is copied to all of
+    them.  A following aggregate combines the parts before its own shuffle.
+    """
+    part = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return big.withColumn("_salt", part).join(copies, [key, "_salt"]).drop("_salt")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt out to all tasks where the input has fewer splits than the session has task slots.
 

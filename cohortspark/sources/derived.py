@@ -84,24 +84,25 @@ from {events}""",
 select event_id as ord, concat('case_', lpad(cast(user_id as string), 5, '0')) as key,
   case event_type when 'click' then 'NC' when 'view' then 'ART' when 'purchase' then 'VEN' when 'signup' then 'delete' else 'CLEAR' end as action
 from {events}""",
-    # decisions on VOI files: one per third order
+    # decisions on VOI files
     "voi_decisions": """
 select ord, path, split_part(path, '/', 2) as class, split_part(path, '/', 3) as patient_id, split_part(path, '/', 4) as protocol,
   split_part(path, '/', 5) as filename, case ord % 5 when 0 then 'art' when 1 then 'VEN' when 2 then 'delete' when 3 then 'NC' else 'CLEAR' end as action
-from {voi_files} where ord % 3 = 0""",
+from {voi_files}""",
     "run_artifacts": """
 select cast(p_partkey % 5 as int) as fold, concat('run', cast(p_partkey as string)) as run, p_retailprice as mtime, p_partkey = 3 as is_latest,
   p_size % 3 <> 0 as has_config,
   case p_size % 4 when 0 then 'checkpoint_best.pth' when 1 then 'checkpoints/checkpoint_best.pth' when 2 then 'checkpoints/best_vae.pth' else 'other.pth' end as artifact
 from {part}""",
-    # a manifest with repeated file names and blank groups
+    # a manifest with repeated file names and blank groups, and what is known of each file
     "study_manifest": """
 select o_orderkey as ord, concat(lpad(cast(o_orderkey % 4 as string), 2, '0'), '_case_', lpad(cast(o_custkey as string), 5, '0'), '_0000.nii.gz') as filename,
   concat('TCGA-', cast(o_custkey as string)) as patient_id, concat('case_', lpad(cast(o_custkey as string), 5, '0')) as case_id,
   case o_orderkey % 7 when 0 then 'A' when 1 then 'B' when 2 then '' else 'NG' end as grp,
   case o_orderkey % 5 when 0 then 'NC' when 1 then 'art' when 2 then 'ven' when 3 then 'delay' else 'undefined' end as phase,
   concat('M', cast(o_orderkey % 3 as string)) as manufacturer, concat('X', cast(o_orderkey % 5 as string)) as manufacturer_model,
-  o_orderpriority as institution, 'metadata' as protocol_source
+  o_orderpriority as institution, 'metadata' as protocol_source,
+  o_orderkey % 9 <> 0 as has_mask, o_orderkey % 4 <> 1 as is_live, o_orderkey % 20 = 0 as is_deleted
 from {orders}""",
     # outcome of VOI processing, one row per case and side
     "side_results": """
