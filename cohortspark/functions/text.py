@@ -155,10 +155,8 @@ def _spell_out(normed: Column) -> Column:
 
 
 def _any_word(spelled: Column, words: list[str]) -> Column:
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | spelled.contains(f" {word} ")
-    return hit
+    keywords = F.split(F.lit("|".join(f" {word} " for word in words)), r"\|")  # a constant for the optimizer
+    return F.exists(keywords, lambda word: spelled.contains(word))
 
 
 def _number_before(normed: Column, unit: str, digits: str) -> Column:
