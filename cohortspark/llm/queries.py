@@ -9,6 +9,9 @@ from cohortspark.llm.common import fold, read_table
 from cohortspark.llm.language import predict_language, train_language_model
 from cohortspark.llm.quality import score_quality, train_quality_model
 from cohortspark.llm.secrets import secret_scan
+from cohortspark.llm.simhash import near_duplicates
+from cohortspark.llm.warc import read_warc, write_warc
+from cohortspark.session import staging_path
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +21,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels")
@@ -26,9 +33,24 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    path = staging_path(spark, "warc")
+    write_warc(pages, path)
+    records = read_warc(spark, path, with_data=False).where("last")
+    page = lambda name: F.regexp_extract(F.col(name), "^urn:page:([^:]*):", 1).try_cast("long")
+    return records.select(
+        page("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("warc_type").alias("record_type"),
+        page("refers_to").alias("refers_to"),
+    )
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op5_quality, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op1_language, op3_simhash, op5_quality, op6_warc, op9_secrets)}
 ORACLE_SQL: dict[str, str] = {}
