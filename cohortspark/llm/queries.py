@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortspark.llm.balltree import top_k
 from cohortspark.llm.common import fold, read_table
 from cohortspark.llm.language import predict_language, train_language_model
 from cohortspark.llm.quality import score_quality, train_quality_model
@@ -21,6 +22,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -52,5 +57,39 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op3_simhash, op5_quality, op6_warc, op9_secrets)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language, op2_topk, op3_simhash, op5_quality, op6_warc, op9_secrets)}
+ORACLE_SQL: dict[str, str] = {
+    "op2_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        FROM scored
+        QUALIFY rank <= 5
+    """,
+    "op6_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+        ),
+        d AS (SELECT *, sha1(html) AS hex FROM p),
+        bits AS (
+            SELECT *, list_transform(range(0, 40), lambda i: strpos('0123456789abcdef', hex[i + 1]) - 1) AS nibbles FROM d
+        )
+        SELECT
+            page_id,
+            octet_length(encode(html))::BIGINT AS payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + (
+                ((nibbles[(5 * i) // 4 + 1] * 256 + coalesce(nibbles[(5 * i) // 4 + 2], 0) * 16
+                  + coalesce(nibbles[(5 * i) // 4 + 3], 0)) >> (7 - (5 * i) % 4)) & 31)]), '') AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM bits
+    """,
+}
