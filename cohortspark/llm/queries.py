@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortspark.llm.balltree import top_k
 from cohortspark.llm.common import fold, read_table
 from cohortspark.llm.language import predict_language, train_language_model
+from cohortspark.llm.packing import pack
 from cohortspark.llm.quality import score_quality, train_quality_model
 from cohortspark.llm.secrets import secret_scan
 from cohortspark.llm.simhash import near_duplicates
@@ -30,6 +31,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def vocabulary() -> str:
+    """The vocabulary file of the packing query; it must be at this path on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels")
@@ -57,7 +69,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_topk, op3_simhash, op5_quality, op6_warc, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_topk, op3_simhash, op4_packing, op5_quality, op6_warc, op9_secrets)}
 ORACLE_SQL: dict[str, str] = {
     "op2_topk": """
         WITH v AS (
