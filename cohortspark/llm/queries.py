@@ -12,6 +12,7 @@ from cohortspark.llm.packing import pack
 from cohortspark.llm.quality import score_quality, train_quality_model
 from cohortspark.llm.secrets import secret_scan
 from cohortspark.llm.simhash import near_duplicates
+from cohortspark.llm.substrings import dedup_passages
 from cohortspark.llm.warc import read_warc, write_warc
 from cohortspark.session import staging_path
 
@@ -69,7 +70,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_topk, op3_simhash, op4_packing, op5_quality, op6_warc, op9_secrets)}
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_passages(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_topk, op3_simhash, op4_packing, op5_quality, op6_warc, op9_secrets, op10_substrings)}
 ORACLE_SQL: dict[str, str] = {
     "op2_topk": """
         WITH v AS (
