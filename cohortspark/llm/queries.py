@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.llm.balltree import top_k
 from cohortspark.llm.common import fold, read_table
+from cohortspark.llm.decontaminate import find_leaks
 from cohortspark.llm.language import predict_language, train_language_model
 from cohortspark.llm.packing import pack
 from cohortspark.llm.quality import score_quality, train_quality_model
@@ -66,6 +67,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(read_table(spark, sf_dir, "documents"))
 
@@ -74,7 +79,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_passages(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_topk, op3_simhash, op4_packing, op5_quality, op6_warc, op9_secrets, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_topk, op3_simhash, op4_packing, op5_quality, op6_warc, op8_decontamination, op9_secrets, op10_substrings)}
 ORACLE_SQL: dict[str, str] = {
     "op2_topk": """
         WITH v AS (
