@@ -9,6 +9,7 @@ from cohortspark.llm.balltree import top_k
 from cohortspark.llm.common import fold, read_table
 from cohortspark.llm.decontaminate import find_leaks
 from cohortspark.llm.language import predict_language, train_language_model
+from cohortspark.llm.lines import dedup_lines
 from cohortspark.llm.packing import pack
 from cohortspark.llm.quality import score_quality, train_quality_model
 from cohortspark.llm.secrets import secret_scan
@@ -67,6 +68,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edited = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return edited.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -79,7 +85,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_passages(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_topk, op3_simhash, op4_packing, op5_quality, op6_warc, op8_decontamination, op9_secrets, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_topk, op3_simhash, op4_packing, op5_quality, op6_warc, op7_lines, op8_decontamination, op9_secrets, op10_substrings)}
 ORACLE_SQL: dict[str, str] = {
     "op2_topk": """
         WITH v AS (
