@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions import text
-from cohortspark.scale import last_per_key, numbered, spread_join
+from cohortspark.scale import exact_percentiles, last_per_key, numbered, spread_join
 
 
 def _without_suffix(name: Column) -> Column:
@@ -149,13 +149,22 @@ def pair_images_masks(
 
 
 def target_spacing(
-    spacings: DataFrame, mode: str = "anisotropic", z_coarse: float = 2.0, fixed: Sequence[float] | None = None
+    spacings: DataFrame,
+    mode: str = "anisotropic",
+    z_coarse: float = 2.0,
+    fixed: Sequence[float] | None = None,
+    max_samples: int | None = None,
 ) -> DataFrame:
-    """One row ``x, y, z``: fixed, or from the median of the first hundred spacings (``ord, sx, sy, sz``)."""
+    """One row ``x, y, z``: fixed, or from the exact median of all spacings (``ord, sx, sy, sz``).
+
+    ``max_samples`` takes the first so many spacings in place of all.
+    """
     if fixed is not None:
         return spacings.sparkSession.range(1).select(*[F.lit(float(v)).alias(a) for a, v in zip("xyz", fixed)])
-    sample = spacings.orderBy("ord").limit(100)  # the sample size is part of the rule
-    med = sample.agg(*[F.median(f"s{a}").alias(a) for a in "xyz"])
+    sample = spacings if max_samples is None else spacings.orderBy("ord").limit(max_samples)
+    # Headers share few different spacings, so they are counted by value before the median is taken.
+    med = exact_percentiles(sample, [], {a: F.col(f"s{a}") for a in "xyz"}, {"mid": 50.0})
+    med = med.select(*[F.col(f"{a}_mid").alias(a) for a in "xyz"])
     least = F.least("x", "y", "z")
     if mode == "isotropic":
         return med.select(*[least.alias(a) for a in "xyz"])
@@ -202,8 +211,8 @@ def patient_comments(results: DataFrame) -> DataFrame:
 def patient_preprocess(manifest: DataFrame, results: DataFrame) -> DataFrame:
     """Per-case report: series and phase counts, first equipment, tumour sides, status, comments.
 
-    A repeated comment is written once with its number, so that a case with many series keeps a short cell;
-    ``patient_comments`` has them all.  ``manifest`` needs ``ord``.
+    The cell has all comments of the case in the order of its results, then those of results that broke off;
+    ``patient_comments`` has them in long form.  ``manifest`` needs ``ord``.
     """
     phase = F.lower("phase")
     series = manifest.groupBy(F.col("case_id").alias("patient_id")).agg(
@@ -220,16 +229,11 @@ def patient_preprocess(manifest: DataFrame, results: DataFrame) -> DataFrame:
         F.bool_or(F.col("status") == "skipped").alias("_skipped"),
         F.bool_or(F.col("status").isin("error", "failed")).alias("_error"),
     )
-    said = (
+    comments = (
         patient_comments(results)
-        .groupBy("patient_id", "comment")
-        .agg(F.min(F.struct("late", "ord")).alias("at"), F.count("*").alias("n"))
-    )
-    counted = F.when(F.col("n") > 1, F.format_string("%s (%d times)", "comment", "n")).otherwise(F.col("comment"))
-    comments = said.groupBy("patient_id").agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("at", counted.alias("c")))), lambda s: s["c"]), "; "
-        ).alias("Comments")
+        .groupBy("patient_id")
+        .agg(F.sort_array(F.collect_list(F.struct("late", "ord", "comment"))).alias("said"))  # of one patient
+        .select("patient_id", F.array_join(F.col("said.comment"), "; ").alias("Comments"))
     )
     status = (
         F.when(F.col("_error") & ~F.col("_ok"), "Fail")
@@ -290,7 +294,8 @@ def phase_coverage(registry: DataFrame) -> DataFrame:
 def training_index(files: DataFrame, shapes: DataFrame | None = None, voi_root: str = "") -> DataFrame:
     """Per image file: mask path, category, phase code and catalog key.
 
-    ``shapes`` (``path, shape``) adds the check that image and mask have one shape; a mismatch fails the job.
+    ``shapes`` (``path, shape``) adds the check that image and mask have one shape; a mismatch and a file without
+    shape fail the job.
     """
     root = f"{voi_root.rstrip('/')}/" if voi_root else ""
     path = F.col("path")
@@ -304,10 +309,11 @@ def training_index(files: DataFrame, shapes: DataFrame | None = None, voi_root:
         return rows
     image = shapes.select("path", F.col("shape").alias("_i"))
     mask = shapes.select(F.col("path").alias("mask_path"), F.col("shape").alias("_m"))
-    checked = rows.join(image, "path").join(mask, "mask_path")
-    same = F.when(F.col("_i") == F.col("_m"), F.col("label")).otherwise(
-        F.raise_error(F.concat(F.lit("image and mask shape differ: "), "path"))
+    checked = rows.join(image, "path", "left").join(mask, "mask_path", "left")
+    fault = F.when(F.col("_i").isNull() | F.col("_m").isNull(), "no shape of image or mask: ").otherwise(
+        "image and mask shape differ: "
     )
+    same = F.when(F.col("_i") == F.col("_m"), F.col("label")).otherwise(F.raise_error(F.concat(fault, "path")))
     return checked.withColumn("label", same).drop("_i", "_m")
 
 

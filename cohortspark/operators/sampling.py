@@ -31,10 +31,11 @@ def uniform(seed: int, *parts: Column | str) -> Column:
 
 
 def safe_strata(patients: DataFrame, min_count: int) -> DataFrame:
-    """``stratum``: the class, or one pool for classes below the least count."""
-    counts = patients.groupBy("class").agg(F.count("*").alias("_n"))
-    stratum = F.when(F.col("_n") >= min_count, F.col("class")).otherwise(RARE)
-    return patients.join(counts, "class").withColumn("stratum", stratum).drop("_n")
+    """``stratum``: the class, or one pool for classes below the least count and for patients without class."""
+    counts = patients.groupBy(F.col("class").alias("_class")).agg(F.count("*").alias("_n"))
+    stratum = F.when(F.col("_n") >= min_count, F.col("class"))
+    joined = patients.join(counts, F.col("class").eqNullSafe(F.col("_class")))
+    return joined.withColumn("stratum", F.coalesce(stratum, F.lit(RARE))).drop("_n", "_class")
 
 
 def class_distribution(patients: DataFrame, n_folds: int = 5) -> DataFrame:

@@ -45,9 +45,18 @@ def leaf_dirs(files: DataFrame, path: str = "path") -> DataFrame:
     return with_files.join(ancestors, "directory", "left_anti")
 
 
+def in_leaf_dirs(slices: DataFrame) -> DataFrame:
+    """Slices (``file``) of leaf folders, with their ``directory``."""
+    placed = slices.withColumn("directory", parent_dir(F.col("file")))
+    return placed.join(leaf_dirs(slices, "file"), "directory", "left_semi")
+
+
 def discover_series(slices: DataFrame) -> DataFrame:
-    """Slices folded to series: number of slices and first file; the file list is ``series_files``."""
-    found = slices.withColumn("directory", parent_dir(F.col("file")))
+    """Slices folded to series: number of slices and first file; the file list is ``series_files``.
+
+    Only leaf folders hold series: files beside sub-folders are left out.
+    """
+    found = in_leaf_dirs(slices)
     return found.groupBy("directory", "series_uid").agg(
         F.count("*").alias("num_slices"), F.min("file").alias("first_file")
     )
@@ -55,7 +64,7 @@ def discover_series(slices: DataFrame) -> DataFrame:
 
 def series_files(slices: DataFrame) -> DataFrame:
     """Long form of the file list: one row per file with its position in the series."""
-    found = slices.select(parent_dir(F.col("file")).alias("directory"), "series_uid", "file")
+    found = in_leaf_dirs(slices).select("directory", "series_uid", "file")
     return numbered(found, ["directory", "series_uid"], [F.col("file")], "position")
 
 
@@ -433,9 +442,10 @@ def conversion_summary(manifest: DataFrame, skipped: DataFrame, failures: DataFr
     return totals.unionByName(spread.groupBy("section", "item").agg(F.sum("n").alias("n")))
 
 
-def skipped_details(skipped: DataFrame, top: int = 100) -> DataFrame:
-    """The first skipped series in discovery order, as the report lists them."""
-    return skipped.orderBy("series_ord").limit(top).select("series_ord", "patient_id", "series_uid", "directory", "reason")
+def skipped_details(skipped: DataFrame, top: int | None = None) -> DataFrame:
+    """All skipped series, or the first ``top`` in discovery order for a short report."""
+    rows = skipped if top is None else skipped.orderBy("series_ord").limit(top)
+    return rows.select("series_ord", "patient_id", "series_uid", "directory", "reason")
 
 
 def phase_filter(df: DataFrame, phase: str | None, column: str = "phase") -> DataFrame:

@@ -126,7 +126,7 @@ def pair_images_masks(spark, sf):
 @query(
     "A4",
     with_tables(
-        """with s as (select sx, sy, sz from image_headers order by ord limit 100), m as (select median(sx) as x, median(sy) as y, median(sz) as z from s)
+        """with m as (select median(sx) as x, median(sy) as y, median(sz) as z from image_headers)
 select 'anisotropic' as mode, x, y, case when z > 2 then greatest(least(z, 1), least(x, y)) else z end as z from m
 union all select 'isotropic', least(x, y, z), least(x, y, z), least(x, y, z) from m
 union all select 'fixed', 1, 1, 1""",
@@ -165,8 +165,15 @@ def update_manifest_laterality(spark, sf):
 _COMMENTS = """
 said as (select patient_id, ord, 0 as late, case when status in ('error', 'failed') then concat('Error: ', reason) when status = 'skipped' then concat(side, ': ', reason) end as c from side_results
   union all select patient_id, ord, 1, 'Processing failed' from side_results where status = 'failed'),
-folded as (select patient_id, c, min((late, ord)) as said_at, count(*) as n from said where c is not null group by 1, 2),
-texts as (select patient_id, string_agg(case when n > 1 then concat(c, ' (', n, ' times)') else c end, '; ' order by said_at) as comments from folded group by 1)"""
+texts as (select patient_id, string_agg(c, '; ' order by late, ord, c) as comments from said where c is not null group by 1)"""
+
+
+@query(
+    "A5",
+    with_tables(f"with {_COMMENTS} select patient_id, late, ord, c as comment from said where c is not null", "side_results"),
+)
+def patient_comments(spark, sf):
+    return cohort.patient_comments(table(spark, sf, "side_results"))
 
 
 @query(

@@ -575,8 +575,7 @@ def conversion_summary(spark, sf):
 
 @query(
     "A3",
-    _screened_sql("""select series_ord, patient_id, series_uid, directory, reason from screened where reason is not null
-order by series_ord limit 100"""),
+    _screened_sql("""select series_ord, patient_id, series_uid, directory, reason from screened where reason is not null"""),
 )
 def skipped_details(spark, sf):
     return ops.skipped_details(screened(spark, sf).where("reason is not null"))

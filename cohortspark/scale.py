@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cohortspark.session import cut_lineage
 
 MAX_GROUP_ROWS = 1_000_000
+SMALL_SPLITS = 4
 
 _SCANS = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -189,12 +190,13 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, by: Sequence[str], s
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out to all tasks where the input has fewer splits than the session has task slots.
+    """Rows of an input of at most ``SMALL_SPLITS`` splits, dealt out to all tasks.
 
-    A large input has more splits than slots and is left as it is.
+    Such an input is smaller than so many times the split size, whatever the cluster; all others are left as they are.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(slots) if splits <= SMALL_SPLITS and splits < slots else df
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -16,6 +15,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
         .appName("cohortspark")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))  # tests and benchmarks have one machine
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -29,14 +29,13 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for cut lineage and staged tables, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of the machine.
+    Where it is unset, as in tests, a folder below the warehouse is taken, which all executors see too.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="spark-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        named = f"{warehouse}/_staging-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", named)
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(named)
@@ -45,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

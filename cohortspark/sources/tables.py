@@ -35,14 +35,13 @@ LESION_SCHEMA = (
 def read_label_table(spark: SparkSession, path: str) -> DataFrame:
     """CSV with every cell cleaned to text; a byte order mark before the first header is dropped.
 
-    ``ord`` keeps the file order (file, then position in the file).
+    ``ord`` keeps the file order: file name, then position in the file.  A quoted cell may hold line breaks, so a
+    file is read by one task from start to end and positions in it increase.
     """
-    rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=False)
-    names = [c.removeprefix(BOM) for c in rows.columns]
-    rows = rows.toDF(*names)
-    return rows.select(
-        F.monotonically_increasing_id().alias("ord"), *[text.clean_cell(F.col(f"`{c}`")).alias(c) for c in names]
-    )
+    rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=True)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("position"))
+    cells = [text.clean_cell(F.col(f"`{c}`")).alias(c.removeprefix(BOM)) for c in rows.columns]
+    return rows.select(place.alias("ord"), *cells)
 
 
 def write_manifest(manifest: DataFrame, path: str, fmt: str = "parquet", partition: bool = False) -> bool:
@@ -106,15 +105,13 @@ def history_points(lines: DataFrame) -> DataFrame:
     ).where("epoch is not null and value is not null")
 
 
-_STAT_PATHS = (
-    "$.windowed_intensity.channel_0",
-    "$.foreground_intensity_properties_per_channel.0",
-    "$.foreground_intensity.channel_0",
-    "$.dataset_statistics",
-    "$.intensity_properties",
-    "$.foreground_intensity_properties",
-    "$",
+# Sections by channel, with the name of the channel that is preferred; else their first channel counts.
+_CHANNEL_SECTIONS = (
+    ("windowed_intensity", "channel_0"),
+    ("foreground_intensity_properties_per_channel", "0"),
+    ("foreground_intensity", "channel_0"),
 )
+_PLAIN_SECTIONS = ("$.dataset_statistics", "$.intensity_properties", "$.foreground_intensity_properties", "$")
 
 
 def read_fingerprint_stats(payload: Column) -> dict[str, Column]:
@@ -122,9 +119,13 @@ def read_fingerprint_stats(payload: Column) -> dict[str, Column]:
 
     The first section that exists is used.  A percentile of 0 under an older name gives way to the next name.
     """
-    section = F.coalesce(
-        *[text.blank_to_null(F.nullif(F.get_json_object(payload, p), F.lit("{}"))) for p in _STAT_PATHS]
-    )
+
+    def channel(name, preferred):
+        found = F.from_json(F.get_json_object(payload, f"$.{name}"), "map<string,string>")
+        return F.coalesce(F.try_element_at(found, F.lit(preferred)), F.get(F.map_values(found), F.lit(0)))
+
+    sections = [channel(*s) for s in _CHANNEL_SECTIONS] + [F.get_json_object(payload, p) for p in _PLAIN_SECTIONS]
+    section = F.coalesce(*[text.blank_to_null(F.nullif(s, F.lit("{}"))) for s in sections])
 
     def number(*names):
         found = [F.get_json_object(section, f"$.{n}").try_cast("double") for n in names]

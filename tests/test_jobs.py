@@ -9,6 +9,7 @@ from cohortspark.operators import cohort, curation
 from cohortspark.operators import evaluation as ev
 from cohortspark.operators import lesions as les
 from cohortspark.operators import sampling as smp
+from cohortspark.operators import series
 from cohortspark.sources import tables as io
 
 
@@ -227,6 +228,32 @@ def test_shape_mismatch_fails_the_index(spark):
         cohort.training_index(files, shapes).collect()
 
 
+def test_missing_shape_fails_the_index(spark):
+    files = spark.createDataFrame([("images/A/p/NC/f.npy",)], "path string")
+    shapes = spark.createDataFrame([("images/A/p/NC/f.npy", [1, 2])], "path string, shape array<int>")
+    with pytest.raises(Exception, match="no shape of image or mask"):
+        cohort.training_index(files, shapes).collect()
+
+
+def test_spacing_of_all_headers(spark):
+    rows = spark.createDataFrame([(i, 1.0 if i < 100 else 3.0, 1.0, 1.0) for i in range(301)], "ord int, sx double, sy double, sz double")
+    assert cohort.target_spacing(rows).first().x == 3.0
+    assert cohort.target_spacing(rows, max_samples=100).first().x == 1.0
+
+
+def test_patients_without_class_stay(spark):
+    rows = spark.createDataFrame([("a", "A"), ("b", "A"), ("c", None)], "patient_id string, class string")
+    assert sorted((r.patient_id, r.stratum) for r in smp.safe_strata(rows, 2).collect()) == [
+        ("a", "A"), ("b", "A"), ("c", smp.RARE),
+    ]
+
+
+def test_files_beside_folders_are_no_series(spark):
+    rows = spark.createDataFrame([("r/x.dcm", "u"), ("r/a/1.dcm", "u"), ("r/a/2.dcm", "u")], "file string, series_uid string")
+    assert [(r.directory, r.num_slices) for r in series.discover_series(rows).collect()] == [("r/a", 2)]
+    assert series.series_files(rows).count() == 2
+
+
 def test_patient_report(spark):
     manifest = spark.createDataFrame(
         [(1, "T1", "c1", "ART", "m1"), (2, "T2", "c1", "ven", "m2")], "ord bigint, patient_id string, case_id string, phase string, manufacturer string"
@@ -239,7 +266,7 @@ def test_patient_report(spark):
         "ord bigint, patient_id string, side string, status string, reason string, has_tumor boolean",
     )
     got = {r.CaseID: r for r in cohort.patient_preprocess(manifest, results).collect()}
-    assert (got["c1"].Status, got["c1"].LTumor, got["c1"].Comments, got["c1"].TCGA_ID) == ("Warning", True, "R: small (2 times)", "T1")
+    assert (got["c1"].Status, got["c1"].LTumor, got["c1"].Comments, got["c1"].TCGA_ID) == ("Warning", True, "R: small; R: small", "T1")
     assert (got["c2"].Status, got["c2"].Comments) == ("Fail", "Error: boom; Processing failed")
     assert (got["c3"].Status, got["c3"].N_Series) == ("Pass", 0)
     assert cohort.patient_comments(results).count() == 4

@@ -66,4 +66,5 @@ def test_percentiles_of_nothing(spark):
 def test_spread_leaves_many_splits_alone(spark):
     df = spark.range(100).repartition(16)
     assert scale.spread(df).rdd.getNumPartitions() == 16
+    assert scale.spread(df.coalesce(5)).rdd.getNumPartitions() == 5
     assert scale.spread(df.coalesce(1)).rdd.getNumPartitions() == 4

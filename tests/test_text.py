@@ -114,6 +114,15 @@ def test_label_tables(spark, tmp_path):
     assert not ops.sniff_alias_format(rows)
 
 
+def test_label_tables_keep_file_order_and_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("patient_id,class,case_id\np1,A,1\n")
+    (tmp_path / "b.csv").write_text("patient_id,class,case_id\n" + 'x,"A\nb",2\n' * 50 + "p1,B,3\n")
+    rows = io.read_label_table(spark, str(tmp_path))
+    assert rows.count() == 52
+    found = {r.patient_id: r["group"] for r in ops.load_class_labels(rows).collect()}
+    assert found["p1"] == "B"
+
+
 def test_alias_owner_is_the_first_row(spark):
     rows = [(1, "Anonym_a", "5.0", "x"), (2, "anonym-A", "6", "y"), (3, "Anonym_b", "Anonym_b", "z")]
     labels = spark.createDataFrame(rows, "ord bigint, Anonym string, ID string, `Manual Label` string")
@@ -138,5 +147,7 @@ def test_fingerprint_versions(spark):
     a, b = apply(spark, stats, [old, bare])
     assert tuple(a) == (1.0, 2.0, 3.0, 5.0, 6.0)
     assert tuple(b) == (1.0, 2.0, 3.0, 0.0, 4.0)
+    named = '{"windowed_intensity": {"ct": {"mean": 1, "std": 2, "median": 3, "p25": 4, "p75": 5}}, "foreground_intensity": {"channel_0": {"mean": 9}}}'
+    assert tuple(apply(spark, stats, [named])[0]) == (1.0, 2.0, 3.0, 4.0, 5.0)
     with pytest.raises(Exception, match="fingerprint has no"):
         apply(spark, stats, ['{"mean": 1}'])
