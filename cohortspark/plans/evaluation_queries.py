@@ -177,11 +177,13 @@ def kl_divergence(spark, sf):
     "A26",
     f"""with {_LATENT}, pool as (select vec_id, c // 4 as ch, avg(m) as v from lat group by 1, 2),
 nrm as (select vec_id, ch, v / greatest(sqrt(sum(v * v) over (partition by vec_id)), 1e-12) as p from pool)
-select vec_id, round(max(p) filter (where ch = 0), 6) as p0, round(max(p) filter (where ch = 3), 6) as p3, round(max(p) filter (where ch = 7), 6) as p7 from nrm group by 1""",
+select vec_id, """
+    + ", ".join(f"round(max(p) filter (where ch = {i}), 6) as p{i}" for i in range(8))
+    + " from nrm group by 1",
 )
 def mean_pool_l2(spark, sf):
     out = ev.mean_pool_l2(latents(spark, sf), 8)
-    return out.select("vec_id", *[r6(F.col("pooled")[i]).alias(f"p{i}") for i in (0, 3, 7)])
+    return out.select("vec_id", *[r6(F.col("pooled")[i]).alias(f"p{i}") for i in range(8)])
 
 
 @query(
@@ -246,7 +248,7 @@ def metric_groups(spark, sf):
     "F29 F30",
     """with t as (select distinct p_name, p_type, concat(p_type, '/', lower(p_brand), '_f1/val') as tag from part)
 select p_name, tag, regexp_replace(tag, '/val$', '') as base, 'val' as split, 'F1 (%)' as label, 100.0 as scale,
-  trim(regexp_replace(lower(tag), '[^a-z0-9]+', '_', 'g'), '_') as slug, upper(substring(replace(replace(p_type, '_', ' '), '/', ' '), 1, 1)) as initial,
+  trim(regexp_replace(lower(tag), '[^a-z0-9]+', '_', 'g'), '_') as slug, concat(upper(substring(replace(replace(p_type, '_', ' '), '/', ' '), 1, 1)), substring(replace(replace(p_type, '_', ' '), '/', ' '), 2)) as title,
   case when starts_with(concat('val_', p_name), 'val_') then 'val' end as mon_split, p_name as mon_key from t""",
 )
 def metric_tags(spark, sf):
@@ -258,7 +260,7 @@ def metric_tags(spark, sf):
     monitor = text.parse_monitor_name(F.concat(F.lit("val_"), "p_name"))
     return rows.select(
         "p_name", "tag", tag["base"].alias("base"), tag["split"].alias("split"), spec["label"].alias("label"), spec["scale"].alias("scale"),
-        text.slugify(F.col("tag")).alias("slug"), F.substring(text.humanize(F.col("p_type")), 1, 1).alias("initial"),
+        text.slugify(F.col("tag")).alias("slug"), text.humanize(F.col("p_type")).alias("title"),
         monitor["split"].alias("mon_split"), monitor["key"].alias("mon_key"),
     )
 
@@ -444,11 +446,49 @@ def linear_probe(spark, sf):
     return models.linear_probe(rows.where(part > 0), rows.where(part == 0))
 
 
+@query(
+    "M1 by what SQL can check",
+    """select count(*) filter (where vec_id % 5 <> 0) as n_train, count(*) filter (where vec_id % 5 = 0) as n_val, true as in_range from embeddings""",
+)
+def linear_probe_checks(spark, sf):
+    """Every validation row is scored, and the accuracy is a share of them."""
+    rows = table(spark, sf, "embeddings")
+    train = rows.where("vec_id % 5 <> 0")
+    scored = models.linear_probe(train, rows.where("vec_id % 5 = 0"))
+    return scored.select(
+        train.agg(F.count("*").alias("n")).scalar().alias("n_train"), F.col("n").alias("n_val"), F.col("probe_acc").between(0, 1).alias("in_range")
+    )
+
+
 @query("M2")
 def embedding_projection(spark, sf):
     return models.embedding_projection(table(spark, sf, "embeddings"))
 
 
+@query(
+    "M2 by what SQL can check",
+    """with x as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as i from embeddings),
+per as (select i, var_samp(v) as s from x group by 1)
+select count(*) as n_components, round(sum(s), 5) as total_variance, true as falling, 0.0 as largest_covariance from per""",
+)
+def projection_checks(spark, sf):
+    """All components together have the variance of the vectors, are uncorrelated, and the first has the most."""
+    rows = table(spark, sf, "embeddings")
+    dims = rows.agg(F.max(F.size("embedding"))).first()[0]
+    placed = models.embedding_projection(rows, dims)
+    spread = placed.agg(
+        *[F.var_samp(f"c{i}").alias(f"s{i}") for i in range(dims)], *[F.covar_samp("c0", f"c{i}").alias(f"k{i}") for i in range(1, dims)]
+    )
+    variances = [F.col(f"s{i}") for i in range(dims)]
+    falling = F.forall(F.sequence(F.lit(1), F.lit(dims - 1)), lambda i: F.array(*variances)[i] <= F.array(*variances)[i - 1] + 1e-9)
+    return spread.select(
+        F.lit(dims).cast("bigint").alias("n_components"),
+        F.round(sum(variances[1:], variances[0]), 5).alias("total_variance"),
+        falling.alias("falling"),
+        F.abs(F.round(F.greatest(*[F.abs(F.col(f"k{i}")) for i in range(1, dims)]), 6)).alias("largest_covariance"),
+    )
+
+
 # ---- radiomics -------------------------------------------------------------------------------------------
 
 _ROI = """
