@@ -1,4 +1,7 @@
-"""Fixed values. They must equal the agreed ones for results to agree; none of them is logic."""
+"""Fixed values. They must equal the agreed ones for results to agree.
+
+``AXIS_LABELS`` also fixes which pattern counts first.
+"""
 
 # Identifiers that never name a patient.
 STOP_IDS = ["unknown", "anonymous", "none", "test", "patient"]

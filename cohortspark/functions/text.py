@@ -1,11 +1,14 @@
 """Column functions on identifiers, free text, dates and paths.
 
-Every function takes and returns Columns, so it stays inside code generation.
+Every function takes and returns Columns.  Most stay inside code generation; those that name a value with ``let`` are
+evaluated by Spark's interpreter for lambdas.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -155,8 +158,7 @@ def _spell_out(normed: Column) -> Column:
 
 
 def _any_word(spelled: Column, words: list[str]) -> Column:
-    keywords = F.split(F.lit("|".join(f" {word} " for word in words)), r"\|")  # a constant for the optimizer
-    return F.exists(keywords, lambda word: spelled.contains(word))
+    return reduce(or_, [spelled.contains(f" {word} ") for word in words])
 
 
 def _number_before(normed: Column, unit: str, digits: str) -> Column:

@@ -40,7 +40,11 @@ def scan_vois(files: DataFrame, suffix: str = ".npy") -> DataFrame:
 
 
 def index_vois(files: DataFrame, manifest: DataFrame | None = None, phase: str | None = None) -> DataFrame:
-    """Image and mask pairs for the radiomics study, with class, case, phase and, if given, manifest columns."""
+    """Image and mask pairs for the radiomics study, with class, case, phase and, if given, manifest columns.
+
+    A pair takes the manifest row of its own file: the last one whose ``filename``, without the image suffix, is the
+    pair's name without its side.  Manifest columns that the pair has too are left out.
+    """
     parts = F.split("mask_path", "/")
     rows = scan_vois(files).where(F.col("image_path").isNotNull()).select(
         F.col("voi_id").alias("sample_id"),
@@ -50,10 +54,16 @@ def index_vois(files: DataFrame, manifest: DataFrame | None = None, phase: str |
         F.col("laterality").alias("side"),
         "image_path",
         "mask_path",
+        text.parse_laterality(_without_suffix(text.base_name(F.col("image_path"))))["stem"].alias("_stem"),
     )
     if phase is not None and phase != "all":
         rows = rows.where(F.col("contrast_phase") == phase)
-    return rows if manifest is None else rows.join(manifest, "patient_id", "left")
+    if manifest is None:
+        return rows.drop("_stem")
+    named = manifest_by_filename(manifest).drop(*[c for c in rows.columns if c in manifest.columns])
+    stem = F.regexp_replace("filename", r"(_0000)?\.nii(\.gz)?$", "")
+    named = last_per_key(named.withColumn("_stem", stem), ["_stem"], F.col("filename"))
+    return rows.join(named, "_stem", "left").drop("_stem")
 
 
 def patient_files(files: DataFrame, folder: str = "images", suffix: str = ".npy") -> DataFrame:

@@ -270,3 +270,15 @@ def test_patient_report(spark):
     assert (got["c2"].Status, got["c2"].Comments) == ("Fail", "Error: boom; Processing failed")
     assert (got["c3"].Status, got["c3"].N_Series) == ("Pass", 0)
     assert cohort.patient_comments(results).count() == 4
+
+
+def test_pairs_take_the_manifest_row_of_their_file(spark):
+    files = [f"{k}/A/p1/ven/{n}.npy" for k in ("images", "mask") for n in ("00_case_00001_L", "00_case_00001_R", "01_case_00001_L")]
+    manifest = spark.createDataFrame(
+        [(1, "00_case_00001_0000.nii.gz", "p1", "M1"), (2, "01_case_00001_0000.nii.gz", "p1", "M2"), (3, "00_case_00001_0000.nii.gz", "p1", "M3")],
+        "ord int, filename string, patient_id string, manufacturer string",
+    )
+    got = cohort.index_vois(spark.createDataFrame([(f,) for f in files], "path string"), manifest)
+    assert sorted((r.sample_id.rsplit("/", 1)[1], r.manufacturer) for r in got.collect()) == [
+        ("00_case_00001_L", "M3"), ("00_case_00001_R", "M3"), ("01_case_00001_L", "M2"),
+    ]
