@@ -120,4 +120,55 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
         FROM bits
     """,
+    "op7_lines": r"""
+        WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+        counted AS (
+            SELECT doc_id, ls, list_transform(ls, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS n FROM l
+        ),
+        summed AS (
+            SELECT doc_id, ls, list_transform(range(0, len(ls) + 1), lambda k: coalesce(list_sum(n[1:k]), 0)) AS upto FROM counted
+        ),
+        placed AS (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM summed),
+        runs AS (
+            SELECT doc_id, ls, i AS s, list_filter(range(i, len(ls) + 1), lambda e: upto[e + 1] - upto[i] >= 5)[1] AS e FROM placed
+            UNION
+            SELECT doc_id, ls, list_filter(range(1, i + 1), lambda s: upto[i + 1] - upto[s] >= 5)[-1] AS s, i AS e FROM placed
+        ),
+        judged AS (
+            SELECT doc_id, s, e,
+                doc_id::HUGEINT * 1000000000 + s > min(doc_id::HUGEINT * 1000000000 + s) OVER (PARTITION BY array_to_string(ls[s:e], chr(10))) AS late
+            FROM runs WHERE s IS NOT NULL AND e IS NOT NULL
+        ),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM judged WHERE late
+        ),
+        kept AS (
+            SELECT p.doc_id, count(g.i) AS n_removed, string_agg(p.ls[p.i], chr(10) ORDER BY p.i) FILTER (g.i IS NULL) AS text
+            FROM placed p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i GROUP BY p.doc_id
+        )
+        SELECT l.doc_id, coalesce(len(ls), 0)::INTEGER AS n_lines, coalesce(n_removed, 0)::INTEGER AS n_removed,
+            sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM l LEFT JOIN kept USING (doc_id)
+    """,
+    "op10_substrings": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ),
+        windows AS (
+            SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS i FROM w)
+        ),
+        judged AS (SELECT doc_id, i, doc_id > min(doc_id) OVER (PARTITION BY h) AS late FROM windows),
+        words AS (SELECT doc_id, i, ws[i] AS v FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+        marked AS (
+            SELECT doc_id, i, v,
+                coalesce(bool_or(late) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone
+            FROM words LEFT JOIN judged USING (doc_id, i)
+        ),
+        kept AS (
+            SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(v, ' ' ORDER BY i) FILTER (NOT gone) AS text
+            FROM marked GROUP BY doc_id
+        )
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)
+    """,
 }
