@@ -66,21 +66,16 @@ def _running_ranged(df, keys, order, scans, upper):
     partials = ranged.groupBy("_part", "_key").agg(
         *[_SCANS[fn](f"_in_{name}").alias(f"_t_{name}") for name, (fn, _) in scans.items()]
     )
-    # Only the first key of a partition can have rows in earlier partitions: one carry row per partition.
-    first = ranged.groupBy("_part").agg(F.min("_key").alias("_first")).withColumnRenamed("_part", "_at")
-    carry = (
-        partials.join(F.broadcast(first), F.col("_key").eqNullSafe(F.col("_first")) & (F.col("_part") < F.col("_at")))
-        .groupBy(F.col("_at").alias("_part"), "_first")
-        .agg(*[_SCANS[fn](f"_t_{name}").alias(f"_c_{name}") for name, (fn, _) in scans.items()])
-    )
+    # A running total over the parts of each key.  Only the first key of a part can have rows in earlier parts, so one row
+    # per part is left: the number of partitions bounds what is broadcast.
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = partials.select(
+        F.col("_part").alias("_cp"), F.col("_key").alias("_ck"), *[_SCANS[fn](f"_t_{name}").over(before).alias(f"_c_{name}") for name, (fn, _) in scans.items()]
+    ).where(" or ".join(f"`_c_{name}` is not null" for name in scans))
     window = Window.partitionBy("_part", "_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, upper)
     joined = ranged.select(
         "*", *[_SCANS[fn](f"_in_{name}").over(window).alias(f"_l_{name}") for name, (fn, _) in scans.items()]
-    ).join(
-        F.broadcast(carry.withColumnRenamed("_part", "_cp")),
-        (F.col("_part") == F.col("_cp")) & F.col("_key").eqNullSafe(F.col("_first")),
-        "left",
-    )
+    ).join(F.broadcast(carry), (F.col("_part") == F.col("_cp")) & F.col("_key").eqNullSafe(F.col("_ck")), "left")
     merged = []
     for name, (fn, _) in scans.items():
         local, carried = F.col(f"_l_{name}"), F.col(f"_c_{name}")
@@ -178,12 +173,15 @@ def _ranked_percentiles(folded, by, percents):
     return flat.select(*by, F.array(*points).alias("_q"))
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, by: Sequence[str], salts: int = 16) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str, by: Sequence[str], salts: int | None = None) -> DataFrame:
     """Inner join of many rows with few rows per key, when a single key may hold much of the big side.
 
     The big side is dealt to ``salts`` parts of each key by the columns ``by``, the small side is copied to all of
-    them.  A following aggregate combines the parts before its own shuffle.
+    them.  Without ``salts`` there are 16, or an eighth of the shuffle partitions up to 256.  A following aggregate
+    combines the parts before its own shuffle.
     """
+    if salts is None:
+        salts = min(256, max(16, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     part = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.withColumn("_salt", part).join(copies, [key, "_salt"]).drop("_salt")

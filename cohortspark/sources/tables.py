@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortspark.functions import text
+from cohortspark.session import staging_path
 
 BOM = "﻿"
 
@@ -45,10 +46,17 @@ def read_label_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(manifest: DataFrame, path: str, fmt: str = "parquet", partition: bool = False) -> bool:
-    """Write a manifest, unless it is empty; CSV shows missing values as ``nan``.  Tells whether it wrote."""
-    if manifest.isEmpty():
+    """Write a manifest, unless it is empty; CSV shows missing values as ``nan``.  Tells whether it wrote.
+
+    The rows are staged first, so the test for emptiness does not work them out a second time.
+    """
+    spark = manifest.sparkSession
+    staged = staging_path(spark, "manifest")
+    manifest.write.parquet(staged)
+    rows = spark.read.schema(manifest.schema).parquet(staged)
+    if rows.isEmpty():
         return False
-    writer = manifest.write.mode("overwrite")
+    writer = rows.write.mode("overwrite")
     if partition:
         writer = writer.partitionBy("group", "phase")
     if fmt == "csv":
