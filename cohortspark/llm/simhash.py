@@ -135,9 +135,10 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", *, words: i
 
     Of rows with that key the one with the smallest hash of its text stays, and equal rows count once.
     """
-    rows = df.withColumn("_text_hash", F.xxhash64(text))
-    found = near_duplicates(rows, key, text, carry=("_text_hash",), words=words, radius=radius)
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull(), key, "_text_hash")).alias("r"))
-    kept = first.select(F.col(f"r.{key}").alias("_kept"), F.col("r._text_hash").alias("_kept_hash"))
-    same = rows[key].eqNullSafe(kept["_kept"]) & (rows["_text_hash"] == kept["_kept_hash"])
-    return rows.join(kept, same, "left_semi").dropDuplicates([key, "_text_hash"]).drop("_text_hash")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")  # names of any kind stay apart from those used here
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"), row)
+    found = near_duplicates(rows.select("key", "text", "hash"), "key", "text", carry=("hash",), words=words, radius=radius)
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("key").isNull(), "key", "hash")).alias("r"))
+    kept = first.select(F.col("r.key").alias("kept"), F.col("r.hash").alias("kept_hash"))
+    same = rows["key"].eqNullSafe(kept["kept"]) & (rows["hash"] == kept["kept_hash"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["key", "hash"]).select("row.*")
