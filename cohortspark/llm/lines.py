@@ -124,7 +124,9 @@ def repeated_runs(df: DataFrame, key: str, text: str, min_words: int) -> DataFra
     # Equal size and ranks: one interval of the suffix array.  Its earliest place stays.
     whole = stored(whole.withColumn("at", F.struct("doc", "start")), "runs")
     by = ["size", "head", "tail"]
+    # Stored, so that the join shuffles both sides anew and a run that very many texts share can be split.
     first = whole.groupBy(*by).agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = stored(first, "first")
     return whole.join(first, by).where("at > first").select("doc", "start", "size")
 
 
@@ -138,9 +140,12 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", *, min_w
     rows are edited alike.  An empty table gives no rows.
     """
     stretches = repeated_runs(df, key, text, min_words)
-    cuts = stretches.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("_cut"))  # of one text
-    cuts = cuts.select(F.col("doc.key").alias("_key"), F.col("doc.th").alias("_th"), "_cut")
-    rows = df.join(cuts, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_th")), "left").drop("_key", "_th")
+    cuts = stretches.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("cut"))  # of one text
+    # The columns of ``df`` travel in one struct, so that names of any kind do not meet those of the join.
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    field = lambda name: F.col("row").getField(name)
+    same_row = field(key).eqNullSafe(F.col("doc.key")) & (F.xxhash64(field(text)) == F.col("doc.th"))
+    rows = row.join(cuts, same_row, "left").select("row", "cut")
 
     @pandas_udf("struct<text:string,removed:int>")
     def edit(texts, cuts):
@@ -161,13 +166,12 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", *, min_w
         return pd.DataFrame({"text": out, "removed": gone})
 
     # Only texts that lose lines go to Python; the others are passed as null and stay as they are.
-    touched = F.when(F.col("_cut").isNotNull(), F.col(text))
-    lines = F.coalesce(F.length(text) - F.length(F.translate(F.col(text), "\n", "")) + 1, F.lit(0))
-    columns = [c for c in df.columns if c not in (text, "n_lines", "n_removed")]
-    edited = rows.withColumn("_edit", edit(touched, F.col("_cut"))).select(
-        *columns,
-        F.coalesce("_edit.text", text).alias(text),
-        lines.cast("int").alias("n_lines"),
-        F.col("_edit.removed").alias("n_removed"),
-    )
-    return edited.select(*[c for c in df.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    touched = F.when(F.col("cut").isNotNull(), field(text))
+    lines = F.coalesce(F.length(field(text)) - F.length(F.translate(field(text), "\n", "")) + 1, F.lit(0))
+    rows = rows.withColumn("edit", edit(touched, F.col("cut")))
+    columns = [
+        (F.coalesce("edit.text", field(text)) if c == text else field(c)).alias(c)
+        for c in df.columns
+        if c not in ("n_lines", "n_removed")
+    ]
+    return rows.select(*columns, lines.cast("int").alias("n_lines"), F.col("edit.removed").alias("n_removed"))
