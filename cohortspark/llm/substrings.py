@@ -4,7 +4,7 @@ A suffix matters here if a window of ``window`` words starts at it.  Suffixes ar
 length: the words up to the end of the window's smallest ``PREFIX``-gram (by hash), whose hash names the group.  Equal
 windows have equal prefixes, neighbouring windows mostly share one, so a document gives short fragments instead of one row
 per suffix, and prefixes that only one text has are dropped before any text is moved.  Groups are packed to the memory of a
-task; one prefix with too many fragments is split by document.  Each group sorts its suffixes by doubling; runs of suffixes
+task; one prefix with too many fragments is split by fragment.  Each group sorts its suffixes by doubling; runs of suffixes
 that share ``window`` words are the subtree's deep internal nodes.  Nodes of a split prefix are merged by a second, small table.
 """
 
@@ -24,8 +24,10 @@ from cohortspark.llm.common import stored
 from cohortspark.llm.ngrams import SpanHasher, word_hashes
 
 PREFIX = 10
-#: Fragments in one group, and of one prefix before it is split.
+#: Fragments in one group, and of one prefix in a group.
 GROUP_FRAGMENTS = 12_000
+#: Suffixes in one fragment; a longer run of windows with one prefix gives several.
+FRAGMENT_WINDOWS = 256
 #: Bytes hashed at once.
 PART_BYTES = 1 << 20
 
@@ -182,13 +184,18 @@ def dedup_passages(
             words = _split(t)
             digest = hashlib.sha256(b" ".join(words)).hexdigest()
             low = window_prefixes(hashed_words(words), window) if len(words) >= window else np.zeros(0, np.uint64)
-            found = np.unique(low[_runs(low)[0]])
-            yield (k, h, o, len(words), digest, _signed(found)), 20 + len(found)
+            starts, ends = _runs(low)
+            found, at = np.unique(low[starts], return_inverse=True)
+            pieces = np.bincount(at, -(-(ends - starts) // FRAGMENT_WINDOWS), len(found)).astype(np.int64)
+            yield (k, h, o, len(words), digest, _signed(found), pieces), 20 + 2 * len(found)
 
     meta = stored(
-        _map(rows, "key long, th long, ord long, n_words long, sha string, prefixes array<long>", survey, kinds), "survey"
+        _map(rows, "key long, th long, ord long, n_words long, sha string, prefixes array<long>, pieces array<long>", survey, kinds), "survey"
     )
-    classes = meta.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("ord").alias("least"))
+    # Tables of one row per key are stored before they meet the rows they come from: the join then shuffles both sides
+    # anew, and Spark can split a key that very many rows have.
+    classes = meta.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("ord").alias("least"), F.count("*").alias("n"))
+    classes = stored(classes.where("n > 1").drop("n"), "classes")
     placed = stored(
         meta.join(classes, "sha", "left").select(
             "key", "th", "ord", "n_words", "sha", (F.col("ord") > F.col("least")).alias("copy")
@@ -197,14 +204,15 @@ def dedup_passages(
     )
     # A prefix matters if two different texts have it; texts are told apart by a part of their digest.
     content = F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("content")
-    held = meta.select("key", "th", "ord", "sha", content, F.explode("prefixes").alias("prefix"))
-    shared = held.groupBy("prefix").agg(F.min("content").alias("a"), F.max("content").alias("b"), F.count("*").alias("n"))
-    shared = shared.where("a != b").select("prefix", "n")
-    kept_rows = placed.where("copy = false").select(F.col("key").alias("rk"), F.col("th").alias("rth"))
+    held = meta.select("key", "th", content, F.explode(F.arrays_zip("prefixes", "pieces")).alias("p"))
+    held = held.select("key", "th", "content", F.col("p.prefixes").alias("prefix"), F.col("p.pieces").alias("pieces"))
+    shared = held.groupBy("prefix").agg(F.min("content").alias("a"), F.max("content").alias("b"), F.sum("pieces").alias("n"))
+    shared = stored(shared.where("a != b").select("prefix", "n"), "shared")
+    kept_rows = placed.where(~F.coalesce(F.col("copy"), F.lit(False))).select(F.col("key").alias("rk"), F.col("th").alias("rth"))
     active = (
         held.join(shared, "prefix")
         .groupBy("key", "th")
-        .agg(F.collect_list(F.struct("prefix", "n")).alias("active"))  # at most the prefixes of one text
+        .agg(F.collect_list(F.struct("prefix", "n", "pieces")).alias("active"))  # at most the prefixes of one text
         .withColumnsRenamed({"key": "ak", "th": "ath"})
         .join(kept_rows.distinct(), F.col("ak").eqNullSafe(F.col("rk")) & (F.col("ath") == F.col("rth")), "left_semi")
     )
@@ -220,18 +228,19 @@ def dedup_passages(
             sizes = {x["prefix"]: x["n"] for x in listed}
             for a, b in zip(*_runs(low)):
                 n = sizes.get(int(low[a]))
-                if n is not None:
-                    part = b" ".join(words[a : b + window - 1])
-                    yield (k, h, o, int(low[a]), n, int(a), int(b - a), part), 60 + len(part)
+                for at in range(a, b if n is not None else a, FRAGMENT_WINDOWS):
+                    count = min(FRAGMENT_WINDOWS, int(b) - at)
+                    part = b" ".join(words[at : at + count + window - 1])
+                    yield (k, h, o, int(low[a]), n, int(at), count, part), 60 + len(part)
 
     cut = _map(
         texts.select("key", "th", "ord", "text", "active"),
         "key long, th long, ord long, prefix long, held long, start long, n long, words binary", fragments, kinds,
     )
-    total = texts.agg(F.sum(F.size("active"))).first()[0] or 0
+    total = texts.agg(F.sum(F.aggregate("active.pieces", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
     groups = max(1, -(-total // group_fragments))
     parts = F.ceil(F.col("held") / group_fragments)
-    salt = F.pmod(F.xxhash64("ord", "th"), parts)
+    salt = F.pmod(F.xxhash64("ord", "th", "start"), parts)
     dealt = cut.withColumn("group", F.pmod(F.xxhash64("prefix", salt), F.lit(groups))).withColumn("split", parts > 1)
     dealt = dealt.select("key", "th", "ord", "start", "n", "words", "split", "group")
     out = T.StructType.fromDDL("key long, th long, ord long, start long, end long, node boolean, h1 long, h2 long")
