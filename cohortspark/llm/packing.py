@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,9 +16,11 @@ from cohortspark.llm.common import TEXT_ROWS, stored
 from cohortspark.llm.tokens import word_tokens
 
 CAPACITY = 2048
-#: Fillings looked at per bin, and bins completed in all, before the best packing so far is taken.
-FILLINGS = 12
-NODES = 20_000
+#: Fillings kept per bin, pieces chosen and sizes tried for each before best fit goes on, and bins completed in all, before the best packing so far is taken.
+FILLINGS = 8
+DEPTH = 3
+BRANCHES = 24
+NODES = 3_000
 
 _END = b"\0\0\0\0"
 
@@ -30,106 +33,114 @@ class Filling:
     times: int
 
 
-def fillings(largest: int, left: dict[int, int], sizes: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Undominated ways to complete a bin that holds ``largest``: ``(added sizes, waste)``, least waste first.
+def waste_bound(counts: np.ndarray, capacity: int) -> int:
+    """A number of bins that no packing can beat.
 
-    Sizes are added in falling order.  A way that wastes no less than one with fewer and larger pieces is dominated by
-    it, so a longer way is only kept while it wastes less than the best shorter one.
+    For each ``k``: pieces above ``capacity - k`` stand alone among pieces of at least ``k``, those above half a bin have a bin each, and the
+    others of at least ``k`` use what these leave.
     """
-    found: list[tuple[tuple[int, ...], int]] = []
-    array = np.array(sizes)  # falling
-    free = capacity - largest
-
-    def fits(room: int, after: int) -> int:
-        """First place from ``after`` whose size is at most ``room``."""
-        return max(after, int(np.searchsorted(-array, -room)))
-
-    best = free
-    at = fits(free, 0)
-    if at == len(array):
-        return [((), free)]
-    single = int(array[at])
-    found.append(((single,), free - single))
-    best = free - single
-    # Two pieces: the larger one from the top, the smaller one the largest that still fits.
-    stack = [((), free, at)]
-    for depth in (2, 3, 4):
-        if best == 0:
+    sizes = np.arange(capacity + 1)
+    number = np.concatenate([[0], np.cumsum(counts)])
+    volume = np.concatenate([[0], np.cumsum(counts * sizes)])
+    half = capacity // 2
+    k = np.arange(half + 1)
+    large = number[-1] - number[capacity - k + 1]
+    middle = number[capacity - k + 1] - number[half + 1]
+    room = middle * capacity - (volume[capacity - k + 1] - volume[half + 1])
+    small = volume[half + 1] - volume[k]
+    bounds = large + middle + np.maximum(0, -(-(small - room) // capacity))
+    return int(max(bounds.max(), -(-volume[-1] // capacity)))
+
+
+def _best_fit(counts: np.ndarray, sizes: np.ndarray, chosen: list[int], room: int) -> tuple[tuple[int, ...], int]:
+    """``chosen`` and the largest pieces that still fit, one after another; and the room that is left."""
+    held = Counter(chosen)
+    added = list(chosen[1:])
+    at = len(sizes)
+    while room:
+        at = min(at, int(np.searchsorted(sizes, room, "right")))
+        while at and counts[sizes[at - 1]] <= held[int(sizes[at - 1])]:
+            at -= 1
+        if not at:
             break
-        ways = []
-        for chosen, room, start in stack[:FILLINGS]:
-            for i in range(start, min(len(array), start + 4 * FILLINGS)):
-                size = int(array[i])
-                if room - size < 0 or left[size] <= chosen.count(size) + (size == largest):
-                    continue
-                here = (*chosen, size)
-                rest = room - size
-                j = fits(rest, i)
-                while j < len(array) and left[int(array[j])] <= here.count(int(array[j])) + (int(array[j]) == largest):
-                    j += 1
-                if j < len(array):
-                    last = int(array[j])
-                    if rest - last < best:
-                        best = rest - last
-                        found.append(((*here, last), best))
-                    ways.append((here, rest, i))
-                if best == 0:
-                    break
-            if best == 0:
-                break
-        stack = ways
-    found.sort(key=lambda f: (f[1], len(f[0])))
-    return found[:FILLINGS]
+        size = int(sizes[at - 1])
+        n = int(min(room // size, counts[size] - held[size]))
+        held[size] += n
+        added += [size] * n
+        room -= n * size
+    return tuple(added), room
 
 
-def _greedy(left: dict[int, int], capacity: int) -> list[Filling]:
-    """Best fit, falling: around each largest piece, add the largest that fits until none does."""
-    left = {s: n for s, n in left.items() if n}
-    out = []
-    while left:
-        sizes = sorted(left, reverse=True)
-        held: dict[int, int] = {sizes[0]: 1}
-        room = capacity - sizes[0]
-        for size in sizes:
-            n = min(room // size, left[size] - held.get(size, 0))
-            if n > 0:
-                held[size] = held.get(size, 0) + n
-                room -= n * size
-            if not room:
-                break
-        out.append(_take(left, held))
-    return out
+def fillings(counts: np.ndarray, largest: int, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Ways to complete a bin that holds ``largest``: ``(added sizes, waste)``, least waste first.
+
+    Up to ``DEPTH`` pieces are chosen in falling order, the rest is best fit.  A way is dominated by one with fewer and larger
+    pieces that wastes no more, so a longer choice is only kept while it wastes less than every shorter one.
+    """
+    sizes = np.flatnonzero(counts)
+    start = [largest]
+    whole = _best_fit(counts, sizes, start, capacity - largest)
+    found, best = [whole], whole[1]
+    stack = [(start, capacity - largest)]
+    for _ in range(DEPTH):
+        if not best:
+            break
+        ways = []
+        for chosen, room in stack:
+            most = min(room, chosen[-1]) if len(chosen) > 1 else room
+            for size in sizes[: np.searchsorted(sizes, most, "right")][::-1][:BRANCHES].tolist():
+                if counts[size] > chosen.count(size):
+                    ways.append(([*chosen, size], room - size))
+        for chosen, room in ways:
+            way = _best_fit(counts, sizes, chosen, room)
+            if way[1] < best:
+                found.append(way)
+                best = way[1]
+                if not best:
+                    break
+        stack = ways[:BRANCHES]
+    return sorted(found, key=lambda f: f[1])[:FILLINGS]
 
 
-def _take(left: dict[int, int], held: dict[int, int]) -> Filling:
+def _take(left: np.ndarray, held: dict[int, int]) -> Filling:
     """Use a filling as often as the pieces last."""
-    times = min(left[s] // n for s, n in held.items())
+    times = int(min(left[s] // n for s, n in held.items()))
     for s, n in held.items():
         left[s] -= n * times
-        if not left[s]:
-            del left[s]
     return Filling(tuple(sorted(held.items(), reverse=True)), times)
 
 
+def _greedy(counts: np.ndarray, capacity: int) -> list[Filling]:
+    """Best fit, falling: around each largest piece, add the largest that fits until none does."""
+    left = counts.copy()
+    out = []
+    while len(sizes := np.flatnonzero(left)):
+        largest = int(sizes[-1])
+        added, _ = _best_fit(left, sizes, [largest], capacity - largest)
+        out.append(_take(left, dict(Counter((largest, *added)))))
+    return out
+
+
 def pack_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[Filling]:
     """Fillings for all pieces, given how many there are of each size from 1 to ``capacity``.
 
     Depth first over bins: the largest piece left is completed in each undominated way, least waste first, and a filling is
-    used as often as the pieces last.  A branch whose bins, with the rest packed without waste, would not be fewer
-    than the incumbent's is cut.  The first incumbent is best fit; the search ends at the lower bound, or after ``NODES``.
+    used as often as the pieces last.  A branch whose bins, with the waste bound of the rest, would not be fewer than
+    the incumbent's is cut.  The first incumbent is best fit; the search ends at the bound of all pieces, or after ``NODES``.
     """
-    total = sum(s * n for s, n in counts.items())
-    least = -(-total // capacity)
-    best = _greedy(counts, capacity)
+    start = np.zeros(capacity + 1, np.int64)
+    for size, n in counts.items():
+        start[size] = n
+    least = waste_bound(start, capacity)
+    best = _greedy(start, capacity)
     best_bins = sum(f.times for f in best)
-    nodes = 0
-    # A node: pieces left, fillings so far, bins so far, and the ways still to try.
-    def open_node(left, done, bins):
-        sizes = sorted(left, reverse=True)
-        return [left, done, bins, iter(fillings(sizes[0], left, sizes, capacity)), sizes[0]]
 
-    start = {s: n for s, n in counts.items() if n}
-    path = [open_node(start, (), 0)] if start else []
+    def node(left: np.ndarray, done, bins: int):
+        largest = int(np.flatnonzero(left)[-1])
+        return left, done, bins, iter(fillings(left, largest, capacity)), largest
+
+    path = [node(start, (), 0)] if best_bins > least else []
+    nodes = 0
     while path and best_bins > least and nodes < NODES:
         left, done, bins, ways, largest = path[-1]
         way = next(ways, None)
@@ -137,24 +148,15 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[Fillin
             path.pop()
             continue
         nodes += 1
-        held: dict[int, int] = {largest: 1}
-        for size in way[0]:
-            held[size] = held.get(size, 0) + 1
-        if any(left.get(s, 0) < n for s, n in held.items()):
-            continue
-        after = dict(left)
-        filling = _take(after, held)
+        after = left.copy()
+        filling = _take(after, dict(Counter((largest, *way[0]))))
         used = bins + filling.times
-        rest = sum(s * n for s, n in after.items())
-        if used + -(-rest // capacity) >= best_bins:
+        if used + waste_bound(after, capacity) >= best_bins:
             continue
-        if not after:
+        if after.any():
+            path.append(node(after, (done, filling), used))
+        else:
             best, best_bins = _chain((done, filling)), used
-            continue
-        tail = _greedy(after, capacity)
-        if used + (n := sum(f.times for f in tail)) < best_bins:
-            best, best_bins = _chain((done, filling)) + tail, used + n
-        path.append(open_node(after, (done, filling), used))
     return best
 
 

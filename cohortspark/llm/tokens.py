@@ -5,14 +5,24 @@ from __future__ import annotations
 import os
 import struct
 
+import numpy as np
 from tokenizers import Tokenizer
 
-#: Words remembered per worker; the memo starts anew beyond that.
-MEMO_WORDS = 300_000
+#: Words of a memo; beyond that it becomes the older one of two, from which words in use are taken over.
+MEMO_WORDS = 250_000
+
+#: Words given to the tokenizer in one call.
+ASKED_WORDS = 4_096
 
 _PUNCTUATION = ".,;:!?"
 
 
+#: Byte-level vocabularies write a byte as the Latin-1 character of its value if that is visible, and the others, in order,
+#: as the characters from 256 on.
+_HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+
+
 class WordTokens:
     """``encode`` gives little-endian 32-bit ids, equal to those of the tokenizer on the whole text.
 
@@ -25,36 +35,64 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merge = self.tokenizer.model.tokenize  # ids of one pre-token
         self.line_feed = self._whole("\n")
+        self.feed_id = struct.unpack("<I", self.line_feed)[0] if len(self.line_feed) == 4 else None
         self.marks = {c: self._whole(c) for c in _PUNCTUATION}
-        self.first: dict[str, bytes | None] = {}
-        self.after_blank: dict[str, bytes | None] = {}
+        self.blank = " ".translate(_BYTE_LETTERS)
+        self.memo: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, memo: dict, words: set, before: str) -> None:
-        missing = words - memo.keys()
-        if len(memo) + len(missing) > MEMO_WORDS:
-            memo.clear()
-            missing = words
-        marked, plain = [], set()
+    def _learn(self, missing: set) -> None:
+        """Ids of words as they stand after a blank, or, if a word begins with a line feed, after that."""
+        if len(self.memo) > MEMO_WORDS:
+            self.older, self.memo = self.memo, {}
+        memo, older, merge, pack = self.memo, self.older, self.merge, struct.pack
+        rest = []
         for word in missing:
-            if len(word) > 1 and word[-1] in _PUNCTUATION and word[:-1].isalpha():
-                marked.append(word)
-                if word[:-1] not in memo:
-                    plain.add(word[:-1])
-            elif word.split() == [word]:
-                plain.add(word)
+            ids = older.get(word)
+            if ids is not None:
+                memo[word] = ids
+                continue
+            after_feed = word[0] == "\n"
+            body = word[1:] if after_feed else word
+            mark = self.marks.get(body[-1:], b"")
+            letters = body[:-1] if mark else body
+            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0250"):
+                # Letters of blocks that all Unicode versions agree on, and perhaps a mark: one or two pre-tokens.
+                ids = (memo.get(letters) or older.get(letters)) if mark and not after_feed else None
+                if ids is None:
+                    # Visible ASCII stands for itself, so most words need no rewriting.
+                    written = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                    found = [t.id for t in merge(written if after_feed else self.blank + written)]
+                    ids = pack(f"<{len(found)}I", *found)
+                    if after_feed:
+                        ids = self.line_feed + ids
+                    elif mark:
+                        memo[letters] = ids
+                memo[word] = ids + mark
+            elif body.split() == [body]:
+                rest.append(word)
             else:
                 memo[word] = None  # white space of another kind inside: such a text is not split here
-        asked = list(plain)
-        for word, found in zip(asked, self.tokenizer.encode_batch_fast([before + w for w in asked], add_special_tokens=False)):
-            ids = found.ids
-            memo[word] = struct.pack(f"<{len(ids)}I", *ids)
-        for word in marked:
-            memo[word] = memo[word[:-1]] + self.marks[word[-1]]
+        for at in range(0, len(rest), ASKED_WORDS):
+            part = rest[at : at + ASKED_WORDS]
+            bodies = self._separate([w[1:] if w[0] == "\n" else " " + w for w in part])
+            memo.update((w, self.line_feed + b if w[0] == "\n" else b) for w, b in zip(part, bodies))
+
+    def _separate(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, from one call: line feeds between the words are tokens of their own."""
+        ids = np.array(self.tokenizer.encode("\n".join(words), add_special_tokens=False).ids, "<u4")
+        cut = np.flatnonzero(ids == self.feed_id) if self.feed_id is not None else np.zeros(0, int)
+        if len(cut) != len(words) - 1:
+            return [self._whole(w) for w in words]
+        raw = ids.tobytes()
+        ends = [*(4 * cut).tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends)]
 
     def _regular(self, text: str) -> bool:
         return not (
@@ -65,24 +103,26 @@ class WordTokens:
         )
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[line.split(" ") for line in t.split("\n")] if self._regular(t) else None for t in texts]
-        first, rest = set(), set()
-        for lines in split:
-            for parts in lines or ():
-                first.add(parts[0])
-                rest.update(parts[1:])
-        self._learn(self.first, first, "")
-        self._learn(self.after_blank, rest, " ")
+        # Every line feed gets a blank before it, so that one split gives all words; the first word counts as one after a
+        # line feed, whose id is cut off at the end.
+        split = [("\n" + t).replace("\n", " \n").split(" ") if self._regular(t) else None for t in texts]
+        found = [p and list(map(self.memo.get, p)) for p in split]
+        missing = set()
+        gaps = []
+        for parts, ids in zip(split, found):
+            gap = [i for i, x in enumerate(ids) if x is None][1:] if parts else []  # the first part is empty
+            missing.update([parts[i] for i in gap])
+            gaps.append(gap)
+        self._learn(missing)
+        memo = self.memo
         out = []
-        for text, lines in zip(texts, split):
-            if lines is not None:
-                pieces = []
-                for parts in lines:
-                    pieces.append(self.line_feed)
-                    pieces.append(self.first[parts[0]])
-                    pieces.extend(map(self.after_blank.__getitem__, parts[1:]))
-                if None not in pieces:
-                    out.append(b"".join(pieces[1:]))
+        for text, parts, ids, gap in zip(texts, split, found, gaps):
+            if parts:
+                for i in gap:
+                    ids[i] = memo[parts[i]]
+                ids[0] = b""
+                if None not in ids:
+                    out.append(b"".join(ids)[len(self.line_feed) :])
                     continue
             out.append(self._whole(text))
         return out
