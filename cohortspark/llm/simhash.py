@@ -118,6 +118,15 @@ def near_duplicates(
     so groups of copies cost nothing.  Null keys are kept, and are never the smallest unless no other is there; repeated
     rows stay repeated; an empty table gives no rows.
     """
+    digits = F.lower(F.lpad(F.hex("bits"), 16, "0"))
+    return _grouped(df, key, text, carry, words, radius).select(key, digits.alias("fingerprint"), "component_id", *carry)
+
+
+def _grouped(df: DataFrame, key: str, text: str, carry: tuple[str, ...], words: int, radius: int) -> DataFrame:
+    """``key``, ``carry``, ``bits``, ``component_id`` and ``root``, the smallest fingerprint of the component, of every row.
+
+    Only ``root`` tells components apart: ``component_id`` does not where keys are null or repeated.
+    """
     prints = stored(fingerprints(df, [key, *carry], text, words), "fingerprints")
     nodes = stored(prints.groupBy("bits").agg(F.min(key).alias("least")), "nodes")
     roots = connected_components(links(nodes.select("bits"), radius))
@@ -125,9 +134,8 @@ def near_duplicates(
         "bits", "least", F.coalesce("root", "bits").alias("root")
     )
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(ids, "root").select("bits", "component_id")
-    digits = F.lower(F.lpad(F.hex("bits"), 16, "0"))
-    return prints.join(named, "bits").select(key, digits.alias("fingerprint"), "component_id", *carry)
+    named = placed.join(ids, "root").select("bits", "root", "component_id")
+    return prints.join(named, "bits")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 3, radius: int = 2) -> DataFrame:
@@ -137,8 +145,8 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", *, words: i
     """
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")  # names of any kind stay apart from those used here
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"), row)
-    found = near_duplicates(rows.select("key", "text", "hash"), "key", "text", carry=("hash",), words=words, radius=radius)
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("key").isNull(), "key", "hash")).alias("r"))
+    found = _grouped(rows.select("key", "text", "hash"), "key", "text", ("hash",), words, radius)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), "key", "hash")).alias("r"))
     kept = first.select(F.col("r.key").alias("kept"), F.col("r.hash").alias("kept_hash"))
     same = rows["key"].eqNullSafe(kept["kept"]) & (rows["hash"] == kept["kept_hash"])
     return rows.join(kept, same, "left_semi").dropDuplicates(["key", "hash"]).select("row.*")

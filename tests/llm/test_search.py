@@ -128,3 +128,14 @@ def test_near_duplicates_odd_rows(spark):
     kept = keep_one(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 9]
     assert near_duplicates(df.limit(0)).count() == 0 and keep_one(df.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_where_keys_do_not_tell_groups_apart(spark):
+    a, b, c, d = ("one two three four", "quite another text here", "third text without a key", "fourth of them all")
+    rows = [(None, a), (None, b), (None, c), (5, c + " x y"), (5, d), (7, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((tuple(r) for r in keep_one(df).collect()), key=str)
+    assert kept == sorted([(None, a), (None, b), (None, c), (5, c + " x y"), (5, d)], key=str)
+    # (5, 'text A'), (5, 'text B'), (7, 'text B') are two components that are both called 5
+    df = spark.createDataFrame([(5, a), (5, b), (7, b)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in keep_one(df).collect()) == [(5, a), (5, b)]
