@@ -2,12 +2,15 @@
 
 import random
 from itertools import combinations
+from unittest import mock
 
 import numpy as np
 import pytest
 
+from cohortspark.llm import nearcopies
 from cohortspark.llm.balltree import BallTree, top_k
 from cohortspark.llm.links import connected_components
+from cohortspark.llm.nearcopies import keep_one_copy
 from cohortspark.llm.simhash import BITS, covering_masks, fingerprint, keep_one, links, near_duplicates
 
 rng = np.random.default_rng(5)
@@ -139,3 +142,42 @@ def test_one_row_of_each_group_where_keys_do_not_tell_groups_apart(spark):
     # (5, 'text A'), (5, 'text B'), (7, 'text B') are two components that are both called 5
     df = spark.createDataFrame([(5, a), (5, b), (7, b)], "doc_id long, text string")
     assert sorted(tuple(r) for r in keep_one(df).collect()) == [(5, a), (5, b)]
+
+
+def jaccard(a, b):
+    split = lambda t: t.lower().split()
+    one, two = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (split(a), split(b)))
+    return len(one & two) / len(one | two)
+
+
+@pytest.mark.parametrize("pairs", [0, 8])
+def test_near_copies_against_all_pairs(spark, pairs):
+    """``pairs = 0`` takes the way for large buckets."""
+    random.seed(8)
+    word = lambda: "".join(random.choice("abcdef") for _ in range(4))
+    texts = []
+    for group in [1] * 10 + [3] * 10 + [25]:
+        base = [word() for _ in range(random.choice([3, 60, 120]))]
+        for _ in range(group):
+            copy = list(base)
+            for i in random.sample(range(len(copy)), random.randint(0, min(3, len(copy)))):
+                copy[i] = word()
+            texts.append(" ".join(copy))
+    root = list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        if jaccard(texts[a], texts[b]) >= 0.8:
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in enumerate(texts)], "doc_id long, text string, row string, node int")
+    with mock.patch.object(nearcopies, "PAIRS_A_MEMBER", pairs):
+        got = keep_one_copy(df)
+        assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == sorted(set(root))
+
+
+def test_near_copies_odd_rows(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve one more"
+    rows = [(None, a), (None, b), (5, "x " + b), (5, "short"), (7, "SHORT"), (9, None), (8, ""), (8, ""), (6, "  ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in keep_one_copy(df).collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (5, "x " + b), (5, "short"), (6, "  ")], key=str)
+    assert keep_one_copy(df.limit(0)).count() == 0
