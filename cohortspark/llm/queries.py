@@ -15,6 +15,7 @@ from cohortspark.llm.quality import score_quality, train_quality_model
 from cohortspark.llm.secrets import secret_scan
 from cohortspark.llm.simhash import near_duplicates
 from cohortspark.llm.substrings import dedup_passages
+from cohortspark.llm.turntrie import prefix_trie, with_shared_heads
 from cohortspark.llm.warc import read_warc, write_warc
 from cohortspark.session import staging_path
 
@@ -85,7 +86,17 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_passages(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_topk, op3_simhash, op4_packing, op5_quality, op6_warc, op7_lines, op8_decontamination, op9_secrets, op10_substrings)}
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(with_shared_heads(read_table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language, op2_topk, op3_simhash, op4_packing, op5_quality, op6_warc, op7_lines, op8_decontamination, op9_secrets,
+        op10_substrings, op11_trie,
+    )
+}
 ORACLE_SQL: dict[str, str] = {
     "op2_topk": """
         WITH v AS (
@@ -171,4 +182,45 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id)
     """,
+    "op11_trie": """
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY i) AS ts FROM t GROUP BY conv_id),
+        sized AS (
+            SELECT *, xor(4294967295, list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                lambda crc, b: list_reduce(
+                    list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                    lambda y, z: xor(y >> 1, 3988292384 * (y & 1))
+                )
+            )) % 9 AS h
+            FROM own
+        ),
+        rebuilt AS (
+            SELECT s.conv_id, list_concat(coalesce(b.ts, [])[1:s.h], s.ts[s.h + 1:]) AS ts
+            FROM sized s LEFT JOIN own b ON b.conv_id = s.conv_id - s.conv_id % 5
+        ),
+        prefixes AS (SELECT conv_id, len(ts) AS n, d, ts[1:d] AS p FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM rebuilt)),
+        nodes AS (
+            SELECT p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+            FROM prefixes GROUP BY p, d
+        ),
+        edges AS (SELECT p[1:depth - 1] AS up, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+        counted AS (
+            SELECT nodes.*, coalesce(n_children, 0) AS n_children,
+                CASE WHEN depth > 0 THEN (n_convs - 1) * octet_length(encode(p[depth].text)) ELSE 0 END AS saved
+            FROM nodes LEFT JOIN edges ON up = p
+        ),
+        above AS (
+            SELECT p[1:e] AS a, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+            FROM (SELECT *, unnest(range(0, depth + 1)) AS e FROM counted) GROUP BY 1
+        )
+        SELECT c.conv_id, c.depth::BIGINT AS depth, parent.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves,
+            saved_tokens::BIGINT AS saved_tokens, c.ends_sha256
+        FROM counted c JOIN above ON a = c.p LEFT JOIN nodes parent ON c.depth > 0 AND parent.p = c.p[1:c.depth - 1]
+    """,
 }

@@ -18,10 +18,11 @@ COLUMNS = {
     "op8_decontamination": ["doc_id", "item_id", "bm25", "overlap", "question_overlap", "answer_overlap"],
     "op9_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
     "op10_substrings": ["doc_id", "n_words", "n_removed", "kept_sha256"],
+    "op11_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
 }
 
 
-def test_all_ten():
+def test_all_queries():
     assert {k: v for k, v in COLUMNS.items()}.keys() == queries.QUERIES.keys()
 
 
@@ -33,7 +34,7 @@ def test_columns(spark, name):
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     rel = con.sql(queries.ORACLE_SQL[name])
