@@ -17,6 +17,7 @@ from cohortspark.llm.simhash import near_duplicates
 from cohortspark.llm.substrings import dedup_passages
 from cohortspark.llm.turntrie import prefix_trie, with_shared_heads
 from cohortspark.llm.warc import read_warc, write_warc
+from cohortspark.llm.windows import pack_windows
 from cohortspark.session import staging_path
 
 
@@ -90,11 +91,16 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(with_shared_heads(read_table(spark, sf_dir, "conversations")))
 
 
+def op12_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_windows(read_table(spark, sf_dir, "documents"), vocabulary())
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language, op2_topk, op3_simhash, op4_packing, op5_quality, op6_warc, op7_lines, op8_decontamination, op9_secrets,
-        op10_substrings, op11_trie,
+        op10_substrings, op11_trie, op12_windows,
     )
 }
 ORACLE_SQL: dict[str, str] = {
