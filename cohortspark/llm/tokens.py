@@ -1,131 +1,73 @@
-"""Token ids of whole texts by a byte-level BPE file, with a memo of words."""
+"""Token ids of whole texts by a byte-level BPE file."""
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 
-import numpy as np
+import tiktoken
 from tokenizers import Tokenizer
 
-#: Words of a memo; beyond that it becomes the older one of two, from which words in use are taken over.
-MEMO_WORDS = 250_000
-
-#: Words given to the tokenizer in one call.
-ASKED_WORDS = 4_096
-
-_PUNCTUATION = ".,;:!?"
-
+# Fixed value: how a byte-level vocabulary splits a text into words before merging.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Byte-level vocabularies write a byte as the Latin-1 character of its value if that is visible, and the others, in order,
 #: as the characters from 256 on.
 _HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
-_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+_BYTES = {chr(b): b for b in range(256) if b not in _HIDDEN} | {chr(256 + i): b for i, b in enumerate(_HIDDEN)}
+
+#: Characters of blocks that have long been settled; the two libraries may follow different versions of Unicode in others.
+_UNSETTLED = re.compile("[^\t\n\r -~\xa1-ɏ]")
 
 
 class WordTokens:
     """``encode`` gives little-endian 32-bit ids, equal to those of the tokenizer on the whole text.
 
-    The pre-tokenizer never joins characters across white space, except that one blank goes with the word after it.  So a
-    text whose only white space is single blanks and single line feeds between words is the sequence of its words,
-    each of which is asked for once.  Any other text is given to the tokenizer as a whole.
+    Where the file's merges are numbered in the order in which they apply, as rank tables have it, a faster encoder of the
+    same merges is used.  Texts that hold a special token or characters outside the settled blocks, and those whose white
+    space is too long for that encoder, go to the tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.merge = self.tokenizer.model.tokenize  # ids of one pre-token
-        self.line_feed = self._whole("\n")
-        self.feed_id = struct.unpack("<I", self.line_feed)[0] if len(self.line_feed) == 4 else None
-        self.marks = {c: self._whole(c) for c in _PUNCTUATION}
-        self.blank = " ".translate(_BYTE_LETTERS)
-        self.memo: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
+        self.ranked = self._ranked(path)
+
+    def _ranked(self, path: str) -> tiktoken.Encoding | None:
+        """The same vocabulary as a table of ranks, if it is one."""
+        with open(path, encoding="utf-8") as f:
+            whole = json.load(f)
+        model, split = whole["model"], whole.get("pre_tokenizer") or {}
+        plain = split == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        options = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        if model["type"] != "BPE" or not plain or whole.get("normalizer") or any(model.get(o) for o in options):
+            return None
+        ids = model["vocab"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        numbers = [ids.get(a + b, -1) for a, b in merges]
+        ranks = {bytes(_BYTES[c] for c in word): i for word, i in ids.items() if word not in self.special}
+        letters = [ranks.get(bytes([b]), 1 << 40) for b in range(256)]
+        if len(ranks) != 256 + len(merges) or any(a >= b for a, b in zip([max(letters), *numbers], numbers)):
+            return None
+        return tiktoken.Encoding("file", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, missing: set) -> None:
-        """Ids of words as they stand after a blank, or, if a word begins with a line feed, after that."""
-        if len(self.memo) > MEMO_WORDS:
-            self.older, self.memo = self.memo, {}
-        memo, older, merge, pack = self.memo, self.older, self.merge, struct.pack
-        rest = []
-        for word in missing:
-            ids = older.get(word)
-            if ids is not None:
-                memo[word] = ids
-                continue
-            after_feed = word[0] == "\n"
-            body = word[1:] if after_feed else word
-            mark = self.marks.get(body[-1:], b"")
-            letters = body[:-1] if mark else body
-            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0250"):
-                # Letters of blocks that all Unicode versions agree on, and perhaps a mark: one or two pre-tokens.
-                ids = (memo.get(letters) or older.get(letters)) if mark and not after_feed else None
-                if ids is None:
-                    # Visible ASCII stands for itself, so most words need no rewriting.
-                    written = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
-                    found = [t.id for t in merge(written if after_feed else self.blank + written)]
-                    ids = pack(f"<{len(found)}I", *found)
-                    if after_feed:
-                        ids = self.line_feed + ids
-                    elif mark:
-                        memo[letters] = ids
-                memo[word] = ids + mark
-            elif body.split() == [body]:
-                rest.append(word)
-            else:
-                memo[word] = None  # white space of another kind inside: such a text is not split here
-        for at in range(0, len(rest), ASKED_WORDS):
-            part = rest[at : at + ASKED_WORDS]
-            bodies = self._separate([w[1:] if w[0] == "\n" else " " + w for w in part])
-            memo.update((w, self.line_feed + b if w[0] == "\n" else b) for w, b in zip(part, bodies))
-
-    def _separate(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, from one call: line feeds between the words are tokens of their own."""
-        ids = np.array(self.tokenizer.encode("\n".join(words), add_special_tokens=False).ids, "<u4")
-        cut = np.flatnonzero(ids == self.feed_id) if self.feed_id is not None else np.zeros(0, int)
-        if len(cut) != len(words) - 1:
-            return [self._whole(w) for w in words]
-        raw = ids.tobytes()
-        ends = [*(4 * cut).tolist(), len(raw)]
-        return [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends)]
-
-    def _regular(self, text: str) -> bool:
-        return not (
-            not text
-            or text[0] in " \n"
-            or text[-1] in " \n"
-            or any(x in text for x in ("  ", " \n", "\n ", "\n\n", *self.special))
-        )
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        # Every line feed gets a blank before it, so that one split gives all words; the first word counts as one after a
-        # line feed, whose id is cut off at the end.
-        split = [("\n" + t).replace("\n", " \n").split(" ") if self._regular(t) else None for t in texts]
-        found = [p and list(map(self.memo.get, p)) for p in split]
-        missing = set()
-        gaps = []
-        for parts, ids in zip(split, found):
-            gap = [i for i, x in enumerate(ids) if x is None][1:] if parts else []  # the first part is empty
-            missing.update([parts[i] for i in gap])
-            gaps.append(gap)
-        self._learn(missing)
-        memo = self.memo
-        out = []
-        for text, parts, ids, gap in zip(texts, split, found, gaps):
-            if parts:
-                for i in gap:
-                    ids[i] = memo[parts[i]]
-                ids[0] = b""
-                if None not in ids:
-                    out.append(b"".join(ids)[len(self.line_feed) :])
-                    continue
-            out.append(self._whole(text))
-        return out
+        return [self._encode(text) for text in texts]
+
+    def _encode(self, text: str) -> bytes:
+        if self.ranked is not None and not _UNSETTLED.search(text) and not any(s in text for s in self.special):
+            try:
+                return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:  # a run of some hundred thousand blanks, which its splitter cannot hold
+                pass
+        return self._whole(text)
 
 
 _loaded: dict[str, WordTokens] = {}
