@@ -10,6 +10,7 @@ from cohortspark.llm.common import fold, read_table
 from cohortspark.llm.decontaminate import find_leaks
 from cohortspark.llm.language import predict_language, train_language_model
 from cohortspark.llm.lines import dedup_lines
+from cohortspark.llm.multiindex import hard_negatives
 from cohortspark.llm.packing import pack
 from cohortspark.llm.quality import score_quality, train_quality_model
 from cohortspark.llm.secrets import secret_scan
@@ -96,11 +97,17 @@ def op12_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.select("vec_id", "embedding", label.alias("label")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language, op2_topk, op3_simhash, op4_packing, op5_quality, op6_warc, op7_lines, op8_decontamination, op9_secrets,
-        op10_substrings, op11_trie, op12_windows,
+        op10_substrings, op11_trie, op12_windows, op13_negatives,
     )
 }
 ORACLE_SQL: dict[str, str] = {
@@ -229,4 +236,27 @@ ORACLE_SQL: dict[str, str] = {
             saved_tokens::BIGINT AS saved_tokens, c.ends_sha256
         FROM counted c JOIN above ON a = c.p LEFT JOIN nodes parent ON c.depth > 0 AND parent.p = c.p[1:c.depth - 1]
     """,
+    "op13_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+        ),
+        positive AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id,
+            row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+            vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positive JOIN scored USING (anchor_id)
+        WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10
+    """,
 }

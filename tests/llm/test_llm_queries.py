@@ -20,6 +20,7 @@ COLUMNS = {
     "op10_substrings": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op11_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
     "op12_windows": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+    "op13_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
 }
 
 
