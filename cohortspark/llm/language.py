@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.common import labelled_sample, map_texts
-from cohortspark.llm.ngrams import blocks, gram_hashes
+from cohortspark.llm.ngrams import crossing, gram_hashes, text_blocks
 
 UND = "und"
 BITS = 11
@@ -35,17 +35,22 @@ _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def features(texts: list) -> np.ndarray:
-    """Rows of unit length: hashed counts of 1 to 4 bytes of the lower-cased text, all of it."""
+    """Rows of unit length: hashed counts of 1 to 4 bytes of the lower-cased text, all of it.
+
+    A row rests on its own text alone: windows that would run over a text's end are left out.
+    """
     size = 1 << BITS
     width = size * len(GRAMS)
     counts = np.zeros((len(texts), width), np.float32)
     raw = [b" ".join((t or "").lower().encode("utf-8", "replace").translate(_LETTERS).split()) for t in texts]
-    for buffer, owner in blocks(raw, b" ", max(GRAMS) - 1):
+    for buffer, owner, ends in text_blocks(raw, b" ", max(GRAMS) - 1):
         rows = np.arange(owner[0], owner[-1] + 1)
         row = owner - owner[0]
         for g, n in enumerate(GRAMS):
             at = gram_hashes(buffer, len(owner), n, BITS) + row * size
-            found = np.bincount(at, minlength=len(rows) * size).reshape(len(rows), size)
+            found = np.bincount(at, minlength=len(rows) * size)
+            np.subtract.at(found, at[crossing(ends, n)], 1)
+            found = found.reshape(len(rows), size)
             counts[rows, g * size : (g + 1) * size] += found
     counts = counts.reshape(len(texts), len(GRAMS), size)
     counts /= np.maximum(np.linalg.norm(counts, axis=2, keepdims=True), 1e-9)
@@ -91,7 +96,9 @@ class LanguageModel:
         if not rows or not self.families:
             return names, scores
         x = features([texts[i] for i in rows])
-        margins = x @ self.weights[:, :-1].T + self.weights[:, -1] if len(self.weights) else np.zeros((len(rows), 0))
+        # Row by row in double precision and rounded, so that a text's score does not hang on the others in its batch.
+        weights, bias = self.weights[:, :-1].astype(np.float64), self.weights[:, -1].astype(np.float64)
+        margins = np.array([weights @ row + bias for row in x.astype(np.float64)]).round(9)
         sure = 1.0 / (1.0 + np.exp(-4.0 * margins))
         for i, m, p in zip(rows, margins, sure):
             best, score = 0, 1.0
@@ -108,7 +115,7 @@ class LanguageModel:
             winner = max(members, key=lambda a: (votes[a][0], votes[a][1]))
             if len(members) > 1:
                 score *= votes[winner][1] / (len(members) - 1)
-            names[i], scores[i] = winner, min(1.0, max(0.0, float(score)))
+            names[i], scores[i] = winner, round(min(1.0, max(0.0, float(score))), 9)
         return names, scores
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,34 +14,53 @@ _GOLDEN = np.uint32(2654435761)
 _MIX = np.uint32(0x85EBCA6B)
 
 
-def blocks(texts: list[bytes], gap: bytes, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(bytes, owner)``: all texts, each between ``gap`` bytes, in blocks of bounded size.
+_SPACES = re.compile(rb"[\x20\x09-\x0D][^\x20\x09-\x0D]*\Z")
+
+
+def _piece_end(padded: bytes, start: int) -> int:
+    """Where a block of a long text ends: after the last white space that fits, so that no word is cut, unless it fills the block."""
+    end = start + BLOCK_BYTES
+    if end >= len(padded):
+        return len(padded)
+    for reach in (256, BLOCK_BYTES - 1):
+        found = _SPACES.search(padded, end - reach, end)
+        if found:
+            return found.start() + 1
+    return end
+
+
+def text_blocks(texts: list[bytes], gap: bytes, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(bytes, owner, ends)``: all texts, each between ``gap`` bytes, in blocks of bounded size.
 
-    ``owner`` is the index of the text for every byte.  Blocks of one long text overlap by ``overlap`` bytes, so a
-    window of ``overlap + 1`` bytes that starts in a block's new part lies in that block; a window is to be taken
-    only at its first ``len(bytes) - overlap`` places.
+    ``owner`` is the index of the text for every byte, ``ends`` the places at which texts end in this block.  Blocks of one
+    long text overlap by ``overlap`` bytes, so a window of ``overlap + 1`` bytes that starts in a block's new part lies
+    in that block; a window is to be taken only at its first ``len(bytes) - overlap`` places.  After the last text stand ``gap`` bytes.
     """
     parts: list[bytes] = []
     owners: list[tuple[int, int]] = []
     size = 0
-    tail = b"\0" * overlap
+    tail = gap * overlap
 
     def pack():
         buffer = np.frombuffer(b"".join([*parts, tail]), np.uint8)
-        owner = np.repeat(np.array([o for o, _ in owners], np.int64), [n for _, n in owners])
-        return buffer, owner
+        sizes = np.array([n for _, n in owners], np.int64)
+        return buffer, np.repeat(np.array([o for o, _ in owners], np.int64), sizes), np.cumsum(sizes)
 
     for i, raw in enumerate(texts):
         padded = gap + raw + gap
-        for start in range(0, len(padded), BLOCK_BYTES):
-            piece = padded[start : start + BLOCK_BYTES]
-            if start + BLOCK_BYTES < len(padded):
-                buffer = np.frombuffer(padded[start : start + BLOCK_BYTES + overlap].ljust(len(piece) + overlap, b"\0"), np.uint8)
-                yield buffer, np.full(len(piece), i, np.int64)
+        start = 0
+        while start < len(padded):
+            end = _piece_end(padded, start)
+            if start or end < len(padded):  # the pieces of a long text stand alone, as they do not begin with a gap
+                buffer = np.frombuffer(padded[start : end + overlap].ljust(end - start + overlap, gap), np.uint8)
+                ends = np.array([end - start] if end == len(padded) else [], np.int64)
+                yield buffer, np.full(end - start, i, np.int64), ends
+                start = end
                 continue
-            parts.append(piece)
-            owners.append((i, len(piece)))
-            size += len(piece)
+            parts.append(padded[start:])
+            owners.append((i, end - start))
+            size += end - start
+            start = end
             if size >= BLOCK_BYTES:
                 yield pack()
                 parts, owners, size = [], [], 0
@@ -48,6 +68,17 @@ def blocks(texts: list[bytes], gap: bytes, overlap: int) -> Iterator[tuple[np.nd
         yield pack()
 
 
+def blocks(texts: list[bytes], gap: bytes, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``text_blocks`` without the ends."""
+    for buffer, owner, _ in text_blocks(texts, gap, overlap):
+        yield buffer, owner
+
+
+def crossing(ends: np.ndarray, n: int) -> np.ndarray:
+    """Places from which a window of ``n`` bytes would run over the end of its text; every text has two bytes at least."""
+    return np.unique(np.maximum(ends[:, None] - np.arange(1, n), np.concatenate([[0], ends[:-1]])[:, None])) if n > 1 and len(ends) else ends[:0]
+
+
 def gram_hashes(buffer: np.ndarray, count: int, n: int, bits: int) -> np.ndarray:
     """Bucket of the ``n`` bytes from each of the first ``count`` places, below ``2**bits``."""
     code = np.full(count, n, np.uint32)

@@ -159,7 +159,11 @@ def score_quality(df: DataFrame, model: QualityModel, carry: list[str], text: st
 
 
 def keep_quality(df: DataFrame, model: QualityModel, text: str = "text", good=1, least: float = 0.5) -> DataFrame:
-    """Rows of ``df``, with all its columns, whose text scores at least ``least``."""
+    """Rows of ``df``, with all its columns, whose text scores at least ``least``.
+
+    Null and empty texts score as the model's empty document and stay or go with it; repeated rows stay or go together;
+    an empty table gives no rows.
+    """
     score = _scorer(df.sparkSession, model, good)
 
     @pandas_udf("double")
