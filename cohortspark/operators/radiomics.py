@@ -11,22 +11,13 @@ from pyspark.sql import functions as F
 from cohortspark.functions import fixed
 from cohortspark.functions.text import let
 from cohortspark.operators.components import component_runs
+from cohortspark.operators.stencil import DIRECTIONS, fold_lines, level_pairs, level_runs, neighbour_sums
 from cohortspark.scale import exact_percentiles, running, spread_join
 
 AXES = ("x", "y", "z")
 RANGE = (-150.0, 250.0)
 BIN_WIDTH = 25.0
 
-# One of each pair of opposite neighbours.
-DIRECTIONS = [
-    (dx, dy, dz)
-    for dz in (0, 1)
-    for dy in (-1, 0, 1)
-    for dx in (-1, 0, 1)
-    if (dz, dy, dx) > (0, 0, 0)
-]
-
-
 # ---- cohort ----------------------------------------------------------------------------------------------
 
 
@@ -266,27 +257,9 @@ def shape_features(voxels: DataFrame, volumes: DataFrame, label: int = 2) -> Dat
     )
 
 
-def neighbour_pairs(levels: DataFrame) -> DataFrame:
-    """Each pair of touching region voxels once: ``voi_id, direction``, both places and levels."""
-    offsets = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), *[F.lit(v).alias(f"d{a}") for a, v in zip(AXES, d)])
-            for i, d in enumerate(DIRECTIONS)
-        ]
-    )
-    near = levels.select("voi_id", *AXES, F.col("level").alias("level_a"), F.explode(offsets).alias("o")).select(
-        "voi_id",
-        F.col("o.i").alias("direction"),
-        *[F.col(a).alias(f"{a}_a") for a in AXES],
-        *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in AXES],
-        "level_a",
-    )
-    return near.join(levels.select("voi_id", *AXES, F.col("level").alias("level_b")), ["voi_id", *AXES])
-
-
 def glcm_counts(levels: DataFrame) -> DataFrame:
     """Symmetric pair counts ``voi_id, direction, i, j, n``."""
-    pairs = neighbour_pairs(levels).groupBy("voi_id", "direction", "level_a", "level_b").agg(F.count("*").alias("c"))
+    pairs = level_pairs(fold_lines(levels)).groupBy("voi_id", "direction", "level_a", "level_b").agg(F.count("*").alias("c"))
     both = pairs.select(
         "voi_id",
         "direction",
@@ -325,28 +298,8 @@ def glcm_features(counts: DataFrame) -> DataFrame:
 
 
 def glrlm_counts(levels: DataFrame) -> DataFrame:
-    """Run-length counts ``voi_id, direction, level, length, n``.
-
-    A voxel lies on 13 lines; a line is named by the point where its leading coordinate is zero and is at most as
-    long as the volume.
-    """
-    lead = [next(i for i, v in enumerate(d) if v) for d in DIRECTIONS]
-    options = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("direction"),
-                (F.col(AXES[lead[k]]) * d[lead[k]]).alias("t"),
-                *[F.lit(v).alias(f"d{a}") for a, v in zip(AXES, d)],
-            )
-            for k, d in enumerate(DIRECTIONS)
-        ]
-    )
-    on_lines = levels.select("voi_id", *AXES, "level", F.inline(options)).select(
-        "voi_id", "direction", "level", "t", *[(F.col(a) - F.col("t") * F.col(f"d{a}")).alias(f"l{a}") for a in AXES]
-    )
-    line = ["voi_id", "direction", "lx", "ly", "lz", "level"]
-    island = F.col("t") - F.row_number().over(Window.partitionBy(*line).orderBy("t"))
-    runs = on_lines.withColumn("island", island).groupBy(*line, "island").agg(F.count("*").alias("length"))
+    """Run-length counts ``voi_id, direction, level, length, n``."""
+    runs = level_runs(fold_lines(levels))
     return runs.groupBy("voi_id", "direction", "level", "length").agg(F.count("*").alias("n"))
 
 
@@ -358,33 +311,164 @@ def glszm_counts(levels: DataFrame) -> DataFrame:
     return sizes.groupBy(*keys, "size").agg(F.count("*").alias("n"))
 
 
-def _neighbour_sums(levels: DataFrame, alpha: int = 0) -> DataFrame:
-    """Region voxels with the number, level sum and similar count of their neighbours in the region."""
-    alike = (F.abs(F.col("level_a") - F.col("level_b")) <= alpha).cast("int")
-    ends = neighbour_pairs(levels).select(
-        "voi_id",
-        F.inline(
-            F.array(
-                F.struct(*[F.col(f"{a}_a").alias(a) for a in AXES], F.col("level_b").alias("other"), alike.alias("alike")),
-                F.struct(*[F.col(a).alias(a) for a in AXES], F.col("level_a").alias("other"), alike.alias("alike")),
-            )
-        ),
-    )
-    sums = ends.groupBy("voi_id", *AXES).agg(
-        F.count("*").alias("k"), F.sum("other").alias("total"), F.sum("alike").alias("alike")
-    )
-    return levels.join(sums, ["voi_id", *AXES], "left")
-
-
 def gldm_counts(levels: DataFrame, alpha: int = 0) -> DataFrame:
     """Dependence counts ``voi_id, level, dependence, n``; a voxel counts itself."""
-    dependence = (F.coalesce("alike", F.lit(0)) + 1).alias("dependence")
-    return _neighbour_sums(levels, alpha).groupBy("voi_id", "level", dependence).agg(F.count("*").alias("n"))
+    dependence = (F.col("alike") + 1).alias("dependence")
+    return neighbour_sums(fold_lines(levels), alpha).groupBy("voi_id", "level", dependence).agg(F.count("*").alias("n"))
 
 
 def ngtdm_counts(levels: DataFrame) -> DataFrame:
     """``voi_id, level, n, s``: voxels with neighbours, and their summed distance to the neighbour mean."""
-    seen = _neighbour_sums(levels).where("k > 0")
+    seen = neighbour_sums(fold_lines(levels)).where("k > 0")
     return seen.groupBy("voi_id", "level").agg(
         F.count("*").alias("n"), F.sum(F.abs(F.col("level") - F.col("total") / F.col("k"))).alias("s")
     )
+
+
+# ---- features of the count tables ------------------------------------------------------------------------
+
+
+def _entropy(total: Column, weighted_log: Column) -> Column:
+    """Entropy in bits of counts with this sum and this sum of ``n * log2(n)``."""
+    return F.log2(total) - weighted_log / total
+
+
+def _n_log_n(n: Column) -> Column:
+    return n * F.log2(n)
+
+
+def largest_level(levels: DataFrame) -> DataFrame:
+    """``voi_id, ng``: the number of grey levels of each region, counted up to the highest one that occurs."""
+    return levels.groupBy("voi_id").agg(F.max("level").alias("ng"))
+
+
+def glcm_feature_table(counts: DataFrame, largest: DataFrame) -> DataFrame:
+    """All pair-count features that have a closed form, per volume, averaged over the directions that have pairs.
+
+    Everything is a sum over the counts of a direction: moments of levels, sums and differences, and sums of ``n * log2(n)`` over the
+    pairs, the levels, the differences and the level sums.  A volume without any pair has no row.
+    """
+    n, i, j = F.col("n").cast("double"), F.col("i"), F.col("j")
+    d, s = F.abs(i - j), i + j
+    by = ["voi_id", "direction"]
+    ng = F.col("ng").cast("double")
+    direct = counts.join(largest, "voi_id").groupBy(*by).agg(
+        F.sum(n).alias("t"), F.max(n).alias("top"), F.sum(n * n).alias("nn"), F.sum(_n_log_n(n)).alias("log_ij"),
+        F.sum(n * i).alias("si"), F.sum(n * i * i).alias("sii"), F.sum(n * i * j).alias("sij"),
+        F.sum(n * d).alias("d1"), F.sum(n * d * d).alias("d2"), F.sum(F.when(d > 0, n / (d * d)).otherwise(0.0)).alias("iv"),
+        *[F.sum(n * F.pow(s, F.lit(k))).alias(f"s{k}") for k in (1, 2, 3, 4)],
+        F.sum(n / (1 + d)).alias("id"), F.sum(n / (1 + d * d)).alias("idm"), F.sum(n / (1 + d / ng)).alias("idn"), F.sum(n / (1 + d * d / (ng * ng))).alias("idmn"),
+    )
+    parts = F.array(*[F.struct(F.lit(kind).alias("kind"), key.cast("int").alias("at")) for kind, key in (("i", i), ("d", d), ("s", s))])
+    margins = counts.select(*by, "n", F.inline(parts)).groupBy(*by, "kind", "at").agg(F.sum("n").cast("double").alias("m"))
+    logs = margins.groupBy(*by).agg(
+        *[F.sum(F.when(F.col("kind") == k, _n_log_n(F.col("m"))).otherwise(0.0)).alias(f"log_{k}") for k in ("i", "d", "s")]
+    )
+    f = direct.join(logs, by)
+    t = F.col("t")
+    mean, m1 = F.col("si") / t, F.col("s1") / t
+    m2, m3, m4 = (F.col(f"s{k}") / t for k in (2, 3, 4))
+    variance = F.col("sii") / t - mean * mean
+    joint, single = _entropy(t, F.col("log_ij")), _entropy(t, F.col("log_i"))
+    # Both margins are equal, so the cross entropies of the margins are twice the entropy of one.
+    features = {
+        "autocorrelation": F.col("sij") / t,
+        "joint_average": mean,
+        "cluster_tendency": m2 - m1 * m1,
+        "cluster_shade": m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1,
+        "cluster_prominence": m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1,
+        "contrast": F.col("d2") / t,
+        "correlation": F.when(variance > 1e-12, (F.col("sij") / t - mean * mean) / variance).otherwise(1.0),
+        "difference_average": F.col("d1") / t,
+        "difference_variance": F.col("d2") / t - (F.col("d1") / t) * (F.col("d1") / t),
+        "difference_entropy": _entropy(t, F.col("log_d")),
+        "joint_energy": F.col("nn") / (t * t),
+        "joint_entropy": joint,
+        "imc1": F.when(single > 1e-12, (joint - 2 * single) / single).otherwise(0.0),
+        "imc2": F.sqrt(F.greatest(1 - F.exp(-2 * (2 * single - joint)), F.lit(0.0))),
+        "id": F.col("id") / t,
+        "idm": F.col("idm") / t,
+        "idn": F.col("idn") / t,
+        "idmn": F.col("idmn") / t,
+        "inverse_variance": F.col("iv") / t,
+        "maximum_probability": F.col("top") / t,
+        "sum_average": m1,
+        "sum_entropy": _entropy(t, F.col("log_s")),
+        "sum_squares": variance,
+    }
+    per = f.select("voi_id", *[c.alias(name) for name, c in features.items()])
+    return per.groupBy("voi_id").agg(*[F.avg(name).alias(name) for name in features])
+
+
+def emphasis_features(counts: DataFrame, size: str, extra: Sequence[str] = ()) -> DataFrame:
+    """Emphases, non-uniformities, variances and entropy of a table of counts by level and size.
+
+    ``counts`` has ``voi_id, level, n`` and ``size``: run lengths, zone sizes or dependences.  With ``extra`` keys, such as
+    the direction of runs, every feature is worked out for each and then averaged per volume.
+    """
+    by = ["voi_id", *extra]
+    n, i, j = F.col("n").cast("double"), F.col("level").cast("double"), F.col(size).cast("double")
+    direct = counts.groupBy(*by).agg(
+        F.sum(n).alias("t"), F.sum(n * j).alias("voxels"), F.sum(_n_log_n(n)).alias("logs"),
+        F.sum(n / (j * j)).alias("short"), F.sum(n * j * j).alias("long"), F.sum(n / (i * i)).alias("low"), F.sum(n * i * i).alias("high"),
+        F.sum(n / (i * i * j * j)).alias("short_low"), F.sum(n * i * i / (j * j)).alias("short_high"),
+        F.sum(n * j * j / (i * i)).alias("long_low"), F.sum(n * i * i * j * j).alias("long_high"), F.sum(n * i).alias("levels"),
+    )
+    parts = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).cast("long").alias("at")) for kind, c in (("level", "level"), ("size", size))])
+    margins = counts.select(*by, "n", F.inline(parts)).groupBy(*by, "kind", "at").agg(F.sum("n").cast("double").alias("m"))
+    squares = margins.groupBy(*by).agg(
+        *[F.sum(F.when(F.col("kind") == k, F.col("m") * F.col("m")).otherwise(0.0)).alias(f"sq_{k}") for k in ("level", "size")]
+    )
+    t = F.col("t")
+    of = lambda name: F.col(name) / t
+    features = {
+        "short_emphasis": of("short"),
+        "long_emphasis": of("long"),
+        "level_nonuniformity": of("sq_level"),
+        "level_nonuniformity_normalized": of("sq_level") / t,
+        "size_nonuniformity": of("sq_size"),
+        "size_nonuniformity_normalized": of("sq_size") / t,
+        "percentage": t / F.col("voxels"),
+        "level_variance": of("high") - of("levels") * of("levels"),
+        "size_variance": of("long") - of("voxels") * of("voxels"),
+        "entropy": _entropy(t, F.col("logs")),
+        "low_level_emphasis": of("low"),
+        "high_level_emphasis": of("high"),
+        "short_low_emphasis": of("short_low"),
+        "short_high_emphasis": of("short_high"),
+        "long_low_emphasis": of("long_low"),
+        "long_high_emphasis": of("long_high"),
+    }
+    per = direct.join(squares, by).select("voi_id", *[c.alias(name) for name, c in features.items()])
+    if not extra:
+        return per
+    return per.groupBy("voi_id").agg(*[F.avg(name).alias(name) for name in features])
+
+
+def ngtdm_features(counts: DataFrame) -> DataFrame:
+    """Coarseness, contrast, busyness, complexity and strength per volume, from ``voi_id, level, n, s``.
+
+    Pairs are pairs of grey levels, of which the intensity range bounds the number.  Flat regions have coarseness a million and
+    otherwise zeros.
+    """
+    totals = counts.groupBy("voi_id").agg(
+        F.sum("n").cast("double").alias("t"), F.sum("s").alias("all_s"), F.count("*").alias("ngp"), F.sum(F.col("n") * F.col("s")).alias("ns")
+    )
+    one = counts.select("voi_id", F.col("level").cast("double").alias("i"), F.col("n").cast("double").alias("a"), F.col("s").alias("sa"))
+    other = counts.select("voi_id", F.col("level").cast("double").alias("j"), F.col("n").cast("double").alias("b"), F.col("s").alias("sb"))
+    i, j, a, b, sa, sb = (F.col(c) for c in ("i", "j", "a", "b", "sa", "sb"))
+    # Counts stand for shares here; the totals divide them out below.
+    pairs = one.join(other, "voi_id").groupBy("voi_id").agg(
+        F.sum(a * b * (i - j) * (i - j)).alias("spread"), F.sum(F.abs(i * a - j * b)).alias("uneven"),
+        F.sum(F.abs(i - j) * (a * sa + b * sb) / (a + b)).alias("complex"), F.sum((a + b) * (i - j) * (i - j)).alias("strong"),
+    )
+    t, ns = F.col("t"), F.col("ns") / F.col("t")
+    ngp = F.col("ngp")
+    return totals.join(pairs, "voi_id").select(
+        "voi_id",
+        F.when(ns > 1e-12, 1 / ns).otherwise(1e6).alias("coarseness"),
+        F.when(ngp > 1, F.try_divide(F.col("spread") / (t * t), ngp * (ngp - 1)) * F.col("all_s") / t).otherwise(0.0).alias("contrast"),
+        F.when(F.col("uneven") > 1e-12, ns / (F.col("uneven") / t)).otherwise(0.0).alias("busyness"),
+        (F.col("complex") / t).alias("complexity"),
+        F.when(F.col("all_s") > 1e-12, F.col("strong") / t / F.col("all_s")).otherwise(0.0).alias("strength"),
+    )

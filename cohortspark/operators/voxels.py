@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.geometry import clip
 from cohortspark.operators.components import component_runs, component_table
+from cohortspark.operators.stencil import interior_edge
 from cohortspark.scale import exact_percentiles, spread_join
 
 AXES = ("x", "y", "z")
@@ -478,21 +479,7 @@ def pad_to_min(volumes: DataFrame, voxels: DataFrame, patch: Sequence[int], fill
 
 def tumor_boundary(voxels: DataFrame, label: int = 2) -> DataFrame:
     """Label voxels whose 3 x 3 neighbourhood in the slice is not all of that label."""
-    offsets = F.array(
-        *[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-    )
-    votes = voxels.where(F.col("label") == label).select(
-        "voi_id", "x", "y", "z", F.explode(offsets).alias("o")
-    )
-    votes = votes.select(
-        "voi_id",
-        (F.col("x") + F.col("o.dx")).alias("x"),
-        (F.col("y") + F.col("o.dy")).alias("y"),
-        "z",
-        ((F.col("o.dx") == 0) & (F.col("o.dy") == 0)).alias("own"),
-    )
-    counted = votes.groupBy("voi_id", "x", "y", "z").agg(F.count("*").alias("n"), F.bool_or("own").alias("own"))
-    return counted.where("own and n < 9").select("voi_id", "x", "y", "z")
+    return interior_edge(voxels.where(F.col("label") == label))
 
 
 def contact_ratio(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from cohortspark.operators import voxels as vx
 from cohortspark.plans import cohort_queries as cq
 from cohortspark.plans import series_queries as sq
 from cohortspark.plans import voxel_queries as vq
-from cohortspark.plans.registry import query
+from cohortspark.plans.registry import REGISTRY, query
 from cohortspark.session import staging_path
 from cohortspark.sources import tables as io
 from cohortspark.sources.derived import table, with_tables
@@ -625,6 +627,106 @@ def ngtdm_counts(spark, sf):
     return rad.ngtdm_counts(levels(spark, sf)).withColumn("s", r6("s"))
 
 
+_GLCM_ALL = """, tot as (select voi_id, direction, sum(n) as t from glcm group by 1, 2),
+p as (select voi_id, direction, i, j, n / t as p, (select max(level) from lev where lev.voi_id = g.voi_id) as ng from glcm g join tot using (voi_id, direction)),
+mu as (select voi_id, direction, sum(p * i) as mu, sum(p * i * i) - sum(p * i) * sum(p * i) as v from p group by 1, 2),
+px as (select voi_id, direction, -sum(p * log2(p)) as hx from (select voi_id, direction, i, sum(p) as p from p group by 1, 2, 3) group by 1, 2),
+pd as (select voi_id, direction, -sum(p * log2(p)) as hd, sum(k * p) as da, sum(case when k > 0 then p / (k * k) else 0 end) as iv from (select voi_id, direction, abs(i - j) as k, sum(p) as p from p group by 1, 2, 3) group by 1, 2),
+dv as (select voi_id, direction, sum(p * (abs(i - j) - da) * (abs(i - j) - da)) as dv from p join pd using (voi_id, direction) group by 1, 2),
+ps as (select voi_id, direction, -sum(p * log2(p)) as hs from (select voi_id, direction, i + j as k, sum(p) as p from p group by 1, 2, 3) group by 1, 2),
+f as (select voi_id, direction, sum(p * i * j) as autocorrelation, max(mu) as joint_average, sum(p * pow(i + j - 2 * mu, 2)) as cluster_tendency, sum(p * pow(i + j - 2 * mu, 3)) as cluster_shade,
+  sum(p * pow(i + j - 2 * mu, 4)) as cluster_prominence, sum(p * (i - j) * (i - j)) as contrast, case when max(v) > 1e-12 then sum(p * (i - mu) * (j - mu)) / max(v) else 1 end as correlation,
+  max(da) as difference_average, max(dv) as difference_variance, max(hd) as difference_entropy, sum(p * p) as joint_energy, -sum(p * log2(p)) as joint_entropy, max(hx) as hx,
+  sum(p / (1 + abs(i - j))) as id, sum(p / (1 + (i - j) * (i - j))) as idm, sum(p / (1 + abs(i - j) / ng)) as idn, sum(p / (1 + (i - j) * (i - j) / (ng * ng))) as idmn, max(iv) as inverse_variance,
+  max(p) as maximum_probability, sum(p * (i + j)) as sum_average, max(hs) as sum_entropy, sum(p * (i - mu) * (i - mu)) as sum_squares
+  from p join mu using (voi_id, direction) join px using (voi_id, direction) join pd using (voi_id, direction) join dv using (voi_id, direction) join ps using (voi_id, direction) group by 1, 2),
+g as (select *, case when hx > 1e-12 then (joint_entropy - 2 * hx) / hx else 0 end as imc1, sqrt(greatest(1 - exp(-2 * (2 * hx - joint_entropy)), 0)) as imc2 from f)"""
+_GLCM_NAMES = [
+    "autocorrelation", "joint_average", "cluster_tendency", "cluster_shade", "cluster_prominence", "contrast", "correlation", "difference_average",
+    "difference_variance", "difference_entropy", "joint_energy", "joint_entropy", "imc1", "imc2", "id", "idm", "idn", "idmn", "inverse_variance",
+    "maximum_probability", "sum_average", "sum_entropy", "sum_squares",
+]
+
+
+def _rounded(name: str, value: str | None = None) -> str:
+    """Rounded a little off the middle, so that halves fall to the same side in both engines."""
+    return f"round({value or f'avg({name})'} + 1e-8, 5) as {name}"
+
+
+def r5(name: str):
+    return F.round(F.col(name) + 1e-8, 5).alias(name)
+
+
+@query("Q9", _roi_sql("").rstrip() + "," + _GLCM + _GLCM_ALL + " select voi_id, " + ", ".join(map(_rounded, _GLCM_NAMES)) + " from g group by 1")
+def glcm_feature_table(spark, sf):
+    lev = levels(spark, sf)
+    out = rad.glcm_feature_table(rad.glcm_counts(lev), rad.largest_level(lev))
+    return out.select("voi_id", *[r5(c) for c in _GLCM_NAMES])
+
+
+_EMPHASIS = """, m as (select *, sum(n) over (partition by {keys}) as t from cnt),
+lv as (select {keys}, sum(k * k) as sq from (select {keys}, level, sum(n) as k from cnt group by all) group by all),
+sz as (select {keys}, sum(k * k) as sq from (select {keys}, {size}, sum(n) as k from cnt group by all) group by all),
+ctr as (select {keys}, sum(n / t * level) as ml, sum(n / t * {size}) as ms from m group by all),
+f as (select voi_id, sum(n / t / ({size} * {size})) as short_emphasis, sum(n / t * {size} * {size}) as long_emphasis, max(lv.sq) / max(t) as level_nonuniformity, max(lv.sq) / (max(t) * max(t)) as level_nonuniformity_normalized,
+  max(sz.sq) / max(t) as size_nonuniformity, max(sz.sq) / (max(t) * max(t)) as size_nonuniformity_normalized, max(t) / sum(n * {size}) as percentage, sum(n / t * (level - ml) * (level - ml)) as level_variance,
+  sum(n / t * ({size} - ms) * ({size} - ms)) as size_variance, -sum(n / t * log2(n / t)) as entropy, sum(n / t / (level * level)) as low_level_emphasis, sum(n / t * level * level) as high_level_emphasis,
+  sum(n / t / (level * level * {size} * {size})) as short_low_emphasis, sum(n / t * level * level / ({size} * {size})) as short_high_emphasis, sum(n / t * {size} * {size} / (level * level)) as long_low_emphasis,
+  sum(n / t * level * level * {size} * {size}) as long_high_emphasis from m join lv using ({keys}) join sz using ({keys}) join ctr using ({keys}) group by {group})"""
+_EMPHASIS_NAMES = [
+    "short_emphasis", "long_emphasis", "level_nonuniformity", "level_nonuniformity_normalized", "size_nonuniformity", "size_nonuniformity_normalized",
+    "percentage", "level_variance", "size_variance", "entropy", "low_level_emphasis", "high_level_emphasis", "short_low_emphasis", "short_high_emphasis",
+    "long_low_emphasis", "long_high_emphasis",
+]
+
+
+def _emphasis_sql(counts: str, size: str, keys: str = "voi_id") -> str:
+    """``counts`` is the whole check text of the counts; its last select becomes a table."""
+    starts = [m.start() for m in re.finditer(r"\bselect\b", counts)]
+    at = next(i for i in reversed(starts) if counts.count("(", 0, i) == counts.count(")", 0, i))
+    head, last = counts[:at], counts[at + len("select") :]
+    return head + ", cnt as (select" + last + ")" + _EMPHASIS.format(keys=keys, size=size, group=keys) + " select voi_id, " + ", ".join(map(_rounded, _EMPHASIS_NAMES)) + " from f group by 1"
+
+
+def _emphasis(counts, size, extra=()):
+    out = rad.emphasis_features(counts, size, extra)
+    return out.select("voi_id", *[r5(c) for c in _EMPHASIS_NAMES])
+
+
+@query("Q10", _emphasis_sql(REGISTRY["glrlm_counts"].sql, "length", "voi_id, direction"))
+def glrlm_features(spark, sf):
+    return _emphasis(rad.glrlm_counts(levels(spark, sf)), "length", ["direction"])
+
+
+@query("Q11", _emphasis_sql(REGISTRY["glszm_counts"].sql, "size"))
+def glszm_features(spark, sf):
+    return _emphasis(rad.glszm_counts(levels(spark, sf)), "size")
+
+
+@query("Q12", _emphasis_sql(REGISTRY["gldm_counts"].sql, "dependence"))
+def gldm_features(spark, sf):
+    return _emphasis(rad.gldm_counts(levels(spark, sf)), "dependence")
+
+
+_NGTDM_NAMES = ["coarseness", "contrast", "busyness", "complexity", "strength"]
+
+
+@query(
+    "Q12",
+    _roi_sql("").rstrip() + "," + _NB
+    + """, c as (select voi_id, level, count(*) as n, sum(abs(level - total / k)) as s from nb where k > 0 group by 1, 2),
+w as (select *, n / sum(n) over (partition by voi_id) as p, sum(n) over (partition by voi_id) as t, sum(s) over (partition by voi_id) as all_s, count(*) over (partition by voi_id) as ngp from c),
+f as (select a.voi_id, max(a.t) as t, max(a.all_s) as all_s, max(a.ngp) as ngp, sum(a.p * b.p * (a.level - b.level) * (a.level - b.level)) as spread, sum(abs(a.level * a.p - b.level * b.p)) as uneven,
+  sum(abs(a.level - b.level) * (a.p * a.s + b.p * b.s) / (a.p + b.p)) as complexity, sum((a.p + b.p) * (a.level - b.level) * (a.level - b.level)) as strong from w a join w b on a.voi_id = b.voi_id group by 1),
+ps as (select voi_id, sum(p * s) as ps from w group by 1)
+select voi_id, round(case when ps > 1e-12 then 1 / ps else 1e6 end + 1e-8, 5) as coarseness, round(case when ngp > 1 then spread / (ngp * (ngp - 1)) * all_s / t else 0 end + 1e-8, 5) as contrast,
+  round(case when uneven > 1e-12 then ps / uneven else 0 end + 1e-8, 5) as busyness, round(complexity / t + 1e-8, 5) as complexity, round(case when all_s > 1e-12 then strong / all_s else 0 end + 1e-8, 5) as strength from f join ps using (voi_id)""",
+)
+def ngtdm_features(spark, sf):
+    out = rad.ngtdm_features(rad.ngtdm_counts(levels(spark, sf)))
+    return out.select("voi_id", *[r5(c) for c in _NGTDM_NAMES])
+
+
 # study rows: one per VOI, features of the region, some values missing
 _FEATURES = ["mean", "energy", "maximum", "sparse"]
 _STUDY = (
