@@ -1,25 +1,28 @@
 """Connected components of voxel sets, for many volumes at once.
 
-Voxels are folded to runs along x and neighbouring runs become edges.  Volumes are dealt to batches; where every batch has a
-bounded number of edges (checked), a batch is solved in one call.  Otherwise the run graph is contracted over all
-tasks: every node moves to the neighbour that a per-round hash ranks lowest, which about halves the graph in each
-round whatever its shape (local contraction, Lacki, Mirrokni and Wlodarczyk 2018).  Joins are then on
-(volume, node), so one large volume is spread out too.  Both ways are exact.
+Voxels are folded to runs along x and neighbouring runs become edges.  Volumes with a bounded number of runs come sorted
+through a task, which solves as many whole ones at once as have a bounded number of edges.  Only larger volumes
+are contracted over all tasks: every node moves to the neighbour that a per-round hash ranks lowest, which about halves
+the graph in each round whatever its shape (local contraction, Lacki, Mirrokni and Wlodarczyk 2018).  Joins are then on
+(volume, node), so a large volume is spread out.  Both ways are exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.scale import MAX_GROUP_ROWS, largest_group, numbered
+from cohortspark.scale import MAX_GROUP_ROWS, numbered
 from cohortspark.session import cut_lineage
 
+#: Edges that a task solves at once, beside those of one volume.
 BATCH_EDGES = 200_000
+#: Runs of a volume that one task may solve; a run has a handful of edges.
+VOLUME_RUNS = 250_000
 
 # Half of the neighbouring (dy, dz) lines; the other half is covered by symmetry.
 _LINES = {26: ((1, 0), (-1, 1), (0, 1), (1, 1)), 6: ((1, 0), (0, 1))}
@@ -58,50 +61,95 @@ def _run_edges(runs: DataFrame, keys: Sequence[str], conn: int) -> DataFrame:
     return left.join(right, [*keys, "y", "z"]).where(touch).select(*keys, "u", "v")
 
 
+def large_volumes(runs: DataFrame, keys: Sequence[str], volume_runs: int = VOLUME_RUNS) -> DataFrame:
+    """``keys`` of the volumes with more than ``volume_runs`` runs: so many times fewer rows than there are runs."""
+    return runs.groupBy(*keys).count().where(F.col("count") > volume_runs).select(*keys)
+
+
 def component_runs(
-    voxels: DataFrame, keys: Sequence[str] = ("voi_id",), conn: int = 26, max_group_rows: int = MAX_GROUP_ROWS
+    voxels: DataFrame, keys: Sequence[str] = ("voi_id",), conn: int = 26, max_group_rows: int = VOLUME_RUNS
 ) -> DataFrame:
-    """Runs with the ``root`` node of their component."""
+    """Runs with the ``root`` node of their component; volumes with more than ``max_group_rows`` runs are solved over all tasks."""
     keys = list(keys)
     runs = cut_lineage(runs_of(voxels, keys))
-    edges = cut_lineage(_run_edges(runs, keys, conn))
-    total = edges.count()
-    slots = edges.sparkSession.sparkContext.defaultParallelism
-    batches = max(slots, total // BATCH_EDGES + 1)
-    batched = edges.withColumn("_batch", F.pmod(F.xxhash64(*keys), F.lit(batches)))
-    if largest_group(batched, ["_batch"]) <= max_group_rows:
-        targets = _solve_batches(batched, keys)
-    else:
-        targets = _contract_all(edges, keys)
+    large = cut_lineage(large_volumes(runs, keys, max_group_rows))
+    small_edges = _run_edges(runs.join(large, keys, "left_anti"), keys, conn)
+    large_edges = cut_lineage(_run_edges(runs.join(large, keys, "left_semi"), keys, conn))
+    targets = _solve_small(small_edges, keys).unionByName(_contract_all(large_edges, keys))
     rooted = runs.join(targets.withColumnRenamed("u", "node"), [*keys, "node"], "left")
     return cut_lineage(rooted.withColumn("root", F.coalesce("to", "node")).drop("to"))
 
 
-def _solve_batches(batched: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, u, to``: the lowest node of each component, one batch of whole volumes at a time."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        volume = pdf.groupby(keys, sort=False).ngroup().to_numpy()
-        names, codes = np.unique(np.concatenate([pdf["u"], pdf["v"]]), return_inverse=True)
-        # a node is a (volume, position) pair; pairs are numbered in that order
-        pairs = np.concatenate([volume, volume]) * len(names) + codes
-        nodes, first, ends = np.unique(pairs, return_index=True, return_inverse=True)
-        u, v = ends[: len(pdf)], ends[len(pdf) :]
-        low = np.arange(len(nodes))
-        while True:
-            before = low.copy()
-            shared = np.minimum(low[u], low[v])
-            np.minimum.at(low, u, shared)
-            np.minimum.at(low, v, shared)
-            low = low[low]
-            if np.array_equal(low, before):
-                break
-        position = names[nodes % len(names)]
-        out = pdf[keys].iloc[first % len(pdf)].reset_index(drop=True)
-        return out.assign(u=position, to=position[low])
-
-    schema = batched.select(*keys, "u", F.col("u").alias("to")).schema
-    return batched.groupBy("_batch").applyInPandas(solve, schema)
+def _lowest(u: np.ndarray, v: np.ndarray, count: int) -> np.ndarray:
+    """For each of ``count`` nodes the lowest one that edges tie it to."""
+    low = np.arange(count)
+    while True:
+        before = low.copy()
+        shared = np.minimum(low[u], low[v])
+        np.minimum.at(low, u, shared)
+        np.minimum.at(low, v, shared)
+        low = low[low]
+        if np.array_equal(low, before):
+            return low
+
+
+def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Places in sorted edges at which a volume begins."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for key in keys:
+        codes = table.column(key).combine_chunks().dictionary_encode(null_encoding="encode")
+        codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+        code = codes.indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def _solve_small(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, u, to``: the lowest node of each component.
+
+    Edges come sorted by volume, and whole volumes are solved together as soon as they have ``BATCH_EDGES`` edges; so a task
+    holds that many and one volume's, however volumes are dealt.
+    """
+    schema = edges.select(*keys, "u", F.col("u").alias("to")).schema
+    names = schema.names
+
+    def solved(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        volume = np.zeros(table.num_rows, np.int64)
+        volume[starts[1:]] = 1
+        volume = np.cumsum(volume)
+        ends = [table.column(c).to_numpy() for c in ("u", "v")]
+        places, codes = np.unique(np.concatenate(ends), return_inverse=True)
+        # A node is a (volume, position) pair; pairs are numbered in that order.
+        nodes, at = np.unique(np.concatenate([volume, volume]) * len(places) + codes, return_inverse=True)
+        low = _lowest(at[: len(volume)], at[len(volume) :], len(nodes))
+        position = places[nodes % len(places)]
+        rows = pa.array(starts[nodes // len(places)])
+        columns = [table.column(k).take(rows).combine_chunks() for k in keys]
+        columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(position), pa.array(position[low])], names=names)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < BATCH_EDGES:
+                continue
+            table = pa.Table.from_batches(held)
+            starts = _starts(table, keys)
+            if len(starts) > 1:  # all volumes but the last one, which may go on
+                yield solved(table.slice(0, starts[-1]), starts[:-1])
+                table = table.slice(starts[-1])
+            held, rows = table.combine_chunks().to_batches(), table.num_rows
+        if rows:
+            table = pa.Table.from_batches(held)
+            yield solved(table, _starts(table, keys))
+
+    return edges.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(solve, schema)
 
 
 def _contract_all(edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -106,3 +106,28 @@ def test_single_kidney_side_uses_physical_centre(spark):
     assert side(0.0, 1.0) == "R"  # 4.5 against 3
     assert side(-10.0, 1.0) == "L"
     assert side(5.0, -1.0) == "L"  # 0.5 against 3
+
+
+def test_only_the_large_volume_is_contracted(spark, monkeypatch):
+    """One large volume among small ones: it alone goes through the loop, and all have their components."""
+    rng = np.random.default_rng(11)
+    cells = {voi: [tuple(int(i) for i in c) for c in np.argwhere(rng.random((4, 4, 4)) < 0.3)] for voi in range(40)}
+    cells[7] = [tuple(int(i) for i in c) for c in np.argwhere(rng.random((14, 14, 14)) < 0.3)]
+    seen = []
+    contract = cc._contract_all
+
+    def watched(edges, keys):
+        seen.extend(r.voi_id for r in edges.select("voi_id").distinct().collect())
+        return contract(edges, keys)
+
+    monkeypatch.setattr(cc, "_contract_all", watched)
+    monkeypatch.setattr(cc, "BATCH_EDGES", 50)
+    runs = cc.component_runs(table(spark, cells), ["voi_id"], 26, max_group_rows=100)
+    numbers = cc.component_table(runs)
+    got = runs.join(numbers.select("voi_id", "root", "component"), ["voi_id", "root"]).select(
+        "voi_id", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "z", "component"
+    )
+    assert seen == [7]
+    assert {(r.voi_id, r.x, r.y, r.z): r.component for r in got.collect()} == {
+        (v, *c): n for v, cs in cells.items() for c, n in flood(cs, 26).items()
+    }
