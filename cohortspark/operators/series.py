@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from cohortspark.functions import fixed, geometry, text
 from cohortspark.scale import first_per_key, numbered, spread_join
 from cohortspark.session import cut_lineage
 
+# The columns of a manifest in their order, those of the alias labels, and what is said of a series that cannot be read.
 MANIFEST_COLUMNS = [
     "filename", "patient_id", "case_id", "group", "phase", "phase_source", "scan_idx", "modality", "scan_plane",
     "image_orientation", "spacing_quality", "nonuniformity_mm", "sex", "DOB", "age", "age_at_scan", "DOS",
@@ -19,6 +21,8 @@ MANIFEST_COLUMNS = [
     "num_slices", "conversion_date", "dataset_type", "output_path", "validation", "ukb_anonym", "ukb_id",
     "manual_label", "lb", "hb", "sn", "label_source",
 ]
+READ_FAILED = "Failed to read DICOM series"
+SUMMARY_TOTALS = ["total_patients", "total_series_discovered", "successful_conversions", "failed_conversions", "skipped_series"]
 ALIAS_COLUMNS = ["ukb_anonym", "ukb_id", "manual_label", "lb", "hb", "sn", "label_source"]
 
 
@@ -26,12 +30,17 @@ ALIAS_COLUMNS = ["ukb_anonym", "ukb_id", "manual_label", "lb", "hb", "sn", "labe
 
 
 def parent_dir(path: Column) -> Column:
-    return F.regexp_replace(path, "/[^/]*$", "")
+    """The path without its last part; a path of one part is its own folder."""
+    name = F.length(F.substring_index(path, "/", -1))
+    return F.when(F.contains(path, F.lit("/")), F.left(path, F.length(path) - name - 1)).otherwise(path)
 
 
 def leaf_dirs(files: DataFrame, path: str = "path") -> DataFrame:
     """Directories that hold files and no directory."""
-    with_files = files.select(parent_dir(F.col(path)).alias("directory")).distinct()
+    return _leaves(files.select(parent_dir(F.col(path)).alias("directory")).distinct())
+
+
+def _leaves(with_files: DataFrame) -> DataFrame:
     # every proper ancestor of a directory with files has a sub-directory
     parts = F.split("directory", "/")
     ancestors = with_files.select(
@@ -52,14 +61,17 @@ def in_leaf_dirs(slices: DataFrame) -> DataFrame:
 
 
 def discover_series(slices: DataFrame) -> DataFrame:
-    """Slices folded to series: number of slices and first file; the file list is ``series_files``.
+    """Slices folded to series: number of slices, first file and, if slices have ``tags``, those of the first file.
 
-    Only leaf folders hold series: files beside sub-folders are left out.
+    Only leaf folders hold series: files beside sub-folders are left out.  Slices are folded before folders are looked
+    at, so they are shuffled once and only as partial counts.  The file list is ``series_files``.
     """
-    found = in_leaf_dirs(slices)
-    return found.groupBy("directory", "series_uid").agg(
-        F.count("*").alias("num_slices"), F.min("file").alias("first_file")
-    )
+    first = {"first_file": F.min("file")}
+    if "tags" in slices.columns:
+        first["tags"] = F.min_by("tags", "file")
+    placed = slices.withColumn("directory", parent_dir(F.col("file")))
+    folded = placed.groupBy("directory", "series_uid").agg(F.count("*").alias("num_slices"), *[c.alias(n) for n, c in first.items()])
+    return folded.join(_leaves(folded.select("directory").distinct()), "directory", "left_semi")
 
 
 def series_files(slices: DataFrame) -> DataFrame:
@@ -90,11 +102,18 @@ def describe_series(series: DataFrame) -> DataFrame:
     )
 
 
-def skip_reason(min_slices: int = 10) -> Column:
+def readable(series: DataFrame) -> Column:
+    """Whether a series could be read: it has header values and, where the reader reports one, no ``read_error``."""
+    read = F.col("tags").isNotNull()
+    return read & F.col("read_error").isNull() if "read_error" in series.columns else read
+
+
+def skip_reason(min_slices: int = 10, read: Column | None = None) -> Column:
     """First reason to leave a series out, else NULL."""
     slices = F.col("num_slices").cast("string")
     return (
-        F.when(F.col("modality") == "SEG", "SEG modality (segmentation)")
+        F.when(~(F.lit(True) if read is None else read), READ_FAILED)
+        .when(F.col("modality") == "SEG", "SEG modality (segmentation)")
         .when(F.col("severity") == "critical", "Critical spacing nonuniformity")
         .when(F.col("scan_plane") != "AXIAL", F.concat(F.lit("Non-axial scan ("), "scan_plane", F.lit(")")))
         .when(
@@ -105,7 +124,14 @@ def skip_reason(min_slices: int = 10) -> Column:
 
 
 def filter_series(series: DataFrame, min_slices: int = 10) -> DataFrame:
-    return series.withColumn("reason", skip_reason(min_slices))
+    """Series with the first ``reason`` to leave them out; an unreadable one is left out whatever else it is."""
+    return series.withColumn("reason", skip_reason(min_slices, readable(series)))
+
+
+def unreadable_series(series: DataFrame) -> DataFrame:
+    """The quarantine table: series that could not be read, with what the reader said."""
+    said = F.col("read_error") if "read_error" in series.columns else F.lit(None).cast("string")
+    return series.where(~readable(series)).select("series_uid", "directory", F.coalesce(said, F.lit("no header")).alias("error"))
 
 
 def select_metadata(tags: Column) -> dict[str, Column]:
@@ -274,6 +300,32 @@ def series_numbers(series: DataFrame, largest_case: int | None = None) -> DataFr
     return counted.withColumn("filename", name)
 
 
+def parse_spacing(raw: Column) -> tuple[Column, Column]:
+    """Three numbers of a backslash-separated text, and the error if it does not hold them; a null text is no error."""
+    parts = F.split(raw, r"\\")
+    numbers = F.transform(parts, lambda p: p.try_cast("double"))
+    bad = (F.size(parts) != 3) | F.exists(numbers, lambda v: v.isNull() | (v <= 0))
+    error = F.when(bad, F.concat(F.lit("cannot read spacing '"), raw, F.lit("'")))
+    return F.when(error.isNull(), numbers), error
+
+
+def with_geometry(series: DataFrame) -> DataFrame:
+    """Series with ``spacing_x``, ``spacing_y`` and ``spacing_z`` from ``spacing_raw``, and the ``error`` of a text that cannot be read."""
+    numbers, error = parse_spacing(F.col("spacing_raw"))
+    parsed = series.withColumns({"_spacing": numbers, "error": error})
+    return parsed.withColumns({f"spacing_{a}": F.get("_spacing", F.lit(i)) for i, a in enumerate("xyz")}).drop("_spacing")
+
+
+def conversion_failures(rows: DataFrame) -> DataFrame:
+    """``patient_id, series_path, error`` of the rows of ``convert_series`` that failed."""
+    return rows.where(F.col("error").isNotNull()).select("series_ord", "patient_id", F.col("directory").alias("series_path"), "error")
+
+
+def converted(rows: DataFrame) -> DataFrame:
+    """The manifest rows among the rows of ``convert_series``."""
+    return rows.where(F.col("error").isNull()).select("series_ord", *MANIFEST_COLUMNS)
+
+
 def build_manifest(
     kept: DataFrame,
     class_labels: DataFrame,
@@ -281,7 +333,18 @@ def build_manifest(
     start_case_id: int = 1,
     dataset: str = "generic",
 ) -> DataFrame:
-    """Kept series (see ``describe_series``) to manifest rows.
+    """Manifest rows of kept series, without those whose conversion fails."""
+    return converted(convert_series(kept, class_labels, aliases, start_case_id, dataset))
+
+
+def convert_series(
+    kept: DataFrame,
+    class_labels: DataFrame,
+    aliases: DataFrame | None = None,
+    start_case_id: int = 1,
+    dataset: str = "generic",
+) -> DataFrame:
+    """Kept series (see ``describe_series``) to manifest rows with ``directory`` and ``error``; a failed series keeps its number.
 
     The kept series are used twice, so they are stored once and the slices are not counted again.  Labels and case
     ids are worked out once per patient, on a small table of its own, and joined back once.
@@ -309,11 +372,12 @@ def build_manifest(
         "validation": F.lit("ok"),
         "conversion_date": F.current_timestamp().cast("string"),
     }
+    columns["error"] = F.col("error") if "error" in kept.columns else F.lit(None).cast("string")
     for name in ("spacing_x", "spacing_y", "spacing_z"):
         columns[name] = F.col(name) if name in kept.columns else F.lit(None).cast("double")
     for name in ("dim_x", "dim_y", "dim_z"):
         columns[name] = F.col(name) if name in kept.columns else F.lit(None).cast("int")
-    return rows.withColumn("_p", protocol).withColumns(columns).select("series_ord", *MANIFEST_COLUMNS)
+    return rows.withColumn("_p", protocol).withColumns(columns).select("series_ord", *MANIFEST_COLUMNS, "directory", "error")
 
 
 def manifest_from_image_headers(headers: DataFrame, suffix: str = "_0000.nii.gz", pattern: str | None = None) -> DataFrame:
@@ -368,7 +432,7 @@ def manifest_from_image_headers(headers: DataFrame, suffix: str = "_0000.nii.gz"
 
 
 def discovery_stats(series: DataFrame) -> DataFrame:
-    """Counts by plane, modality (missing left out), quality and id source."""
+    """Counts by plane, modality (missing left out), quality and id source, of the series that could be read."""
     stats = F.array(
         *[
             F.struct(F.lit(stat).alias("stat"), F.col(column).alias("value"))
@@ -381,7 +445,8 @@ def discovery_stats(series: DataFrame) -> DataFrame:
         ]
     )
     # fold to the four values first, so that at most one row per combination is exploded
-    folded = series.groupBy("scan_plane", "modality", "severity", "pid_source").agg(F.count("*").alias("n"))
+    read = series.where(readable(series)) if "tags" in series.columns else series
+    folded = read.groupBy("scan_plane", "modality", "severity", "pid_source").agg(F.count("*").alias("n"))
     return (
         folded.select("n", F.inline(stats))
         .where("value is not null")
@@ -400,46 +465,61 @@ def duplicate_patients(series: DataFrame) -> DataFrame:
     )
 
 
-def conversion_summary(manifest: DataFrame, skipped: DataFrame, failures: DataFrame | None = None) -> DataFrame:
-    """Totals and distributions as ``section, item, n``."""
-    def rows_of(df):
-        return F.lit(0) if df is None else df.agg(F.count("*").alias("n")).scalar()
+def label_report(labels: DataFrame, aliases: DataFrame, manifest: DataFrame, ord_column: str = "ord") -> DataFrame:
+    """How the alias labels met the manifest, as ``section, item, n``: totals, and the keys that several label rows claim."""
+    hits = manifest.where(F.col("label_source") != "").agg(F.countDistinct("patient_id").alias("n"))
+    total = lambda item, counted: counted.select(F.lit("label").alias("section"), F.lit(item).alias("item"), F.col("n").cast("bigint").alias("n"))
+    left = unmatched_labels(labels, aliases, manifest, ord_column)
+    rows = [
+        total("labels_loaded", labels.agg(F.count("*").alias("n"))),
+        total("label_keys_loaded", aliases.agg(F.count("*").alias("n"))),
+        total("matched_patients", hits),
+        total("unmatched_rows", left.agg(F.count("*").alias("n"))),
+        aliases.where("n_rows > 1").select(F.lit("duplicate_label_key").alias("section"), F.col("alias").alias("item"), F.col("n_rows").cast("bigint").alias("n")),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def conversion_summary(
+    manifest: DataFrame,
+    skipped: DataFrame,
+    failures: DataFrame | None = None,
+    series: DataFrame | None = None,
+    label_rows: DataFrame | None = None,
+) -> DataFrame:
+    """Totals and distributions as ``section, item, n``.
 
-    totals = (
-        manifest.agg(
-            F.countDistinct("patient_id").alias("total_patients"),
-            F.count("*").alias("records"),
-            F.count_if(F.col("validation") == "ok").alias("successful_conversions"),
-        )
-        .withColumns({"skipped_series": rows_of(skipped), "failed_conversions": rows_of(failures)})
-        .withColumn("total_series_discovered", F.col("records") + F.col("skipped_series"))
-        .select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(F.lit("total").alias("section"), F.lit(k).alias("item"), F.col(k).cast("bigint").alias("n"))
-                        for k in (
-                            "total_patients",
-                            "total_series_discovered",
-                            "successful_conversions",
-                            "failed_conversions",
-                            "skipped_series",
-                        )
-                    ]
-                )
-            )
-        )
-    )
-    folded = manifest.groupBy("group", "phase").agg(F.count("*").alias("n"))
+    ``series`` (all described series) adds the discovery statistics and the patients under several roots, ``label_rows`` (see
+    ``label_report``) the label counts.  Lists of failed, skipped and unmatched rows are tables of their own.
+    """
+    counted = lambda df, item: df.agg(F.count("*").alias("n")).select(F.lit("total").alias("section"), F.lit(item).alias("item"), "n")
+    # A group of one folded row per (group, phase) gives all distributions; patients are counted once.
+    folded = manifest.groupBy("group", "phase", "validation").agg(F.count("*").alias("n"))
     spread = folded.select(
         F.inline(
             F.array(
                 F.struct(F.lit("group").alias("section"), F.col("group").alias("item"), "n"),
                 F.struct(F.lit("phase").alias("section"), F.col("phase").alias("item"), "n"),
+                F.struct(F.lit("total").alias("section"), F.lit("total_series_discovered").alias("item"), "n"),
+                F.struct(F.lit("total").alias("section"), F.lit("successful_conversions").alias("item"), F.when(F.col("validation") == "ok", F.col("n")).otherwise(0).alias("n")),
             )
         )
     )
-    return totals.unionByName(spread.groupBy("section", "item").agg(F.sum("n").alias("n")))
+    patients = manifest.agg(F.countDistinct("patient_id").alias("n")).select(F.lit("total").alias("section"), F.lit("total_patients").alias("item"), "n")
+    # Totals stand in the report even if they are 0; skipped series count as discovered too.
+    zeros = manifest.sparkSession.range(1).select(
+        F.inline(F.array(*[F.struct(F.lit("total").alias("section"), F.lit(k).alias("item"), F.lit(0).cast("bigint").alias("n")) for k in SUMMARY_TOTALS]))
+    )
+    rows = [zeros, spread, patients, counted(skipped, "skipped_series"), counted(skipped, "total_series_discovered")]
+    if failures is not None:
+        rows.append(counted(failures, "failed_conversions"))
+    if series is not None:
+        stats = discovery_stats(series).select(F.concat(F.lit("stat_"), "stat").alias("section"), F.col("value").alias("item"), "n")
+        twice = duplicate_patients(series.where(readable(series)))
+        rows += [stats, twice.select(F.lit("duplicate_patient").alias("section"), F.col("patient_id").alias("item"), F.col("n_roots").alias("n"))]
+    if label_rows is not None:
+        rows.append(label_rows)
+    return reduce(DataFrame.unionByName, rows).groupBy("section", "item").agg(F.sum("n").alias("n"))
 
 
 def skipped_details(skipped: DataFrame, top: int | None = None) -> DataFrame:

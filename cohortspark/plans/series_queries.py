@@ -9,6 +9,7 @@ from cohortspark.functions import geometry, text
 from cohortspark.operators import series as ops
 from cohortspark.plans import check_text as ck
 from cohortspark.plans.registry import query
+from cohortspark.session import cut_lineage
 from cohortspark.sources.derived import header_tags, image_meta, table, with_tables
 
 MIN_SLICES = 3
@@ -42,9 +43,14 @@ def alias_table(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def converted_series(spark: SparkSession, sf: str, all_series: DataFrame | None = None) -> DataFrame:
+    """Kept series as manifest rows, those that fail with their error."""
+    kept = (screened(spark, sf) if all_series is None else all_series).where("reason is null")
+    return ops.convert_series(ops.with_geometry(kept), class_labels(spark, sf), ops.load_alias_labels(alias_table(spark, sf)))
+
+
 def manifest_rows(spark: SparkSession, sf: str) -> DataFrame:
-    kept = screened(spark, sf).where("reason is null")
-    return ops.build_manifest(kept, class_labels(spark, sf))
+    return ops.converted(converted_series(spark, sf))
 
 
 # ---- check text for the shared steps ---------------------------------------------------------------------
@@ -74,7 +80,7 @@ described as (select p.*, coalesce(c.n, 0) as num_slices,
       when nonuniformity_mm is not null then 'minor' else 'ok' end as severity,
     string_split(directory, '/')[1] as root
   from parts p left join counts c on c.series_uid = p.series_uid),
-screened as (select *, case when modality = 'SEG' then 'SEG modality (segmentation)'
+screened as (select *, case when read_error is not null then 'Failed to read DICOM series' when modality = 'SEG' then 'SEG modality (segmentation)'
     when severity = 'critical' then 'Critical spacing nonuniformity'
     when scan_plane <> 'AXIAL' then concat('Non-axial scan (', scan_plane, ')')
     when num_slices < {MIN_SLICES} then concat('Too few slices (', num_slices, ' < {MIN_SLICES})') end as reason from described)
@@ -87,6 +93,22 @@ classes as (select pid, arg_max(grp, ord) as grp, arg_max(cid, ord) filter (wher
   from cleaned where pid <> '' group by pid)
 """
 
+_ALIASES = f"""
+claims as (select ord, {ck.key('anonym')} as k from alias_labels union select ord, {ck.key('id')} from alias_labels),
+owners as (select k, min(ord) as row_ord, count(*) as n_rows from claims where k <> '' group by k),
+aliases as (select o.k as alias, o.row_ord, {ck.clean('l.anonym')} as ukb_anonym, {ck.clean('l.id')} as ukb_id,
+  {ck.clean('l.manual_label')} as manual_label, o.n_rows from owners o join alias_labels l on l.ord = o.row_ord)
+"""
+
+
+_TAG_VALUES = """concat(birth_date[1:4], '-', birth_date[5:6], '-', birth_date[7:8]) as "DOB",
+    concat(study_date[1:4], '-', study_date[5:6], '-', study_date[7:8]) as "DOS",
+    round_even((strptime(study_date, '%Y%m%d')::date - strptime(birth_date, '%Y%m%d')::date) / 365.25, 1) as age_at_scan,
+    nullif(series_description, '') as series_description, nullif(trim(sex), '') as sex, nullif(age, '') as age,
+    case when length(study_time) >= 6 then concat(study_time[1:2], ':', study_time[3:4], ':', study_time[5:6]) end as study_time,
+    series_number, nullif(trim(manufacturer), '') as manufacturer, manufacturer_model, nullif(institution, '') as institution,
+    nullif(kvp, '') as kvp, nullif(contrast_agent, '') as contrast_agent, slice_thickness"""
+
 _MANIFEST = rf"""
 kept as (select *, {ck.norm('series_description')} as t_meta, {ck.norm('directory')} as t_path from screened where reason is null),
 phased as (select *, {ck.phase_of_norm('t_meta')} as p_meta, {ck.phase_of_norm('t_path')} as p_path from kept),
@@ -102,30 +124,44 @@ numbered as (select k.*, c.grp, c.case_id,
     row_number() over (partition by k.patient_id order by series_ord) - 1 as scan_idx,
     row_number() over (partition by c.case_id order by c.first_seen, series_ord) - 1 as case_no
   from phased k join cased c on c.patient_id = k.patient_id),
+spaced as (select *, string_split(spacing_raw, chr(92)) as sv from numbered),
+measured as (select *, case when len(sv) <> 3 or len(list_filter(sv, lambda v: coalesce(try_cast(v as double), 0) <= 0)) > 0
+    then concat('cannot read spacing ', chr(39), spacing_raw, chr(39)) end as error from spaced),
+named as (select m.*, coalesce(a.ukb_anonym, b.ukb_anonym, '') as ukb_anonym, coalesce(a.ukb_id, b.ukb_id, '') as ukb_id, coalesce(a.manual_label, b.manual_label, '') as manual_label,
+    case when coalesce(a.alias, b.alias) is null then '' else 'labels.csv' end as label_source
+  from measured m left join aliases a on a.alias = m.patient_id left join aliases b on b.alias = {ck.key('m.patient_id')}),
 manifest as (select series_ord, concat(lpad(cast(case_no as varchar), greatest(2, length(cast(case_no as varchar)))::int, '0'), '_', case_id, '_0000.nii.gz') as filename,
     patient_id, case_id, grp as "group",
     case when p_meta in ('nc','art','ven','delay') then p_meta when p_meta = 'excluded' then 'undefined'
       when p_path in ('nc','art','ven','delay') then p_path else 'undefined' end as phase,
     case when p_meta <> 'undefined' then 'metadata' when p_path <> 'undefined' then 'filename' else 'undefined' end as phase_source,
-    scan_idx, modality, scan_plane, nullif(iop_raw, '') as image_orientation, severity as spacing_quality,
-    concat(birth_date[1:4], '-', birth_date[5:6], '-', birth_date[7:8]) as "DOB",
-    concat(study_date[1:4], '-', study_date[5:6], '-', study_date[7:8]) as "DOS",
-    round_even((strptime(study_date, '%Y%m%d')::date - strptime(birth_date, '%Y%m%d')::date) / 365.25, 1) as age_at_scan,
-    nullif(series_description, '') as series_description, num_slices from numbered)
+    scan_idx, modality, scan_plane, nullif(iop_raw, '') as image_orientation, severity as spacing_quality, nonuniformity_mm,
+    {_TAG_VALUES},
+    try_cast(sv[1] as double) as spacing_x, try_cast(sv[2] as double) as spacing_y, try_cast(sv[3] as double) as spacing_z,
+    cast(null as int) as dim_x, cast(null as int) as dim_y, cast(null as int) as dim_z, num_slices, 'generic' as dataset_type,
+    concat(lpad(cast(case_no as varchar), greatest(2, length(cast(case_no as varchar)))::int, '0'), '_', case_id, '_0000.nii.gz') as output_path, 'ok' as validation,
+    ukb_anonym, ukb_id, manual_label, '' as lb, '' as hb, '' as sn, label_source from named where error is null)
 """
 
-_SHOWN = [
-    "series_ord", "filename", "patient_id", "case_id", "group", "phase", "phase_source", "scan_idx", "modality",
-    "scan_plane", "image_orientation", "spacing_quality", "DOB", "DOS", "age_at_scan", "series_description", "num_slices",
-]
+# All columns of a manifest but the time of the run.
+_SHOWN = ["series_ord", *[c for c in ops.MANIFEST_COLUMNS if c != "conversion_date"]]
+_STATS = """select 'scan_plane' as stat, scan_plane as value, count(*) as n from read group by 2
+union all select 'modality', modality, count(*) from read group by 2
+union all select 'quality', severity, count(*) from read group by 2
+union all select 'pid_source', pid_source, count(*) from read group by 2"""
+
+
+def _joined(body: str) -> str:
+    """A body that has tables of its own goes on with the list of tables."""
+    return ",\n" + body.removeprefix("with ") if body.startswith("with ") else "\n" + body
 
 
 def _screened_sql(body: str) -> str:
-    return with_tables(f"with {_DESCRIBED}\n{body}", "series", "slices")
+    return with_tables(f"with {_DESCRIBED}{_joined(body)}", "series", "slices")
 
 
 def _manifest_sql(body: str) -> str:
-    return with_tables(f"with {_DESCRIBED}, {_CLASSES}, {_MANIFEST}\n{body}", "series", "slices", "label_rows")
+    return with_tables(f"with {_DESCRIBED}, {_CLASSES}, {_ALIASES}, {_MANIFEST}{_joined(body)}", "series", "slices", "label_rows", "alias_labels")
 
 
 # ---- discovery -------------------------------------------------------------------------------------------
@@ -410,17 +446,13 @@ def dataset_type(spark, sf):
 @query(
     "F26",
     with_tables(
-        """select series_uid, nullif(iop_raw, '') as image_orientation, modality, nullif(series_description, '') as series_description,
-  concat(birth_date[1:4], '-', birth_date[5:6], '-', birth_date[7:8]) as "DOB",
-  concat(study_date[1:4], '-', study_date[5:6], '-', study_date[7:8]) as "DOS", cast(null as varchar) as sex,
-  round_even((strptime(study_date, '%Y%m%d')::date - strptime(birth_date, '%Y%m%d')::date) / 365.25, 1) as age_at_scan from series""",
+        f"""select series_uid, nullif(iop_raw, '') as image_orientation, modality, {_TAG_VALUES} from series""",
         "series",
     ),
 )
 def series_metadata(spark, sf):
     values = ops.select_metadata(F.col("tags"))
-    shown = ("image_orientation", "modality", "series_description", "DOB", "DOS", "sex", "age_at_scan")
-    return header_tags(table(spark, sf, "series")).select("series_uid", *[values[k].alias(k) for k in shown])
+    return header_tags(table(spark, sf, "series")).select("series_uid", *[c.alias(k) for k, c in values.items()])
 
 
 # ---- filters, labels, manifest ---------------------------------------------------------------------------
@@ -444,14 +476,6 @@ def load_class_labels(spark, sf):
     return class_labels(spark, sf)
 
 
-_ALIASES = f"""
-claims as (select ord, {ck.key('anonym')} as k from alias_labels union select ord, {ck.key('id')} from alias_labels),
-owners as (select k, min(ord) as row_ord, count(*) as n_rows from claims where k <> '' group by k),
-aliases as (select o.k as alias, o.row_ord, {ck.clean('l.anonym')} as ukb_anonym, {ck.clean('l.id')} as ukb_id,
-  {ck.clean('l.manual_label')} as manual_label, o.n_rows from owners o join alias_labels l on l.ord = o.row_ord)
-"""
-
-
 @query("J3 S6 J13", with_tables(f"with {_ALIASES} select * from aliases", "alias_labels"))
 def load_alias_labels(spark, sf):
     _, aliases = ops.load_conversion_labels(alias_table(spark, sf), "ukbonn")
@@ -540,10 +564,7 @@ def manifest_group_phase(spark, sf):
 
 @query(
     "A1",
-    _screened_sql("""select 'scan_plane' as stat, scan_plane as value, count(*) as n from described group by 2
-union all select 'modality', modality, count(*) from described group by 2
-union all select 'quality', severity, count(*) from described group by 2
-union all select 'pid_source', pid_source, count(*) from described group by 2"""),
+    _screened_sql(f"with read as (select * from described where read_error is null) {_STATS}"),
 )
 def discovery_stats(spark, sf):
     return ops.discovery_stats(ops.describe_series(series_headers(spark, sf)))
@@ -552,25 +573,49 @@ def discovery_stats(spark, sf):
 @query(
     "A2",
     _screened_sql("""select patient_id, count(distinct root) as n_roots, string_agg(distinct root, ',' order by root) as roots
-from described group by 1 having count(distinct root) > 1"""),
+from described where read_error is null group by 1 having count(distinct root) > 1"""),
 )
 def duplicate_patients(spark, sf):
-    return ops.duplicate_patients(ops.describe_series(series_headers(spark, sf)))
+    found = ops.describe_series(series_headers(spark, sf))
+    return ops.duplicate_patients(found.where(ops.readable(found)))
 
 
 @query(
-    "A3",
-    _manifest_sql("""select 'total' as section, 'total_patients' as item, (select count(distinct patient_id) from manifest) as n
-union all select 'total', 'total_series_discovered', (select count(*) from screened)
+    "A3 J5 A1 A2",
+    _manifest_sql(f"""with read as (select * from described where read_error is null), stats as ({_STATS}),
+keys as (select {ck.key('ukb_anonym')} as k from manifest where label_source <> '' union select {ck.key('ukb_id')} from manifest where label_source <> '' union select {ck.key('patient_id')} from manifest where label_source <> '')
+select 'total' as section, 'total_patients' as item, (select count(distinct patient_id) from manifest) as n
+union all select 'total', 'total_series_discovered', (select count(*) from manifest) + (select count(*) from screened where reason is not null)
 union all select 'total', 'successful_conversions', (select count(*) from manifest)
-union all select 'total', 'failed_conversions', 0
+union all select 'total', 'failed_conversions', (select count(*) from measured where error is not null)
 union all select 'total', 'skipped_series', (select count(*) from screened where reason is not null)
 union all select 'group', "group", count(*) from manifest group by 2
-union all select 'phase', phase, count(*) from manifest group by 2"""),
+union all select 'phase', phase, count(*) from manifest group by 2
+union all select concat('stat_', stat), value, n from stats
+union all select 'duplicate_patient', patient_id, count(distinct root) from read group by 2 having count(distinct root) > 1
+union all select 'label', 'labels_loaded', (select count(*) from alias_labels)
+union all select 'label', 'label_keys_loaded', (select count(*) from aliases)
+union all select 'label', 'matched_patients', (select count(distinct patient_id) from manifest where label_source <> '')
+union all select 'label', 'unmatched_rows', (select count(*) from alias_labels where ord not in (select row_ord from aliases where alias in (select k from keys)))
+union all select 'duplicate_label_key', alias, n_rows from aliases where n_rows > 1"""),
 )
 def conversion_summary(spark, sf):
-    skipped = screened(spark, sf).where("reason is not null")
-    return ops.conversion_summary(manifest_rows(spark, sf), skipped)
+    found = cut_lineage(screened(spark, sf))
+    rows = cut_lineage(converted_series(spark, sf, found))
+    done = ops.converted(rows)
+    labels = alias_table(spark, sf)
+    report = ops.label_report(labels, ops.load_alias_labels(labels), done)
+    return ops.conversion_summary(done, found.where("reason is not null"), ops.conversion_failures(rows), found, report)
+
+
+@query("A3", _manifest_sql("select series_ord, patient_id, directory as series_path, error from measured where error is not null"))
+def failed_conversions(spark, sf):
+    return ops.conversion_failures(converted_series(spark, sf))
+
+
+@query("A3 P1", _screened_sql("select series_uid, directory, read_error as error from described where read_error is not null"))
+def unreadable_series(spark, sf):
+    return ops.unreadable_series(ops.describe_series(series_headers(spark, sf)))
 
 
 @query(

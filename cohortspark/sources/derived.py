@@ -26,7 +26,20 @@ select o_orderkey as series_ord,
   replace(case o_orderkey % 4 when 0 then '1|0|0|0|1|0' when 1 then '1|0|0|0|0|1' when 2 then '' else '0.7|0.7|0|0|0.7|0.7' end, '|', chr(92)) as iop_raw,
   replace(cast(cast(o_orderdate as date) as string), '-', '') as study_date,
   concat(cast(1930 + o_custkey % 60 as string), '0615') as birth_date,
-  case o_orderkey % 23 when 0 then 60.0E0 when 1 then 12.5E0 when 2 then 3.0E0 else null end as nonuniformity_mm
+  case o_orderkey % 23 when 0 then 60.0E0 when 1 then 12.5E0 when 2 then 3.0E0 else null end as nonuniformity_mm,
+  case o_custkey % 3 when 0 then 'F' when 1 then ' M ' else '' end as sex,
+  case when o_custkey % 4 = 0 then '' else concat('0', cast(20 + o_custkey % 60 as string), 'Y') end as age,
+  case when o_orderkey % 5 = 0 then '10' else concat(lpad(cast(o_orderkey % 24 as string), 2, '0'), '3015.250') end as study_time,
+  cast(o_orderkey % 9 as string) as series_number,
+  case o_orderkey % 3 when 0 then 'MAKER ONE' when 1 then ' MAKER TWO ' else '' end as manufacturer,
+  concat('Model ', cast(o_custkey % 5 as string)) as manufacturer_model,
+  case when o_custkey % 6 = 0 then '' else concat('Site ', cast(o_custkey % 6 as string)) end as institution,
+  case o_orderkey % 4 when 0 then '120' when 1 then '100' else '' end as kvp,
+  case when o_orderkey % 7 = 0 then 'APPLIED' else '' end as contrast_agent,
+  case o_orderkey % 5 when 0 then '5.0' when 1 then '1.25' else '2' end as slice_thickness,
+  case when o_orderkey % 31 = 0 then replace('0.8|x|1', '|', chr(92)) when o_orderkey % 29 = 0 then '0.8'
+    else replace(concat('0.8|0.75|', cast(1 + o_orderkey % 4 as string)), '|', chr(92)) end as spacing_raw,
+  case when o_orderkey % 37 = 0 then 'truncated file' end as read_error
 from {orders}""",
     "slices": """
 select concat('1.2.840.', cast(l_orderkey as string)) as series_uid, l_linenumber as slice_ord,
@@ -39,7 +52,8 @@ select c_custkey as ord,
   case when c_custkey % 7 = 0 then concat('kits', cast(c_custkey as string)) else 'nan' end as case_raw
 from {customer}""",
     "alias_labels": """
-select s_suppkey as ord, concat('Anonym_x', cast(s_suppkey % 8 as string)) as anonym,
+select s_suppkey as ord, case when s_suppkey % 4 = 3 then concat('TCGA-B', cast(s_suppkey % 10 as string), '-', lpad(cast(s_suppkey as string), 4, '0'))
+  else concat('Anonym_x', cast(s_suppkey % 8 as string)) end as anonym,
   concat(cast(s_suppkey + 1000 as string), '.0') as id, cast(s_nationkey % 3 as string) as manual_label
 from {supplier}""",
     "voi_files": """
@@ -191,11 +205,21 @@ def header_tags(series: DataFrame) -> DataFrame:
                 ("0020|0037", "iop_raw"),
                 ("0008|0020", "study_date"),
                 ("0010|0030", "birth_date"),
+                ("0010|0040", "sex"),
+                ("0010|1010", "age"),
+                ("0008|0030", "study_time"),
+                ("0020|0011", "series_number"),
+                ("0008|0070", "manufacturer"),
+                ("0008|1090", "manufacturer_model"),
+                ("0008|0080", "institution"),
+                ("0018|0060", "kvp"),
+                ("0018|0010", "contrast_agent"),
+                ("0018|0050", "slice_thickness"),
             ]
             for part in (F.lit(key), F.col(name))
         ]
     )
-    return series.select("series_ord", "series_uid", "directory", "nonuniformity_mm", tags.alias("tags"))
+    return series.select("series_ord", "series_uid", "directory", "nonuniformity_mm", tags.alias("tags"), "spacing_raw", "read_error")
 
 
 def image_meta(headers: DataFrame) -> DataFrame:
