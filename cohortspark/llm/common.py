@@ -30,6 +30,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` gave, once all that was made of them has been stored too."""
+    for table in tables:
+        session = table.sparkSession
+        files = table.inputFiles()
+        if not files:
+            continue
+        jvm = session._jvm
+        path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold(key: Column, folds: int) -> Column:
     """``crc32`` of the key as text, modulo ``folds``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % folds
