@@ -12,7 +12,12 @@ RECLASSIFY = ("NC", "VEN", "ART", "DELAY")
 
 def upsert_decisions(decisions: DataFrame) -> DataFrame:
     """The last decision per key (by ``ord``); a last ``CLEAR`` removes the key."""
-    return last_per_key(decisions, ["key"], F.col("ord")).where(F.col("action") != "CLEAR")
+    return current_decisions(last_per_key(decisions, ["key"], F.col("ord")))
+
+
+def current_decisions(state: DataFrame) -> DataFrame:
+    """The decisions in force, of a table with the last row of every key."""
+    return state.where(F.col("action") != "CLEAR")
 
 
 def _new_phase(action: Column, allowed=RECLASSIFY) -> Column:
@@ -86,6 +91,36 @@ def append_log(old: DataFrame | None, plan: DataFrame) -> DataFrame:
     return moved if old is None else old.select("from_path", "to_path").union(moved)
 
 
+def run_moves(plan: DataFrame, run: int) -> DataFrame:
+    """The moves of one run as rows of the move log."""
+    return append_log(None, plan).select(F.lit(run).cast("bigint").alias("run"), "from_path", "to_path")
+
+
+def _path_states(before: DataFrame, plan: DataFrame) -> DataFrame:
+    """``path, was, is``: whether a file stood at the path before the plan and stands there after it.
+
+    The file table and the plan are read once each; a path that is listed, left or reached more than once counts once.
+    """
+    moves = plan.where("state = 'move'").select(
+        F.inline(
+            F.array(
+                F.struct(F.col("from_path").alias("path"), F.lit(-1).alias("sign")),
+                F.struct(F.col("to_path").alias("path"), F.lit(1).alias("sign")),
+            )
+        )
+    )
+    signs = before.select("path", F.lit(0).alias("sign")).union(moves)
+    folded = signs.groupBy("path").agg(
+        F.bool_or(F.col("sign") == 0).alias("was"), F.bool_or(F.col("sign") < 0).alias("_left"), F.bool_or(F.col("sign") > 0).alias("_came")
+    )
+    return folded.select("path", "was", (F.col("_came") | (F.col("was") & ~F.col("_left"))).alias("is"))
+
+
+def files_after(before: DataFrame, plan: DataFrame) -> DataFrame:
+    """The different paths of the file table once the plan is carried out."""
+    return _path_states(before, plan).where("is").select("path")
+
+
 def _two_roots(rows: DataFrame, folder: Column, to_root: str, to_folder: Column) -> DataFrame:
     both = rows.withColumn("kind", F.explode(F.array(F.lit("images"), F.lit("mask"))))
     return both.select(
@@ -132,21 +167,18 @@ def _ancestors(path: Column) -> Column:
 
 
 def empty_dirs(before: DataFrame, plan: DataFrame, roots: tuple[str, ...] = ("images", "mask")) -> DataFrame:
-    """Directories that hold no file any more once the plan is carried out, deepest included; roots are kept."""
-    gone = plan.where("state = 'move'").select(F.col("from_path").alias("path"))
-    came = plan.where("state = 'move'").select(F.col("to_path").alias("path"))
-    known = before.select("path")
-    left = known.join(gone, "path", "left_anti").union(came)
-
-    def folders(files):
-        # one row per directory before its ancestors are listed
-        parents = files.select(F.regexp_replace("path", "/[^/]*$", "").alias("d")).distinct()
-        return parents.select(F.explode(F.concat(_ancestors(F.col("d")), F.array("d"))).alias("directory")).distinct()
+    """Directories that hold no file any more once the plan is carried out, deepest included; roots are kept.
 
+    Paths are rolled up to their own directories first; only these list their ancestors.
+    """
+    nearest = _path_states(before, plan).groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("d"))
+    own = nearest.agg(F.bool_or("was").alias("was"), F.bool_or("is").alias("is"))
     under = F.lit(False)
     for root in roots:
         under = under | F.col("directory").startswith(root + "/")
-    return folders(known).where(under).join(folders(left), "directory", "left_anti")
+    held = own.select(F.explode(F.concat(_ancestors(F.col("d")), F.array("d"))).alias("directory"), "was", "is").where(under)
+    states = held.groupBy("directory").agg(F.bool_or("was").alias("was"), F.bool_or("is").alias("is"))
+    return states.where("was and not is").select("directory")
 
 
 def review_summary(decisions: DataFrame, manifest: DataFrame, cases: DataFrame, files: DataFrame) -> DataFrame:

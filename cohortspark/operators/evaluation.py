@@ -230,16 +230,20 @@ def upsert_metrics(events: DataFrame, earlier: DataFrame | None = None, drop_nan
     Step tags and values that are no number are left out; NaN only on import.  A resumed run starts from
     ``earlier`` (same columns without ``ord``).
     """
-    rows = events.select("tag", F.col("epoch").cast("int").alias("epoch"), F.col("value").try_cast("double").alias("value"), "ord")
-    rows = rows.where(~F.col("tag").startswith("step_") & F.col("value").isNotNull())
-    if drop_nan:
-        rows = rows.where(~F.isnan("value"))
+    rows = metric_rows(events, drop_nan)
     if earlier is not None:
         before = earlier.select("tag", "epoch", "value", F.lit(-1).cast("bigint").alias("ord"))
         rows = before.unionByName(rows.withColumn("ord", F.col("ord").cast("bigint")))
     return last_per_key(rows, ["tag", "epoch"], F.col("ord")).drop("ord")
 
 
+def metric_rows(events: DataFrame, drop_nan: bool = False) -> DataFrame:
+    """``tag, epoch, value, ord`` of the events that a history takes."""
+    rows = events.select("tag", F.col("epoch").cast("int").alias("epoch"), F.col("value").try_cast("double").alias("value"), "ord")
+    rows = rows.where(~F.col("tag").startswith("step_") & F.col("value").isNotNull())
+    return rows.where(~F.isnan("value")) if drop_nan else rows
+
+
 def metric_groups(history: DataFrame, excluded: str = "LR/") -> DataFrame:
     """Series by base tag and split with the axis label, as the progress plots show them."""
     named = history.where(~F.col("tag").startswith(excluded)).withColumn("_t", text.split_metric_tag(F.col("tag")))

@@ -13,6 +13,7 @@ from cohortspark.operators.stencil import interior_edge
 from cohortspark.scale import exact_percentiles, spread_join
 
 AXES = ("x", "y", "z")
+SLAB = 8  # slices that are matched with crop boxes together
 INTENSITY_PERCENTS = {
     "p0_5": 0.5, "p5": 5.0, "p25": 25.0, "median": 50.0, "p75": 75.0, "p95": 95.0, "p99_5": 99.5,
 }
@@ -373,12 +374,24 @@ def enforce_min_size(boxes: DataFrame, min_size: dict[str, Column]) -> DataFrame
     return out
 
 
-def crop_voxels(voxels: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Voxels inside the boxes of their volume, with box-local coordinates added."""
+def crop_voxels(voxels: DataFrame, boxes: DataFrame, slab: int = SLAB) -> DataFrame:
+    """Voxels inside the boxes of their volume, with box-local coordinates added.
+
+    A box is listed once for each slab of ``slab`` slices that it reaches into, and voxels meet it by volume and slab.  So a
+    large volume is dealt out by its own slabs, and voxels of slabs without a box are never compared.
+    """
+    last = F.col("crop_z") + F.col("crop_size_z") - 1
+    size = F.lit(slab)
+    slabs = F.when(
+        (F.col("crop_size_x") > 0) & (F.col("crop_size_y") > 0) & (F.col("crop_size_z") > 0),
+        F.sequence(F.floor(F.col("crop_z") / size), F.floor(last / size)),
+    )
+    reached = boxes.withColumn("_slab", F.explode(slabs))
+    placed = voxels.withColumn("_slab", F.floor(F.col("z") / size))
     inside = F.lit(True)
     for a in AXES:
         inside = inside & (F.col(a) >= F.col(f"crop_{a}")) & (F.col(a) < F.col(f"crop_{a}") + F.col(f"crop_size_{a}"))
-    joined = spread_join(voxels, boxes, "voi_id", AXES).where(inside)
+    joined = placed.join(reached, ["voi_id", "_slab"]).where(inside).drop("_slab")
     return joined.withColumns({f"{a}_local": F.col(a) - F.col(f"crop_{a}") for a in AXES})
 
 

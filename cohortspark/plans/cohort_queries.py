@@ -11,6 +11,8 @@ from cohortspark.plans import check_text as ck
 from cohortspark.plans import voxel_queries as vq
 from cohortspark.plans.registry import query
 from cohortspark.plans.series_queries import CASE_PATTERN
+from cohortspark.session import cut_lineage, staging_path
+from cohortspark.sources import state
 from cohortspark.sources.derived import table, with_tables
 
 SEED = 42
@@ -246,9 +248,19 @@ def upsert_decisions(spark, sf):
     return curation.upsert_decisions(table(spark, sf, "decisions")).select("key", "action", "ord")
 
 
-def _file_decisions(spark, sf):
-    """Decisions on manifest file names."""
+@query("U3 stored", with_tables(f"with {_LAST} select * from last_dec", "decisions"))
+def decision_state(spark, sf):
+    """Three deliveries out of order and one of them again give what a rebuild gives."""
+    at = state.decisions_state(staging_path(spark, "decisions"))
     rows = table(spark, sf, "decisions")
+    for part in (2, 0, 1, 0):
+        state.merge_delivery(spark, at, rows.where(F.col("ord") % 3 == part))
+    return curation.current_decisions(state.read_state(spark, at))
+
+
+def _file_decisions(spark, sf, rows=None):
+    """Decisions on manifest file names."""
+    rows = table(spark, sf, "decisions") if rows is None else rows
     return curation.upsert_decisions(rows).withColumn("filename", F.concat(F.lit("00_"), "key", F.lit("_0000.nii.gz")))
 
 
@@ -283,11 +295,14 @@ def missing_reclassifications(spark, sf):
     return out.select("filename", "action")
 
 
-def _delete_plan(spark, sf):
+def _study_files(spark, sf):
     rows = study_manifest(spark, sf)
     files = rows.where("is_live").select(F.concat(F.lit("nifti/"), "filename").alias("path"))
-    files = files.union(rows.where("is_deleted").select(F.concat(F.lit("deleted/"), "filename")))
-    return curation.soft_delete_plan(_file_decisions(spark, sf), files)
+    return files.union(rows.where("is_deleted").select(F.concat(F.lit("deleted/"), "filename")))
+
+
+def _delete_plan(spark, sf):
+    return curation.soft_delete_plan(_file_decisions(spark, sf), _study_files(spark, sf))
 
 
 _DELETE = (
@@ -316,6 +331,33 @@ def soft_delete(spark, sf):
     return curation.soft_delete(study_manifest(spark, sf), _delete_plan(spark, sf)).select("ord", "filename", "phase")
 
 
+_EARLY = """early as (select key, arg_max(action, ord) as action from decisions where ord % 3 <> 0 group by 1),
+free as (select distinct filename from study_manifest where is_live and filename not in (select filename from study_manifest where is_deleted)),
+m1 as (select f.filename from early e join free f on f.filename = concat('00_', e.key, '_0000.nii.gz') where e.action = 'delete'),
+m2 as (select f.filename from last_dec e join free f on f.filename = concat('00_', e.key, '_0000.nii.gz') where e.action = 'delete' and f.filename not in (select filename from m1))"""
+
+
+@query(
+    "U4 stored",
+    with_tables(
+        f"""with {_LAST}, {_EARLY} select run, concat('nifti/', filename) as from_path, concat('deleted/', filename) as to_path
+from (select 1 as run, filename from m1 union all select 2, filename from m2)""",
+        "decisions",
+        "study_manifest",
+    ),
+)
+def move_log(spark, sf):
+    """Moves of a run on the earlier decisions and of one on all of them, which finds the files as the first left them."""
+    at = state.move_log_state(staging_path(spark, "moves"))
+    decisions, files = table(spark, sf, "decisions"), _study_files(spark, sf)
+    for run, rows in ((1, decisions.where(F.col("ord") % 3 != 0)), (2, decisions)):
+        plan = cut_lineage(curation.soft_delete_plan(_file_decisions(spark, sf, rows), files))
+        files = curation.files_after(files, plan)
+        for _ in range(2):  # the second time adds nothing
+            state.merge_delivery(spark, at, curation.run_moves(plan, run))
+    return state.read_state(spark, at)
+
+
 def _voi_decisions(spark, sf):
     return table(spark, sf, "voi_decisions").withColumn("key", F.substring("path", 8, 1 << 30))
 

@@ -18,6 +18,7 @@ from cohortspark.plans import series_queries as sq
 from cohortspark.plans import voxel_queries as vq
 from cohortspark.plans.registry import REGISTRY, query
 from cohortspark.session import staging_path
+from cohortspark.sources import state
 from cohortspark.sources import tables as io
 from cohortspark.sources.derived import table, with_tables
 
@@ -236,6 +237,16 @@ def upsert_metrics(spark, sf):
     return history(spark, sf)
 
 
+@query("U1 stored", _hist_sql("select * from hist"))
+def metric_state(spark, sf):
+    """A resumed run: later events first, an earlier part that comes late, and the same part again."""
+    at = state.metrics_state(staging_path(spark, "metrics"))
+    rows = ev.metric_rows(table(spark, sf, "metric_events"))
+    for part in (1, 2, 0, 2):
+        state.merge_delivery(spark, at, rows.where(F.col("ord") % 3 == part))
+    return state.read_state(spark, at).drop("ord")
+
+
 @query(
     "U2 F29",
     _hist_sql("""select regexp_replace(tag, '/(train|val|test)$', '') as base_tag, regexp_extract(tag, '/(train|val|test)$', 1) as split, count(*) as n_points,
