@@ -323,8 +323,9 @@ def training_index(files: DataFrame, shapes: DataFrame | None = None, voi_root:
     fault = F.when(F.col("_i").isNull() | F.col("_m").isNull(), "no shape of image or mask: ").otherwise(
         "image and mask shape differ: "
     )
-    same = F.when(F.col("_i") == F.col("_m"), F.col("label")).otherwise(F.raise_error(F.concat(fault, "path")))
-    return checked.withColumn("label", same).drop("_i", "_m")
+    # a filter, as a column that nobody reads would be pruned together with its check
+    same = F.when(F.col("_i") == F.col("_m"), F.lit(True)).otherwise(F.raise_error(F.concat(fault, "path")).cast("boolean"))
+    return checked.where(same).drop("_i", "_m")
 
 
 def review_order(cases: DataFrame) -> DataFrame:

@@ -71,6 +71,13 @@ def score_rows(predictions: DataFrame, num_classes: int) -> DataFrame:
     ).select("class", "id", "score", (F.col("label") == F.col("class")).cast("int").alias("positive"))
 
 
+def binary_rows(predictions: DataFrame, positive: int) -> DataFrame:
+    """Rows of the one class ``positive``, scored by the last probability, for a curve that must exist."""
+    return predictions.select(
+        F.lit(positive).alias("class"), "id", F.element_at("probs", -1).alias("score"), (F.col("label") == positive).cast("int").alias("positive")
+    )
+
+
 def _totals(rows: DataFrame) -> DataFrame:
     # one row per class; classes with only one outcome have no curve
     return (
@@ -114,8 +121,9 @@ def roc_curve(rows: DataFrame, collapse_ties: bool = False, max_group_rows: int
 
 
 def require_both_classes(rows: DataFrame) -> DataFrame:
-    """The rows, or an error where a class has only one outcome."""
-    if _totals(rows).count() < rows.select("class").distinct().count():
+    """The rows, or an error where a class has only one outcome: a single curve must exist, one of several is left out."""
+    outcomes = rows.groupBy("class").agg((F.min("positive") < F.max("positive")).alias("both"))
+    if not outcomes.agg(F.bool_and(F.coalesce("both", F.lit(False)))).first()[0]:
         raise ValueError("cannot compute a ROC curve with only one class present")
     return rows
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from cohortspark.functions import fixed
 from cohortspark.operators import voxels as vx
 from cohortspark.operators.components import component_runs, component_table
-from cohortspark.scale import exact_percentiles, numbered
-from cohortspark.session import cut_lineage
+from cohortspark.scale import exact_percentiles, folded_percentiles, numbered
+from cohortspark.session import cut_lineage, staged
 
 AXES = vx.AXES
 
@@ -220,9 +220,12 @@ def _metric(lesions: DataFrame, mm: str, vox: str) -> str:
 
 def size_cuts(lesions: DataFrame, percentiles: Sequence[float]) -> tuple[str, list[float], list[float]]:
     """Metric, cut per percentile, and the strictly rising cuts; a handful of numbers on the driver."""
-    metric = _metric(lesions, "volume_mm3", "volume_vox")
+    sizes = staged(lesions.groupBy("volume_mm3", "volume_vox").agg(F.count("*").alias("_n")), "sizes")
+    metric = _metric(sizes, "volume_mm3", "volume_vox")
     named = {f"p{i}": float(p) for i, p in enumerate(sorted(percentiles))}
-    row = exact_percentiles(lesions, [], {"v": F.col(metric)}, named).first()
+    known = sizes.select(F.col(metric).cast("double").alias("_x"), "_n").where("_x is not null")
+    found = folded_percentiles(known, [], named).first()["_q"]
+    row = {f"v_{p}": found[i] if found else None for i, p in enumerate(named)}
     cuts = [row[f"v_{p}"] for p in named]
     rising: list[float] = []
     for cut in cuts:
@@ -289,9 +292,9 @@ BOX_PERCENTS = {f"p{p}": float(p) for p in (25, 50, 75, 90)}
 
 def sampling_profile(lesions: DataFrame) -> DataFrame:
     """Percentiles of volume, extent and box per axis as ``measure, metric, percentile, value``."""
-    volume = _metric(lesions, "volume_mm3", "volume_vox")
-    extent = _metric(lesions, "max_extent_mm", "max_extent_vox")
-    box = _metric(lesions, "bbox_size_mm", "bbox_size_vox")
+    pairs = [("volume_mm3", "volume_vox"), ("max_extent_mm", "max_extent_vox"), ("bbox_size_mm", "bbox_size_vox")]
+    lacking = lesions.agg(*[F.bool_or(F.col(mm).isNull()).alias(mm) for mm, _ in pairs]).first()
+    volume, extent, box = [vox if lacking[mm] else mm for mm, vox in pairs]
     measures = {"volume": F.col(volume), "extent": F.col(extent)} | {
         f"bbox_{a}": F.col(box)[i] for i, a in enumerate(AXES)
     }

@@ -12,7 +12,7 @@ from cohortspark.functions import fixed
 from cohortspark.functions.text import let
 from cohortspark.operators.components import component_runs
 from cohortspark.operators.stencil import DIRECTIONS, fold_lines, level_pairs, level_runs, neighbour_sums
-from cohortspark.scale import exact_percentiles, running, spread_join
+from cohortspark.scale import exact_percentiles, fold_values, folded_moments, folded_percentiles, running, spread_join
 
 AXES = ("x", "y", "z")
 RANGE = (-150.0, 250.0)
@@ -144,37 +144,29 @@ def discretize(roi: DataFrame, bin_width: float = BIN_WIDTH) -> DataFrame:
     return spread_join(roi, lowest, "voi_id", AXES).withColumn("level", level).drop("_low")
 
 
+FIRST_ORDER_PERCENTS = {"p10": 10.0, "p25": 25.0, "median": 50.0, "p75": 75.0, "p90": 90.0}
+
+
 def firstorder_features(roi: DataFrame, volumes: DataFrame, bin_width: float = BIN_WIDTH) -> DataFrame:
-    x = F.col("hu")
-    base = roi.groupBy("voi_id").agg(
-        F.count("*").alias("n"),
-        F.sum(x * x).alias("energy"),
-        F.avg("hu").alias("mean"),
-        F.min("hu").alias("minimum"),
-        F.max("hu").alias("maximum"),
-        F.var_pop("hu").alias("variance"),
-        F.skewness("hu").alias("skewness"),
-        (F.kurtosis("hu") + 3).alias("kurtosis"),
+    """Intensity features of each region; the voxels are read once, to fold them to (volume, value, count)."""
+    folded = fold_values(roi, ["voi_id"], {"hu": F.col("hu")})
+    base = folded_moments(folded, ["voi_id"])
+    points = folded_percentiles(folded, ["voi_id"], FIRST_ORDER_PERCENTS).select(
+        "voi_id", *[F.col("_q")[i].alias(p) for i, p in enumerate(FIRST_ORDER_PERCENTS)]
     )
-    points = exact_percentiles(
-        roi, ["voi_id"], {"v": x}, {"p10": 10.0, "p25": 25.0, "median": 50.0, "p75": 75.0, "p90": 90.0}
-    )
-    spread = (
-        spread_join(roi, base.select("voi_id", F.col("mean").alias("_m")), "voi_id", AXES)
-        .groupBy("voi_id")
-        .agg(F.avg(F.abs(x - F.col("_m"))).alias("mad"))
-    )
-    bins = roi.groupBy("voi_id", F.floor(x / bin_width).alias("bin")).agg(F.count("*").alias("k"))
-    share = F.col("k") / F.col("n")
+    k, total = F.col("k"), F.sum("k")
     histogram = (
-        bins.join(base.select("voi_id", "n"), "voi_id")
+        folded.groupBy("voi_id", F.floor(F.col("_x") / bin_width).alias("bin"))
+        .agg(F.sum("_n").alias("k"))
         .groupBy("voi_id")
-        .agg(F.sum(-share * F.log2(share)).alias("entropy"), F.sum(share * share).alias("uniformity"))
+        .agg(
+            (F.log2(total.cast("double")) - F.sum(k * F.log2(k.cast("double"))) / total).alias("entropy"),
+            (F.sum(k.cast("double") * k) / (total.cast("double") * total)).alias("uniformity"),
+        )
     )
     sp = F.col("spacing")
     return (
         base.join(points, "voi_id")
-        .join(spread, "voi_id")
         .join(histogram, "voi_id")
         .join(volumes.select("voi_id", "spacing"), "voi_id")
         .select(
@@ -184,14 +176,14 @@ def firstorder_features(roi: DataFrame, volumes: DataFrame, bin_width: float = B
             (F.col("energy") * sp[0] * sp[1] * sp[2]).alias("total_energy"),
             "entropy",
             "uniformity",
-            "minimum",
-            "maximum",
+            F.col("min").alias("minimum"),
+            F.col("max").alias("maximum"),
             "mean",
-            F.col("v_median").alias("median"),
-            F.col("v_p10").alias("p10"),
-            F.col("v_p90").alias("p90"),
-            (F.col("v_p75") - F.col("v_p25")).alias("iqr"),
-            (F.col("maximum") - F.col("minimum")).alias("range"),
+            "median",
+            "p10",
+            "p90",
+            (F.col("p75") - F.col("p25")).alias("iqr"),
+            (F.col("max") - F.col("min")).alias("range"),
             "mad",
             F.sqrt(F.col("energy") / F.col("n")).alias("rms"),
             "variance",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions.geometry import clip
 from cohortspark.operators.components import component_runs, component_table
 from cohortspark.operators.stencil import interior_edge
-from cohortspark.scale import exact_percentiles, spread_join
+from cohortspark.scale import fold_values, folded_percentiles, spread_join
 
 AXES = ("x", "y", "z")
 SLAB = 8  # slices that are matched with crop boxes together
@@ -128,29 +128,38 @@ def intensity_stats(
 
     Percentiles are exact unless ``accuracy`` asks for the approximate aggregate.
     """
-    inside = voxels.where(F.col("label").isin(*bbox_labels)).select(F.col("hu").cast("double").alias("hu"))
+    inside = fold_values(voxels.where(F.col("label").isin(*bbox_labels)), [], {"hu": F.col("hu")})
     kinds = inside.select(
+        "_n",
         F.inline(
             F.array(
-                F.struct(F.lit("raw").alias("kind"), F.col("hu").alias("v")),
-                F.struct(F.lit("windowed").alias("kind"), clip(F.col("hu"), *hu_range).alias("v")),
+                F.struct(F.lit("raw").alias("kind"), F.col("_x")),
+                F.struct(F.lit("windowed").alias("kind"), clip(F.col("_x"), *hu_range).alias("_x")),
             )
-        )
+        ),
     )
+    # deviations from the middle of the window, so that squares stay small; equal values need no second fold
+    n, away = F.col("_n"), F.col("_x") - sum(hu_range) / 2.0
+    mean = F.sum(n * away) / F.sum(n)
     moments = kinds.groupBy("kind").agg(
-        F.count("*").alias("n"),
-        F.avg("v").alias("mean"),
-        F.stddev_pop("v").alias("std"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
+        F.sum(n).alias("n"),
+        (mean + sum(hu_range) / 2.0).alias("mean"),
+        F.sqrt(F.greatest(F.sum(n * away * away) / F.sum(n) - mean * mean, F.lit(0.0))).alias("std"),
+        F.min("_x").alias("min"),
+        F.max("_x").alias("max"),
     )
     if accuracy is None:
-        points = exact_percentiles(kinds, ["kind"], {"v": F.col("v")}, INTENSITY_PERCENTS)
-        points = points.withColumnsRenamed({f"v_{p}": p for p in INTENSITY_PERCENTS})
+        points = folded_percentiles(kinds, ["kind"], INTENSITY_PERCENTS)
+        points = points.select("kind", *[F.col("_q")[i].alias(name) for i, name in enumerate(INTENSITY_PERCENTS)])
     else:
-        points = kinds.groupBy("kind").agg(
-            *[F.percentile_approx("v", p / 100.0, accuracy).alias(name) for name, p in INTENSITY_PERCENTS.items()]
+        rows = voxels.where(F.col("label").isin(*bbox_labels)).select(F.col("hu").cast("double").alias("hu"))
+        shares = F.array(*[F.lit(p / 100.0) for p in INTENSITY_PERCENTS.values()])
+        both = rows.agg(
+            F.percentile_approx("hu", shares, accuracy).alias("raw"),
+            F.percentile_approx(clip(F.col("hu"), *hu_range), shares, accuracy).alias("windowed"),
         )
+        kind = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("_q")) for k in ("raw", "windowed")]))
+        points = both.select(kind).select("kind", *[F.col("_q")[i].alias(name) for i, name in enumerate(INTENSITY_PERCENTS)])
     return moments.join(points, "kind").withColumn("iqr", F.col("p75") - F.col("p25"))
 
 

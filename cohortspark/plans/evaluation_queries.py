@@ -11,13 +11,14 @@ from cohortspark.functions import text
 from cohortspark.operators import evaluation as ev
 from cohortspark.operators import models
 from cohortspark.operators import radiomics as rad
+from cohortspark.operators import cohort, study
 from cohortspark.operators import series as series_ops
 from cohortspark.operators import voxels as vx
 from cohortspark.plans import cohort_queries as cq
 from cohortspark.plans import series_queries as sq
 from cohortspark.plans import voxel_queries as vq
 from cohortspark.plans.registry import REGISTRY, query
-from cohortspark.session import staging_path
+from cohortspark.session import staged, staging_path
 from cohortspark.sources import state
 from cohortspark.sources import tables as io
 from cohortspark.sources.derived import table, with_tables
@@ -110,6 +111,19 @@ def auc_youden(spark, sf):
     return out.select("class", r6("auc").alias("auc"), "threshold", r6("sensitivity").alias("sensitivity"), r6("specificity").alias("specificity"))
 
 
+@query(
+    "W3 W4 binary",
+    _pred_sql("").rstrip() + "," + _AUC
+    + """ select round(auc, 6) as auc, case when tpr - fpr > 0 then score else 'inf'::double end as threshold,
+  round(case when tpr - fpr > 0 then tpr else 0 end, 6) as sensitivity, round(case when tpr - fpr > 0 then 1 - fpr else 1 end, 6) as specificity
+from auc a join best b on a.class = b.class where a.class = 2""",
+)
+def binary_roc(spark, sf):
+    """The last class against the others; here one outcome is an error."""
+    rows = ev.require_both_classes(ev.binary_rows(predictions(spark, sf), K - 1))
+    return ev.roc_summary(rows).select(r6("auc").alias("auc"), "threshold", r6("sensitivity").alias("sensitivity"), r6("specificity").alias("specificity"))
+
+
 @query("W5", _pred_sql("").rstrip() + "," + _AUC + " select round(avg(auc), 6) as macro_auc, count(*) as n_classes from auc")
 def ovr_auc(spark, sf):
     out = ev.macro_auc(ev.roc_summary(ev.score_rows(predictions(spark, sf), K)))
@@ -803,8 +817,7 @@ def describe_groups(spark, sf):
     return out.withColumns({c: F.round(c, 4) for c in ("mean", "std", "median", "iqr")})
 
 
-@query("Q6", _study_sql("""
-, rk as (select *, rank() over w + (count(*) over (partition by feature, contrast_phase, value) - 1) / 2 as r, count(*) over (partition by feature, contrast_phase, value) as t
+_COMPARE_SQL = """, rk as (select *, rank() over w + (count(*) over (partition by feature, contrast_phase, value) - 1) / 2 as r, count(*) over (partition by feature, contrast_phase, value) as t
   from lng window w as (partition by feature, contrast_phase order by value)),
 s as (select feature, contrast_phase, count(*) filter (where group_label = 'A') as n_a, count(*) filter (where group_label = 'B') as n_b, count(*) as n,
   sum(r) filter (where group_label = 'A') as ra, sum(t * t - 1) as ties from rk group by 1, 2),
@@ -814,7 +827,77 @@ p as (select *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) as k from z),
 pp as (select *, ((((1.061405429 * k - 1.453152027) * k + 1.421413741) * k - 0.284496736) * k + 0.254829592) * k * exp(-z * z / 2) as p from p),
 h as (select *, least(1, (count(*) over (partition by contrast_phase) - row_number() over (partition by contrast_phase order by p, feature) + 1) * p) as h from pp)
 select feature, contrast_phase, n_a, n_b, round(u, 4) as u, round(z, 6) as z, round(2 * u / (n_a * n_b) - 1, 6) as effect, round(p, 6) as p,
-  round(max(h) over (partition by contrast_phase order by p, feature rows unbounded preceding), 6) as p_holm from h""").replace("\n\n,", ",").replace("\n, rk", ", rk"))
+  round(max(h) over (partition by contrast_phase order by p, feature rows unbounded preceding), 6) as p_holm from h"""
+
+
+@query("Q6", _study_sql(_COMPARE_SQL).replace("\n, rk", ", rk"))
 def compare_groups(spark, sf):
     out = rad.compare_groups(rad.unpivot(study_cohort(spark, sf), _FEATURES[:3]))
     return out.withColumns({"u": F.round("u", 4), **{c: r6(c) for c in ("z", "effect", "p", "p_holm")}})
+
+
+# ---- the whole study -------------------------------------------------------------------------------------
+
+_SHAPE_NAMES = ["voxel_volume", "extent_x", "extent_y", "extent_z", "major_axis", "minor_axis", "least_axis"]
+_FIRST_ORDER_NAMES = [
+    "energy", "total_energy", "entropy", "uniformity", "minimum", "maximum", "mean", "median", "p10", "p90", "iqr", "range", "mad", "rms",
+    "variance", "skewness", "kurtosis",
+]
+_FAMILIES = {
+    "firstorder": ("firstorder_features", _FIRST_ORDER_NAMES),
+    "shape": ("shape_features", _SHAPE_NAMES),
+    "glcm": ("glcm_feature_table", _GLCM_NAMES),
+    "glrlm": ("glrlm_features", _EMPHASIS_NAMES),
+    "glszm": ("glszm_features", _EMPHASIS_NAMES),
+    "gldm": ("gldm_features", _EMPHASIS_NAMES),
+    "ngtdm": ("ngtdm_features", _NGTDM_NAMES),
+}
+_DIGITS = {"energy": 4, "total_energy": 4, "variance": 4, "skewness": 4, "kurtosis": 4, "major_axis": 2, "minor_axis": 2, "least_axis": 2}
+
+
+def _whole_study_sql(body: str) -> str:
+    families = ",\n".join(f"fam_{f} as ({REGISTRY[q].sql})" for f, (q, _) in _FAMILIES.items())
+    columns = ", ".join(f"fam_{f}.{c}::double as {f}_{c}" for f, (_, names) in _FAMILIES.items() for c in names)
+    joins = " ".join(f"left join fam_{f} on fam_{f}.voi_id = keyed.vid" for f in _FAMILIES)
+    return with_tables(
+        f"""with {cq._MASKS},
+idx as (select distinct voi_id as sample_id, string_split(mask_path, '/')[1] as class_raw, string_split(mask_path, '/')[2] as patient_id,
+  lower(string_split(mask_path, '/')[3]) as contrast_phase, mask_path from vois where image_path is not null),
+keyed as (select idx.*, k.vid from idx join (select substring(path, 8) as rel, min(ord) as vid from voi_files group by 1) k on k.rel = idx.mask_path
+  where k.vid in (select vec_id from embeddings)),
+{families},
+wide as (select sample_id, class_raw, patient_id, contrast_phase, {columns} from keyed {joins}),
+tall as (select * from wide unpivot include nulls (value for feature in (columns(* exclude (sample_id, class_raw, patient_id, contrast_phase))))),
+usable as (select feature from tall group by 1 having avg((value is null)::int) <= 0.2),
+merged as (select *, case class_raw when 'C' then 'A' when 'AB' then 'A' when 'AC' then 'A' when 'BC' then 'B' else class_raw end as group_label
+  from tall where feature in (select feature from usable)),
+lng as (select patient_id, group_label, contrast_phase, feature, round(avg(value), 6) as value from merged where group_label in ('A', 'B') and value is not null group by 1, 2, 3, 4)
+{body}""",
+        "voi_files",
+        "file_table",
+    )
+
+
+def _study_keys(spark, sf):
+    return table(spark, sf, "voi_files").groupBy(F.substring("path", 8, 1 << 30).alias("mask_path")).agg(F.min("ord").alias("voi_id"))
+
+
+def _study_long(spark, sf):
+    """From files and voxels to patient means; features are rounded as in the queries of their families."""
+    index = cohort.index_vois(table(spark, sf, "file_table"), phase="all")
+    volumes = table(spark, sf, "volumes")
+    found = staged(study.indexed_volumes(index, _study_keys(spark, sf), volumes), "index")
+    voxels = table(spark, sf, "voxels").join(found.select("voi_id"), "voi_id", "left_semi")
+    families = study.feature_families(voxels, volumes)
+    textures = ("glcm", "glrlm", "glszm", "gldm", "ngtdm")
+    rounded = {
+        f: rows.select("voi_id", *[r5(c) if f in textures else F.round(c, _DIGITS.get(c, 6)).alias(c) for c in _FAMILIES[f][1]])
+        for f, rows in families.items()
+    }
+    return study.study_rows(study.feature_table(found, rounded))
+
+
+@query("Q1 Q2 Q3 Q4 Q6 Q7 Q8 Q9 Q10 Q11 Q12 run-all", _whole_study_sql("select * from (with " + _COMPARE_SQL.lstrip(", \n") + ")"))
+def whole_study(spark, sf):
+    out = rad.compare_groups(staged(_study_long(spark, sf), "study"))
+    return out.withColumns({"u": F.round("u", 4), **{c: r6(c) for c in ("z", "effect", "p", "p_holm")}})

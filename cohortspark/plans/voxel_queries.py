@@ -173,6 +173,13 @@ _STATS = """count(*) as n, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as
   round(quantile_cont(v, 0.995), 6) as p99_5, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) as iqr"""
 
 
+_STAT_NAMES = ["mean", "std", "min", "max", "median", "p0_5", "p5", "p25", "p75", "p95", "p99_5", "iqr"]
+
+
+def _prefixed(name: str, source: str) -> str:
+    return ", ".join(f"{source}.{c} as {name}_{c}" for c in _STAT_NAMES)
+
+
 @query(
     "A9",
     _with_vox(f"""with k as (select 'raw' as kind, hu as v from voxels where label in (1, 2)
@@ -642,8 +649,10 @@ def patch_coverage(spark, sf):
 k as (select 'raw' as kind, hu as v from voxels join warned using (voi_id) where label in (1, 2) and not unusable
   union all select 'windowed', least(greatest(hu, -200), 300) from voxels join warned using (voi_id) where label in (1, 2) and not unusable),
 st as (select kind, {_STATS} from k group by 1)
-select 3 as version, r.mean as raw_mean, r.std as raw_std, r.p0_5 as raw_p0_5, r.p99_5 as raw_p99_5, w.mean as win_mean, w.median as win_median, w.iqr as win_iqr,
-  4.0 as shape_x_median, (select sum(bv) from warned) as total_bbox_voxels, (select sum(case when unusable then 0 else bv end) from warned) as filtered_bbox_voxels,
+select 3 as version, {_prefixed("raw", "r")}, {_prefixed("win", "w")},
+  {", ".join(f"4.0 as shape_{a}_{s}" for a in "xyz" for s in ("min", "max", "mean", "median"))},
+  'window_rescale' as method, -200.0 as window_min, 300.0 as window_max, -1.0 as output_min, 1.0 as output_max,
+  (select sum(bv) from warned) as total_bbox_voxels, (select sum(case when unusable then 0 else bv end) from warned) as filtered_bbox_voxels,
   (select count(*) from warned) as num_vois, (select count(*) from warned where has_tumor) as num_vois_with_tumor, (select count(*) from kept) as num_lesions
 from st r, st w where r.kind = 'raw' and w.kind = 'windowed'"""
     ),
@@ -654,10 +663,11 @@ def dataset_fingerprint(spark, sf):
     kept = parts.table.where("volume_vox >= 3")
     out = les.dataset_fingerprint(v, vois, analysis, kept, OPTIONS)
     raw, win = "foreground_intensity", "windowed_intensity"
+    shape = {a: F.col("voi_shape_statistics")[i] for i, a in enumerate("xyz")}  # sorted by axis
     return out.select(
         "version",
-        *[r6(f"{raw}.{c}").alias(f"raw_{c}") for c in ("mean", "std", "p0_5", "p99_5")],
-        *[r6(f"{win}.{c}").alias(f"win_{c}") for c in ("mean", "median", "iqr")],
-        F.col("voi_shape_statistics")[0]["median"].alias("shape_x_median"),
+        *[r6(f"{kind}.{c}").alias(f"{name}_{c}") for kind, name in ((raw, "raw"), (win, "win")) for c in _STAT_NAMES],
+        *[shape[a][s].cast("double").alias(f"shape_{a}_{s}") for a in "xyz" for s in ("min", "max", "mean", "median")],
+        "normalization.*",
         "total_bbox_voxels", "filtered_bbox_voxels", "num_vois", "num_vois_with_tumor", "num_lesions",
     )

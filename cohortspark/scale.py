@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.session import cut_lineage
+from cohortspark.session import cut_lineage, staged
 
 MAX_GROUP_ROWS = 1_000_000
 SMALL_SPLITS = 4
@@ -109,18 +109,10 @@ def numbered(
     return counted.withColumn(name, (F.col("_rn") + F.lit(start - 1)).cast("bigint")).drop("_rn")
 
 
-def exact_percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    values: Mapping[str, Column],
-    percents: Mapping[str, float],
-    *,
-    max_group_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
-    """Linearly interpolated percentiles, one row per ``keys``, columns ``{value}_{percent name}``.
+def fold_values(df: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """``keys, _v, _x, _n``: how often each number ``_x`` that is not null stands in the named value ``_v``.
 
-    Rows are first folded to (key, value, count).  Where a key keeps too many different values for one task,
-    the order statistics are read off a running count instead of the built-in aggregate; both are exact.
+    The input is read once; moments, deviations, histograms and percentiles all follow from what is stored here.
     """
     names = list(values)
     if len(names) == 1:
@@ -132,17 +124,68 @@ def exact_percentiles(
                 F.array(*[F.struct(F.lit(n).alias("_v"), values[n].cast("double").alias("_x")) for n in names])
             ).alias("_p"),
         ).select(*keys, "_p._v", "_p._x")
-    pairs = pairs.where("_x is not null")
-    folded = pairs.groupBy(*keys, "_v", "_x").agg(F.count("*").alias("_n"))
-    by = [*keys, "_v"]
-    labels = list(percents)
-    if largest_group(folded, by) <= max_group_rows:
-        points = F.array(*[F.lit(percents[p] / 100.0) for p in labels])
-        wide = folded.groupBy(*by).agg(F.percentile("_x", points, F.col("_n")).alias("_q"))
-    else:
-        wide = _ranked_percentiles(folded, by, percents)
+    return staged(pairs.where("_x is not null").groupBy(*keys, "_v", "_x").agg(F.count("*").alias("_n")), "values")
+
+
+def folded_moments(folded: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, n, energy, mean, min, max, variance, skewness, kurtosis, mad`` of rows ``keys, _x, _n``.
+
+    Deviations are taken from the mean itself, so that nothing cancels; without spread, skewness and kurtosis are NULL.
+    """
+    x, n = F.col("_x"), F.col("_n")
+    base = folded.groupBy(*keys).agg(
+        F.sum("_n").alias("n"),
+        F.sum(n * x * x).alias("energy"),
+        (F.sum(n * x) / F.sum("_n")).alias("mean"),
+        F.min("_x").alias("min"),
+        F.max("_x").alias("max"),
+    )
+    key = F.struct(*keys) if keys else F.lit(0)
+    rows, means = folded.select(key.alias("_k"), "_x", "_n"), base.select(key.alias("_k"), F.col("mean").alias("_m"))
+    away = x - F.col("_m")
+    powers = [F.sum(n * value).alias(name) for name, value in (("_2", away * away), ("_3", away * away * away), ("_4", away * away * away * away), ("_1", F.abs(away)))]
+    spread = spread_join(rows, means, "_k", ["_x"]).groupBy("_k").agg(*powers)
+    variance = F.col("_2") / F.col("n")
+    uneven = F.col("max") > F.col("min")
+    return (
+        base.withColumn("_k", key)
+        .join(spread, "_k")
+        .select(
+            *keys, "n", "energy", "mean", "min", "max",
+            variance.alias("variance"),
+            F.when(uneven, F.col("_3") / F.col("n") / (variance * F.sqrt(variance))).alias("skewness"),
+            F.when(uneven, F.col("_4") / F.col("n") / (variance * variance)).alias("kurtosis"),
+            (F.col("_1") / F.col("n")).alias("mad"),
+        )
+    )
+
+
+def folded_percentiles(
+    folded: DataFrame, by: Sequence[str], percents: Mapping[str, float], *, max_group_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
+    """``by, _q``: the percentiles of rows ``by, _x, _n`` as an array, linearly interpolated.
+
+    Where a key keeps too many different values for one task, the order statistics are read off a running count
+    instead of the built-in aggregate; both are exact.
+    """
+    if largest_group(folded, by) > max_group_rows:
+        return _ranked_percentiles(folded, by, percents)
+    points = F.array(*[F.lit(p / 100.0) for p in percents.values()])
+    return folded.groupBy(*by).agg(F.percentile("_x", points, F.col("_n")).alias("_q"))
+
+
+def exact_percentiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    values: Mapping[str, Column],
+    percents: Mapping[str, float],
+    *,
+    max_group_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Linearly interpolated percentiles, one row per ``keys``, columns ``{value}_{percent name}``."""
+    wide = folded_percentiles(fold_values(df, keys, values), [*keys, "_v"], percents, max_group_rows=max_group_rows)
     picked = [
-        F.max(F.when(F.col("_v") == n, F.col("_q")[i])).alias(f"{n}_{p}") for n in names for i, p in enumerate(labels)
+        F.max(F.when(F.col("_v") == n, F.col("_q")[i])).alias(f"{n}_{p}") for n in values for i, p in enumerate(percents)
     ]
     return wide.groupBy(*keys).agg(*picked) if keys else wide.agg(*picked)
 
