@@ -822,7 +822,8 @@ _COMPARE_SQL = """, rk as (select *, rank() over w + (count(*) over (partition b
 s as (select feature, contrast_phase, count(*) filter (where group_label = 'A') as n_a, count(*) filter (where group_label = 'B') as n_b, count(*) as n,
   sum(r) filter (where group_label = 'A') as ra, sum(t * t - 1) as ties from rk group by 1, 2),
 u as (select *, ra - n_a * (n_a + 1) / 2 as u from s),
-z as (select *, (u - n_a * n_b / 2) / sqrt(n_a * n_b / 12 * (n + 1 - ties / (n * (n - 1)))) as z from u),
+v as (select *, n_a * n_b / 12 * (n + 1 - ties / (n * (n - 1))) as v from u),
+z as (select * exclude (v), case when v > 0 then (u - n_a * n_b / 2) / sqrt(v) else 0 end as z from v),
 p as (select *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) as k from z),
 pp as (select *, ((((1.061405429 * k - 1.453152027) * k + 1.421413741) * k - 0.284496736) * k + 0.254829592) * k * exp(-z * z / 2) as p from p),
 h as (select *, least(1, (count(*) over (partition by contrast_phase) - row_number() over (partition by contrast_phase order by p, feature) + 1) * p) as h from pp)
