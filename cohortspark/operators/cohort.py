@@ -294,11 +294,45 @@ def registry_totals(registry: DataFrame, results: DataFrame) -> DataFrame:
     ).withColumn("num_failed", results.agg(F.count_if(F.col("status") == "failed").alias("n")).scalar())
 
 
+def registry_cases(results: DataFrame) -> DataFrame:
+    """The cases of every patient, one row each, with their first place in the results and whether a side was finished."""
+    return results.groupBy("patient_id", "case_name").agg(
+        F.min("ord").alias("first_ord"), F.coalesce(F.bool_or(F.col("status") == "ok"), F.lit(False)).alias("finished")
+    )
+
+
+def registry_files(results: DataFrame) -> DataFrame:
+    """The files of every patient, one row each: a mask and an image per finished side."""
+    kinds = F.explode(F.array(F.lit("mask"), F.lit("images")))
+    saved = results.where("status = 'ok'").select("patient_id", "case_name", "side", "grp", "phase", kinds.alias("kind"))
+    path = text.voi_output_path(F.col("kind"), F.col("grp"), F.col("patient_id"), F.col("phase"), F.col("case_name"), F.col("side"))
+    return saved.select("patient_id", "case_name", "side", "kind", path.alias("path"))
+
+
+def registry_outcomes(registry: DataFrame, results: DataFrame) -> DataFrame:
+    """``outcome, name, detail``: patients that passed, and failed sides by case with the reason given."""
+    passed = registry.where("status = 'PASS'").select(
+        F.lit("success").alias("outcome"), F.col("patient_id").alias("name"), F.lit(None).cast("string").alias("detail")
+    )
+    failed = results.where("status = 'failed'").select(
+        F.lit("failed").alias("outcome"), F.col("case_name").alias("name"), F.col("reason").alias("detail")
+    )
+    return passed.unionByName(failed)
+
+
+def _coverage() -> Column:
+    n = F.size("phases")
+    return F.when(n > 1, "multi").when(n == 1, "single").otherwise("none")
+
+
 def phase_coverage(registry: DataFrame) -> DataFrame:
     """Number of patients with several, one or no phase."""
-    n = F.size("phases")
-    bucket = F.when(n > 1, "multi").when(n == 1, "single").otherwise("none")
-    return registry.groupBy(bucket.alias("coverage")).agg(F.count("*").alias("n_patients"))
+    return registry.groupBy(_coverage().alias("coverage")).agg(F.count("*").alias("n_patients"))
+
+
+def phase_coverage_patients(registry: DataFrame) -> DataFrame:
+    """``coverage, patient_id, phases``: who has several, one or no phase, and which."""
+    return registry.select(_coverage().alias("coverage"), "patient_id", "phases")
 
 
 def training_index(files: DataFrame, shapes: DataFrame | None = None, voi_root: str = "") -> DataFrame:

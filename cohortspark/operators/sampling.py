@@ -219,12 +219,13 @@ def plan_patches(lesions: DataFrame, profile: DataFrame, subjects: DataFrame, op
     ``subjects`` has ``voi_id, nx, ny, nz``; subjects without a lesion get a background patch if that is enabled.
     """
     shape = [F.col("nx"), F.col("ny"), F.col("nz")]
-    ordered = lesion_order(lesions).withColumn("size_bin", F.coalesce("size_bin", F.lit("medium")))
+    # lesions go in ``lesion_order``; its columns are carried along instead of numbered, so the plan is numbered once
+    ordered = lesions.withColumn("_bin", F.coalesce("size_bin", F.lit(""))).withColumn("size_bin", F.coalesce("size_bin", F.lit("medium")))
     budgeted = ordered.join(profile, "size_bin", "left").withColumn("budget", patch_budget(options))
     patches = assign_roles(budgeted, options).withColumn("_c", role_center(options)).join(subjects.select("voi_id", "nx", "ny", "nz"), "voi_id")
     starts = center_to_start(F.col("_c"), shape, options.patch)
     planned = patches.select(
-        "voi_id", "position", "patch_index", "lesion_id", "role", *[s.alias(f"start_{a}") for a, s in zip(AXES, starts)]
+        "voi_id", "_bin", "volume_vox", "patch_index", "lesion_id", "role", *[s.alias(f"start_{a}") for a, s in zip(AXES, starts)]
     )
     if options.background_prob > 0:
         bare = subjects.join(lesions.select("voi_id").distinct(), "voi_id", "left_anti")
@@ -238,17 +239,18 @@ def plan_patches(lesions: DataFrame, profile: DataFrame, subjects: DataFrame, op
         planned = planned.unionByName(
             bare.select(
                 "voi_id",
-                F.lit(1).cast("bigint").alias("position"),
+                F.lit("").alias("_bin"),
+                F.lit(0).cast(planned.schema["volume_vox"].dataType).alias("volume_vox"),
                 F.lit(0).alias("patch_index"),
                 F.lit(-1).cast("bigint").alias("lesion_id"),
                 F.lit("background").alias("role"),
                 *[b.alias(f"start_{a}") for a, b in zip(AXES, begin)],
             )
         )
-    order = [F.col("position"), F.col("patch_index")]
+    order = [F.col("_bin"), F.desc("volume_vox"), F.col("lesion_id"), F.col("patch_index")]
     if options.stochastic:
-        order = [draw(options.seed, F.lit("order"), "voi_id", "position", "patch_index"), *order]
-    return numbered(planned, ["voi_id"], order, "plan_order").drop("position", "patch_index")
+        order = [draw(options.seed, F.lit("order"), "voi_id", "lesion_id", "patch_index"), *order]
+    return numbered(planned, ["voi_id"], order, "plan_order").drop("_bin", "volume_vox", "patch_index")
 
 
 def plan_audit(plan: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -227,6 +229,53 @@ def registry_totals(spark, sf):
     return cohort.registry_totals(cohort.dataset_registry(results), results)
 
 
+@query(
+    "A6",
+    with_tables(
+        "select patient_id, case_name, min(ord) as first_ord, bool_or(status = 'ok') as finished from side_results group by 1, 2", "side_results"
+    ),
+)
+def registry_cases(spark, sf):
+    return cohort.registry_cases(table(spark, sf, "side_results"))
+
+
+@query(
+    "A6 F24",
+    with_tables(
+        """select patient_id, case_name, side, kind, concat_ws('/', kind, coalesce(nullif(grp, ''), 'NG'), patient_id, upper(coalesce(nullif(phase, ''), 'undefined')),
+  concat(case_name, '_', side, '.npy')) as path from side_results, (values ('mask'), ('images')) k(kind) where status = 'ok'""",
+        "side_results",
+    ),
+)
+def registry_files(spark, sf):
+    return cohort.registry_files(table(spark, sf, "side_results"))
+
+
+@query(
+    "A6",
+    with_tables(
+        f"""with {_REGISTRY} select 'success' as outcome, patient_id as name, null::varchar as detail from reg where status = 'PASS'
+union all select 'failed', case_name, reason from side_results where status = 'failed'""",
+        "side_results",
+    ),
+)
+def registry_outcomes(spark, sf):
+    results = table(spark, sf, "side_results")
+    return cohort.registry_outcomes(cohort.dataset_registry(results), results)
+
+
+@query(
+    "A7",
+    with_tables(
+        f"""with {_REGISTRY} select case when phases = '' then 'none' when contains(phases, ',') then 'multi' else 'single' end as coverage, patient_id, phases from reg""",
+        "side_results",
+    ),
+)
+def phase_coverage_patients(spark, sf):
+    found = cohort.phase_coverage_patients(cohort.dataset_registry(table(spark, sf, "side_results")))
+    return found.withColumn("phases", F.array_join("phases", ","))
+
+
 @query(
     "A7",
     with_tables(
@@ -606,7 +655,35 @@ def stochastic_roles(spark, sf):
     return patches.select("voi_id", "lesion_id", "patch_index", "role", F.when(u < 0.5, -1.0).otherwise(1.0).alias("sign"))
 
 
-@query("L5 L6 L8 stochastic")
+def _still(axis, extent):
+    """A centre moved by a normal draw, as check text."""
+    u1, u2 = (_u(f"'{n}{axis}'", *_ID) for n in "uv")
+    return f"c{axis} + sqrt(-2.0::double * ln(1.0::double - {u1})) * cos({2 * math.pi!r}::double * {u2}) * greatest(1.0::double, 0.1::double * {extent})"
+
+
+def _start(at, half, room):
+    return f"greatest(0, least(round_even({at} - {half}, 0)::int, {room}))"
+
+
+_AXES = (("x", 0, 1.0, 2), ("y", 1, 1.5, 1), ("z", 2, 1.0, 2))
+_ID_ORDER = f"md5(concat_ws('|', '{SEED}', 'order', {', '.join(_ID)}))"
+
+
+@query(
+    "L5 L6 L8 stochastic",
+    _plan_sql(f""", drawn as (select b.*, i.i as patch_index, {_u("'role'", *_ID)} * (prior_center + prior_border + prior_context) as u,
+  case when {_u("'sign'", *_ID)} < 0.5 then -1.0::double else 1.0::double end as sign, case when dx >= dy and dx >= dz then 0 when dy >= dz then 1 else 2 end as ax
+  from budget b, unnest(range(0, b.budget)) i(i)),
+given as (select *, case when u < prior_center then 'center' when u < prior_center + prior_border then 'border' else 'context' end as role from drawn),
+pushed as (select *, sign * greatest(0.5::double, (case when role = 'border' then 0.30 else 0.55 end)::double * greatest(dx, dy, dz)) as sh from given),
+placed as (select voi_id, lesion_id, patch_index, role, size_bin, volume_vox,
+  {", ".join(f"case when role = 'center' then {_still(a, f'd{a}')} else c{a} + case when ax = {i} then sh else 0 end end as p{a}" for a, i, _, _ in _AXES)} from pushed),
+random_plan as (select voi_id, lesion_id, patch_index, role, size_bin, volume_vox, {", ".join(f"{_start(f'p{a}', h, r)} as start_{a}" for a, _, h, r in _AXES)} from placed
+  union all select voi_id, -1, 0, 'background', '', 0, {", ".join(f"floor({_u(f"'bg{a}'", 'cast(voi_id as varchar)')} * {r + 1})::int" for a, _, _, r in _AXES)}
+  from (select distinct voi_id from voxels where voi_id not in (select voi_id from kept)))
+select voi_id, row_number() over (partition by voi_id order by {_ID_ORDER}, size_bin, volume_vox desc, lesion_id, patch_index) as plan_order, lesion_id, role, start_x, start_y, start_z
+from random_plan"""),
+)
 def plan_patches_stochastic(spark, sf):
     rows, profile = _lesion_rows(spark, sf)
     options = sampling.SamplerOptions(patch=(2, 3, 2), background_prob=1.0, min_shift=0.5, stochastic=True)
