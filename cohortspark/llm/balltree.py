@@ -19,6 +19,8 @@ LEAF_ROWS = 128
 HELD_ROWS = 1 << 20
 #: Below this size products of integers are exact in double precision.
 _EXACT = float(1 << 52)
+#: A little below 2**63, as sizes are compared in double precision.
+_LARGEST = float(1 << 63) * (1 - 1e-9)
 
 
 class BallTree:
@@ -144,6 +146,9 @@ def _search_group(k: int, shards: pa.Table, queries: pa.Table) -> pa.Table:
         for a in range(0, len(ids), LEAF_ROWS):
             scores = asked @ vectors[a : a + LEAF_ROWS].T
             i, j = np.nonzero(query_ids[:, None] != ids[a : a + LEAF_ROWS])
+            size = np.abs(asked.astype(np.float64) @ vectors[a : a + LEAF_ROWS].astype(np.float64).T)[i, j]
+            if (size >= _LARGEST).any():
+                raise OverflowError("an inner product does not fit into 64 bits")
             parts = [best(*(np.concatenate(c) for c in zip(*parts, (i, ids[a : a + LEAF_ROWS][j], scores[i, j]))), k)]
         row, found, score = parts[0]
     return pa.table({"query_id": query_ids[row], "vec_id": found.astype(np.int64), "score": score.astype(np.int64)})
@@ -158,7 +163,7 @@ def top_k(
     Queries are the rows whose key is divisible by ``every``.  Components become ``floor(scale * x)``.  Rows with a null
     key, a null vector, or a null or non-finite component take no part.  Vectors are compared with those of the same
     length only.  A key that occurs several times is one query (its largest vector) and several candidates, none of
-    them for itself; ties go to the smaller key.  An empty table gives no rows.
+    them for itself; ties go to the smaller key.  An empty table gives no rows; a score beyond 64 bits is an error.
 
     Rows are dealt to shards by hash and queries to blocks; a task has one shard and one block.  A first pass searches
     one shard for every query; the ``k``-th score found there is the floor with which all other shards start.

@@ -18,7 +18,6 @@ from cohortspark.llm.common import map_texts, stored
 K1, B = 1.2, 0.75
 SHINGLE = 5
 OVERLAP = 0.8
-ANSWER_OVERLAP = 0.5
 #: Items in a block of the index, whose largest impacts are kept for pruning.
 BLOCK_ITEMS = 16
 #: Words of items in one index; a larger benchmark is searched in several.
@@ -198,7 +197,7 @@ def leaks(index: ItemIndex, text: str | None) -> list[tuple[int, float, float, f
         item = index.items[number]
         start = passage * index.segment
         overlap, question, answer = verify(item, ids[start : start + 2 * index.segment].tolist())
-        if overlap >= OVERLAP and question >= OVERLAP and answer >= ANSWER_OVERLAP:
+        if overlap >= OVERLAP:  # the shares of question and answer are told, but an item may have lost either
             found = (overlap, score * index.least[number], question, answer)
             if found > best.get(number, ()):
                 best[number] = found
@@ -240,8 +239,8 @@ def find_leaks(
     """``key, item_id, bm25, overlap, question_overlap, answer_overlap`` of each item that a text holds.
 
     Every text is cut into passages of two segments (a segment is as long as the longest item), each passage is a query,
-    and all items above their threshold are retrieved and verified: ``OVERLAP`` of the item's five-word shingles and of the
-    question's words, and ``ANSWER_OVERLAP`` of the answer's words.  Null and empty texts and items hold and are nothing;
+    and all items above their threshold are retrieved and verified: a passage holds an item if it has ``OVERLAP`` of its
+    five-word shingles.  The shares of the question's and of the answer's words in it are given beside.  Null and empty texts and items hold and are nothing;
     null keys and repeated rows are kept; with an empty table there are no rows.  No shuffle of the texts.
     """
     spark = docs.sparkSession

@@ -163,7 +163,7 @@ def dedup_passages(
     df: DataFrame, key: str = "doc_id", text: str = "text", *, window: int = 50, with_text: bool = False,
     group_fragments: int = GROUP_FRAGMENTS,
 ) -> DataFrame:
-    """``key, n_words, n_removed, kept_sha256`` of every row (and ``kept``, the text left, if asked for).
+    """``key, n_words, n_removed, kept_sha256`` of every row (and ``kept``, the words left joined by one space, if asked for).
 
     A word is removed if a window of ``window`` words covers it whose words also start in a row with a smaller key.  Words
     are split at blanks, tabs and line breaks; windows are judged on the input.  A null text has no words.  A null key
@@ -277,7 +277,13 @@ def dedup_passages(
         F.col("key").alias(key), "th", "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(empty)).otherwise(F.coalesce("new_sha", "sha")).alias("kept_sha256"),
-        F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept"),
+        F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept"), F.col("key").alias("_key"),
     )
     columns = [key, "n_words", "n_removed", "kept_sha256"]
-    return result.select(*columns, "kept") if with_text else result.select(*columns)
+    if not with_text:
+        return result.select(*columns)
+    # A row that loses nothing keeps all its words; its text is read again where it stands, one of each key and text.
+    words = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \t-\r]+"), lambda w: w != ""), " ")
+    unedited = rows.select(F.col("key").alias("uk"), F.col("th").alias("uth"), words.alias("words")).dropDuplicates(["uk", "uth"])
+    met = result.join(unedited, F.col("_key").eqNullSafe(F.col("uk")) & F.col("th").eqNullSafe(F.col("uth")))
+    return met.select(*columns, F.coalesce("kept", "words").alias("kept"))

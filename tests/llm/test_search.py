@@ -47,6 +47,14 @@ def test_top_k_odd_rows(spark):
     assert top_k(df.limit(0)).count() == 0
 
 
+def test_scores_beyond_64_bits_are_an_error(spark):
+    rows = [(0, [1e13, 1e13]), (1, [1e13, 1e13]), (2, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        top_k(df).collect()
+    assert top_k(df.where("vec_id <> 1")).first().score == 2 * int(256e13) * 256
+
+
 def test_ball_bounds_hold():
     vectors = rng.integers(-300, 300, (500, 16)).astype(float)
     tree = BallTree(vectors, np.arange(500), leaf_rows=20)
