@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions import text
-from cohortspark.scale import exact_percentiles, last_per_key, numbered, spread_join
+from cohortspark.scale import exact_percentiles, last_per_key, numbered, shuffled, spread_join
 
 
 def _without_suffix(name: Column) -> Column:
@@ -30,7 +30,7 @@ def scan_vois(files: DataFrame, suffix: str = ".npy") -> DataFrame:
     parts = F.split("rel", "/")
     lat = text.parse_laterality(_without_suffix(text.base_name(F.col("rel"))))
     prefix = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "__")
-    return masks.join(images, "rel", "left").select(
+    return masks.join(shuffled(images), "rel", "left").select(
         F.when(prefix == "", lat["stem"]).otherwise(F.concat(prefix, F.lit("__"), lat["stem"])).alias("case_id"),
         _without_suffix(F.col("rel")).alias("voi_id"),
         lat["side"].alias("laterality"),

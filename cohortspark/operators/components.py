@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.scale import MAX_GROUP_ROWS, numbered
+from cohortspark.scale import MAX_GROUP_ROWS, numbered, shuffled
 from cohortspark.session import cut_lineage
 
 #: Edges that a task solves at once, beside those of one volume.
@@ -58,7 +58,7 @@ def _run_edges(runs: DataFrame, keys: Sequence[str], conn: int) -> DataFrame:
     )
     right = runs.select(*keys, "y", "z", "x0", "x1", F.col("node").alias("v"))
     touch = (F.col("a0") <= F.col("x1") + slack) & (F.col("x0") <= F.col("a1") + slack)
-    return left.join(right, [*keys, "y", "z"]).where(touch).select(*keys, "u", "v")
+    return left.join(shuffled(right), [*keys, "y", "z"]).where(touch).select(*keys, "u", "v")
 
 
 def large_volumes(runs: DataFrame, keys: Sequence[str], volume_runs: int = VOLUME_RUNS) -> DataFrame:
@@ -76,7 +76,7 @@ def component_runs(
     small_edges = _run_edges(runs.join(large, keys, "left_anti"), keys, conn)
     large_edges = cut_lineage(_run_edges(runs.join(large, keys, "left_semi"), keys, conn))
     targets = _solve_small(small_edges, keys).unionByName(_contract_all(large_edges, keys))
-    rooted = runs.join(targets.withColumnRenamed("u", "node"), [*keys, "node"], "left")
+    rooted = runs.join(shuffled(targets.withColumnRenamed("u", "node")), [*keys, "node"], "left")
     return cut_lineage(rooted.withColumn("root", F.coalesce("to", "node")).drop("to"))
 
 
@@ -167,7 +167,7 @@ def _contract_all(edges: DataFrame, keys: list[str]) -> DataFrame:
         onward = target.select(*keys, F.col("u").alias("to"), F.col("to").alias("_final"))
         target = (
             moves.pop()
-            .join(onward, [*keys, "to"], "left")
+            .join(shuffled(onward), [*keys, "to"], "left")
             .select(*keys, "u", F.coalesce("_final", "to").alias("to"))
         )
     return target
@@ -190,8 +190,8 @@ def _contract(edges: DataFrame, move: DataFrame, keys: list[str]) -> DataFrame:
     moved_u = move.select(*keys, "u", F.col("to").alias("_tu"))
     moved_v = move.select(*keys, F.col("u").alias("v"), F.col("to").alias("_tv"))
     return (
-        edges.join(moved_u, [*keys, "u"])
-        .join(moved_v, [*keys, "v"])
+        edges.join(shuffled(moved_u), [*keys, "u"])
+        .join(shuffled(moved_v), [*keys, "v"])
         .where("_tu <> _tv")
         .select(*keys, F.least("_tu", "_tv").alias("u"), F.greatest("_tu", "_tv").alias("v"))
         .distinct()
@@ -237,6 +237,6 @@ def connected_components(
     runs = component_runs(voxels, keys, conn)
     numbers = component_table(runs, keys, order).select(*keys, "root", "component")
     return (
-        runs.join(numbers, [*keys, "root"])
+        runs.join(shuffled(numbers), [*keys, "root"])
         .select(*keys, F.explode(F.sequence("x0", "x1")).alias("x"), "y", "z", "component")
     )

@@ -12,7 +12,7 @@ from cohortspark.functions import fixed
 from cohortspark.functions.text import let
 from cohortspark.operators.components import component_runs
 from cohortspark.operators.stencil import DIRECTIONS, fold_lines, level_pairs, level_runs, neighbour_sums
-from cohortspark.scale import exact_percentiles, fold_values, folded_moments, folded_percentiles, running, spread_join
+from cohortspark.scale import exact_percentiles, fold_values, folded_moments, folded_percentiles, running, shuffled, spread_join
 
 AXES = ("x", "y", "z")
 RANGE = (-150.0, 250.0)
@@ -141,7 +141,7 @@ def discretize(roi: DataFrame, bin_width: float = BIN_WIDTH) -> DataFrame:
     """``level`` from 1 by fixed bin width, counted from the bin of the smallest value of the volume."""
     lowest = roi.groupBy("voi_id").agg(F.floor(F.min("hu") / bin_width).alias("_low"))
     level = (F.floor(F.col("hu") / bin_width) - F.col("_low") + 1).cast("int")
-    return spread_join(roi, lowest, "voi_id", AXES).withColumn("level", level).drop("_low")
+    return spread_join(roi, shuffled(lowest), "voi_id", AXES).withColumn("level", level).drop("_low")
 
 
 FIRST_ORDER_PERCENTS = {"p10": 10.0, "p25": 25.0, "median": 50.0, "p75": 75.0, "p90": 90.0}
@@ -166,9 +166,9 @@ def firstorder_features(roi: DataFrame, volumes: DataFrame, bin_width: float = B
     )
     sp = F.col("spacing")
     return (
-        base.join(points, "voi_id")
-        .join(histogram, "voi_id")
-        .join(volumes.select("voi_id", "spacing"), "voi_id")
+        base.join(shuffled(points), "voi_id")
+        .join(shuffled(histogram), "voi_id")
+        .join(shuffled(volumes.select("voi_id", "spacing")), "voi_id")
         .select(
             "voi_id",
             "n",
@@ -204,7 +204,7 @@ def shape_features(voxels: DataFrame, volumes: DataFrame, label: int = 2) -> Dat
             *[F.covar_pop(a, b).alias(f"c{a}{b}") for i, a in enumerate(AXES) for b in AXES[i:]],
             *[(F.max(a) - F.min(a) + 1).alias(f"e{a}") for a in AXES],
         )
-        .join(volumes.select("voi_id", "spacing"), "voi_id")
+        .join(shuffled(volumes.select("voi_id", "spacing")), "voi_id")
     )
     sp = {a: F.col("spacing")[i] for i, a in enumerate(AXES)}
     scaled = {f"c{a}{b}": F.col(f"c{a}{b}") * sp[a] * sp[b] for i, a in enumerate(AXES) for b in AXES[i:]}
@@ -344,7 +344,7 @@ def glcm_feature_table(counts: DataFrame, largest: DataFrame) -> DataFrame:
     d, s = F.abs(i - j), i + j
     by = ["voi_id", "direction"]
     ng = F.col("ng").cast("double")
-    direct = counts.join(largest, "voi_id").groupBy(*by).agg(
+    direct = counts.join(shuffled(largest), "voi_id").groupBy(*by).agg(
         F.sum(n).alias("t"), F.max(n).alias("top"), F.sum(n * n).alias("nn"), F.sum(_n_log_n(n)).alias("log_ij"),
         F.sum(n * i).alias("si"), F.sum(n * i * i).alias("sii"), F.sum(n * i * j).alias("sij"),
         F.sum(n * d).alias("d1"), F.sum(n * d * d).alias("d2"), F.sum(F.when(d > 0, n / (d * d)).otherwise(0.0)).alias("iv"),
@@ -356,7 +356,7 @@ def glcm_feature_table(counts: DataFrame, largest: DataFrame) -> DataFrame:
     logs = margins.groupBy(*by).agg(
         *[F.sum(F.when(F.col("kind") == k, _n_log_n(F.col("m"))).otherwise(0.0)).alias(f"log_{k}") for k in ("i", "d", "s")]
     )
-    f = direct.join(logs, by)
+    f = direct.join(shuffled(logs), by)
     t = F.col("t")
     mean, m1 = F.col("si") / t, F.col("s1") / t
     m2, m3, m4 = (F.col(f"s{k}") / t for k in (2, 3, 4))
@@ -431,7 +431,7 @@ def emphasis_features(counts: DataFrame, size: str, extra: Sequence[str] = ()) -
         "long_low_emphasis": of("long_low"),
         "long_high_emphasis": of("long_high"),
     }
-    per = direct.join(squares, by).select("voi_id", *[c.alias(name) for name, c in features.items()])
+    per = direct.join(shuffled(squares), by).select("voi_id", *[c.alias(name) for name, c in features.items()])
     if not extra:
         return per
     return per.groupBy("voi_id").agg(*[F.avg(name).alias(name) for name in features])
@@ -450,13 +450,13 @@ def ngtdm_features(counts: DataFrame) -> DataFrame:
     other = counts.select("voi_id", F.col("level").cast("double").alias("j"), F.col("n").cast("double").alias("b"), F.col("s").alias("sb"))
     i, j, a, b, sa, sb = (F.col(c) for c in ("i", "j", "a", "b", "sa", "sb"))
     # Counts stand for shares here; the totals divide them out below.
-    pairs = one.join(other, "voi_id").groupBy("voi_id").agg(
+    pairs = one.join(shuffled(other), "voi_id").groupBy("voi_id").agg(
         F.sum(a * b * (i - j) * (i - j)).alias("spread"), F.sum(F.abs(i * a - j * b)).alias("uneven"),
         F.sum(F.abs(i - j) * (a * sa + b * sb) / (a + b)).alias("complex"), F.sum((a + b) * (i - j) * (i - j)).alias("strong"),
     )
     t, ns = F.col("t"), F.col("ns") / F.col("t")
     ngp = F.col("ngp")
-    return totals.join(pairs, "voi_id").select(
+    return totals.join(shuffled(pairs), "voi_id").select(
         "voi_id",
         F.when(ns > 1e-12, 1 / ns).otherwise(1e6).alias("coarseness"),
         F.when(ngp > 1, F.try_divide(F.col("spread") / (t * t), ngp * (ngp - 1)) * F.col("all_s") / t).otherwise(0.0).alias("contrast"),

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspark.scale import shuffled
+
 LINE = ("voi_id", "y", "z")
 
 # One of each pair of opposite neighbours.
@@ -75,7 +77,7 @@ def level_pairs(lines: DataFrame) -> DataFrame:
     beside = sorted({(dy, dz) for _, dy, dz in DIRECTIONS if (dy, dz) != (0, 0)})
     sent = _sent(lines, [(dy, dz, [(of[dx, dy, dz], dx) for dx in (-1, 0, 1)]) for dy, dz in beside])
     held = lines.select(*LINE, F.col("x0").alias("x0_b"), F.col("levels").alias("b"))
-    met = sent.join(held, list(LINE)).select("voi_id", "x0_a", "a", "x0_b", "b", "todo")
+    met = sent.join(shuffled(held), list(LINE)).select("voi_id", "x0_a", "a", "x0_b", "b", "todo")
     inside = F.array(F.struct(F.lit(of[1, 0, 0]).alias("direction"), F.lit(1).alias("dx")))
     own = held.select("voi_id", F.col("x0_b").alias("x0_a"), F.col("b").alias("a"), "x0_b", "b", inside.alias("todo"))
     cut = _overlaid(met.unionByName(own)).select("voi_id", "direction", F.col("a").alias("level_a"), F.col("b").alias("level_b"))
@@ -93,7 +95,7 @@ def neighbour_sums(lines: DataFrame, alpha: int = 0) -> DataFrame:
     # What is sent is the neighbour; the line that stays asks.
     sent = _sent(lines, around).select("voi_id", "y", "z", F.col("x0_a").alias("x0_b"), F.col("a").alias("b"), "todo")
     held = lines.select(*LINE, F.col("x0").alias("x0_a"), F.col("levels").alias("a"))
-    cut = _overlaid(held.join(sent, list(LINE)))
+    cut = _overlaid(shuffled(held).join(sent, list(LINE)))
     places = F.sequence(F.col("low"), F.col("low") + F.col("n") - 1)
     cut = cut.select(*LINE, places.alias("x"), F.col("a").alias("level"), F.col("b").alias("other"))
     met = cut.select(*LINE, F.inline(F.arrays_zip("x", "level", "other"))).where("level is not null and other is not null")

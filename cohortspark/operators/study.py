@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.operators import radiomics as rad
+from cohortspark.scale import shuffled
 from cohortspark.session import staged
 
 
@@ -29,7 +30,7 @@ def indexed_volumes(index: DataFrame, keys: DataFrame, volumes: DataFrame) -> Da
 
     Index rows without a volume are left out, repeated ones count once.
     """
-    return index.distinct().join(keys, "mask_path").join(volumes.select("voi_id"), "voi_id", "left_semi")
+    return index.distinct().join(shuffled(keys), "mask_path").join(shuffled(volumes.select("voi_id")), "voi_id", "left_semi")
 
 
 def feature_families(voxels: DataFrame, volumes: DataFrame, options: StudyOptions = StudyOptions()) -> dict[str, DataFrame]:
@@ -59,7 +60,7 @@ def feature_table(index: DataFrame, families: Mapping[str, DataFrame]) -> DataFr
     rows = index
     for name, features in families.items():
         renamed = features.select("voi_id", *[F.col(c).cast("double").alias(f"{name}_{c}") for c in features.columns if c != "voi_id"])
-        rows = rows.join(renamed, "voi_id", "left")
+        rows = rows.join(shuffled(renamed), "voi_id", "left")
     return staged(rows.drop("voi_id"), "features")
 
 
@@ -77,6 +78,6 @@ def run_study(
 ) -> tuple[DataFrame, DataFrame]:
     """The comparison of the two groups and the description of each, from VOI index and voxels."""
     found = staged(indexed_volumes(index, keys, volumes), "index")
-    studied = voxels.join(found.select("voi_id"), "voi_id", "left_semi")
+    studied = voxels.join(shuffled(found.select("voi_id")), "voi_id", "left_semi")
     rows = staged(study_rows(feature_table(found, feature_families(studied, volumes, options)), options), "study")
     return rad.compare_groups(rows, *options.groups), rad.describe_groups(rows)

@@ -18,6 +18,7 @@ from cohortspark.plans import cohort_queries as cq
 from cohortspark.plans import series_queries as sq
 from cohortspark.plans import voxel_queries as vq
 from cohortspark.plans.registry import REGISTRY, query
+from cohortspark.scale import shuffled
 from cohortspark.session import staged, staging_path
 from cohortspark.sources import state
 from cohortspark.sources import tables as io
@@ -900,7 +901,7 @@ def _study_long(spark, sf):
     index = cohort.index_vois(table(spark, sf, "file_table"), phase="all")
     volumes = table(spark, sf, "volumes")
     found = staged(study.indexed_volumes(index, _study_keys(spark, sf), volumes), "index")
-    voxels = table(spark, sf, "voxels").join(found.select("voi_id"), "voi_id", "left_semi")
+    voxels = table(spark, sf, "voxels").join(shuffled(found.select("voi_id")), "voi_id", "left_semi")
     families = study.feature_families(voxels, volumes)
     textures = ("glcm", "glrlm", "glszm", "gldm", "ngtdm")
     rounded = {

@@ -5,6 +5,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortspark import scale
+from cohortspark.operators import radiomics as rad
+from cohortspark.operators.study import indexed_volumes
 
 
 def skewed(spark):
@@ -68,3 +70,23 @@ def test_spread_leaves_many_splits_alone(spark):
     assert scale.spread(df).rdd.getNumPartitions() == 16
     assert scale.spread(df.coalesce(5)).rdd.getNumPartitions() == 5
     assert scale.spread(df.coalesce(1)).rdd.getNumPartitions() == 4
+
+
+def test_no_broadcast_of_what_grows(spark):
+    """Tables that look small as files may be large in memory, so these joins never broadcast one."""
+    levels = spark.createDataFrame([(v, x, 0, 0, 1 + x % 2) for v in range(3) for x in range(3)], "voi_id long, x int, y int, z int, level int")
+    roi = levels.select("voi_id", "x", "y", "z", (F.col("level") * 30.0).alias("hu"))
+    volumes = spark.createDataFrame([(v, [1.0, 1.0, 1.0]) for v in range(3)], "voi_id long, spacing array<double>")
+    counts = rad.glcm_counts(levels)
+    made = [
+        counts,
+        rad.discretize(roi),
+        rad.glcm_feature_table(counts, rad.largest_level(levels)),
+        rad.emphasis_features(rad.gldm_counts(levels), "dependence"),
+        rad.ngtdm_features(rad.ngtdm_counts(levels)),
+        rad.firstorder_features(roi, volumes),
+        indexed_volumes(spark.createDataFrame([("m", "a")], "mask_path string, s string"), volumes.select(F.lit("m").alias("mask_path"), "voi_id"), volumes),
+    ]
+    for rows in made:
+        assert "BroadcastHashJoin" not in rows._jdf.queryExecution().sparkPlan().toString()
+    assert rad.glszm_counts(levels).count() == 6
