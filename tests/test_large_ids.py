@@ -24,7 +24,7 @@ def large(tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["assign_case_ids", "case_id_collisions", "manifest_by_partition"])
+@pytest.mark.parametrize("name", ["assign_case_ids", "case_id_collisions", "manifest_by_partition", "label_cells"])
 def test_many_patients(spark, large, name):
     folder, con = large
     ok, message = compare(spark, con, folder, name)
