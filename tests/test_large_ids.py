@@ -29,3 +29,15 @@ def test_many_patients(spark, large, name):
     folder, con = large
     ok, message = compare(spark, con, folder, name)
     assert ok, message
+
+
+def test_roc_halves(spark, tmp_path):
+    """With 16,000 negatives some shares lie halfway between two roundings, such as 1001 / 16000."""
+    con = connect("/root/testdata/sf0.001")
+    con.execute(
+        f"""copy (select i as event_id, timestamp '2024-01-01' as ts, (i % 2 + 1)::bigint as user_id, 'view' as event_type, 1.0 as value, '' as props from range(16000) t(i)
+union all select 16000 + i, timestamp '2024-01-01', 0, 'view', 2.0, '' from range(100) t(i)) to '{tmp_path}/events.parquet' (format parquet)"""
+    )
+    con.execute(f"create or replace view events as select * from '{tmp_path}/events.parquet'")
+    ok, message = compare(spark, con, str(tmp_path), "roc_curve")
+    assert ok, message
