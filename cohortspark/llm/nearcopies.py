@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.llm import simhash
 from cohortspark.llm.common import discard, map_texts, stored
 from cohortspark.llm.links import connected_components
 from cohortspark.llm.ngrams import SpanHasher, mixed, word_hashes
@@ -157,18 +158,35 @@ def components(nodes: DataFrame, sets_of) -> DataFrame:
     raise AssertionError("the last turn returns")
 
 
-def keep_one_copy(df: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = WORDS) -> DataFrame:
+def _with_prints(roots: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
+    """``(node, root)`` over the ties of ``roots`` and those of SimHash fingerprints; ``prints`` are ``(node, bits)``.
+
+    Nodes whose fingerprints are in one component of links of at most ``radius`` bits are tied to the smallest of them.
+    """
+    linked = stored(connected_components(simhash.links(prints.select("bits").distinct(), radius)), "prints")
+    placed = prints.join(linked, prints["bits"] == linked["node"], "left").select(prints["node"], F.coalesce("root", "bits").alias("print"))
+    hubs = placed.groupBy("print").agg(F.min("node").alias("u"), F.max("node").alias("b")).where("u != b").select("print", "u")
+    ties = placed.join(hubs, "print").where("node != u").select("u", F.col("node").alias("v")).distinct()
+    return connected_components(ties.union(roots.select(F.col("root").alias("u"), F.col("node").alias("v"))))
+
+
+def keep_one_copy(df: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = WORDS, radius: int | None = None) -> DataFrame:
     """One row of ``df``, with all its columns, of each group of near copies: the one with the smallest key.
 
     Near copies are tied by an exact Jaccard similarity of 0.8 of their ``words``-word shingles, directly or through others;
-    candidates are texts with a band of ``ROWS`` minima in common.  Texts with equal sets of shingles are one node, so
+    candidates are texts with a band of ``ROWS`` minima in common.  With ``radius``, texts whose fingerprints (see
+    ``simhash.near_duplicates``) differ in at most so many bits are tied too.  Texts with equal sets of shingles are one node, so
     groups of copies cost nothing; null texts and texts without words are one.  A null key comes last; of rows with equal
     key the one with the smallest hash of its text stays, and equal rows count once.  Unlike texts stay whatever their keys.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")  # names of any kind stay apart from those used here
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"), row)
-    fields = "node long, size int, bands array<long>"
-    marks = stored(map_texts(rows, ["key", "hash"], "text", lambda texts: sketches(texts, words), fields), "marks")
+    fields = "node long, size int, bands array<long>, bits long"
+
+    def marked(texts: list) -> list[list]:
+        return [*sketches(texts, words), [simhash.signed_print(t) if radius is not None else None for t in texts]]
+
+    marks = stored(map_texts(rows, ["key", "hash"], "text", marked, fields), "marks")
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "hash")).alias("first")
     nodes = stored(marks.groupBy("node", "size").agg(first, F.first("bands").alias("bands")), "nodes")
 
@@ -179,6 +197,8 @@ def keep_one_copy(df: DataFrame, key: str = "doc_id", text: str = "text", *, wor
         return map_texts(one, ["node"], "text", lambda texts: [[grams(t, words).view(np.int64) for t in texts]], "grams array<long>")
 
     roots = components(nodes.select("node", "size", "bands"), sets_of)
+    if radius is not None:
+        roots = _with_prints(roots, stored(marks.select("node", "bits").distinct(), "prints"), radius)
     placed = nodes.select("node", "first").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = stored(placed.groupBy("root").agg(F.min("first").alias("r")).select(F.col("r.key").alias("kept"), F.col("r.hash").alias("kept_hash")), "kept")
     same = rows["key"].eqNullSafe(kept["kept"]) & (rows["hash"] == kept["kept_hash"])

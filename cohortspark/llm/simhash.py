@@ -49,10 +49,15 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * ones > total).view(np.uint64)[0])
 
 
+def signed_print(text: str | None, words: int = 3) -> int:
+    """The fingerprint as a signed long."""
+    x = fingerprint(text, words)
+    return x - (1 << BITS) if x >= 1 << (BITS - 1) else x
+
+
 def fingerprints(df: DataFrame, carry: list[str], text: str = "text", words: int = 3) -> DataFrame:
     """``carry`` columns and ``bits`` (the fingerprint as a signed long) of every row; no shuffle."""
-    signed = lambda x: x - (1 << BITS) if x >= 1 << (BITS - 1) else x
-    return map_texts(df, carry, text, lambda texts: [[signed(fingerprint(t, words)) for t in texts]], "bits long")
+    return map_texts(df, carry, text, lambda texts: [[signed_print(t, words) for t in texts]], "bits long")
 
 
 def covering_masks(radius: int) -> list[int]:

@@ -36,8 +36,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group with 0.8 of their five-word shingles in common."""
-    return keep_one_copy(docs)
+    """One document, that with the smallest id, of each group of near copies.
+
+    Documents are tied by fingerprints within two bits, found by covering masks as in ``op3_simhash``, or by 0.8 of their
+    five-word shingles in common.
+    """
+    return keep_one_copy(docs, radius=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

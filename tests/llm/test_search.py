@@ -7,6 +7,7 @@ from unittest import mock
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from cohortspark.llm import nearcopies
 from cohortspark.llm.balltree import BallTree, top_k
 from cohortspark.llm.links import connected_components
@@ -189,3 +190,26 @@ def test_near_copies_odd_rows(spark):
     got = sorted((tuple(r) for r in keep_one_copy(df).collect()), key=str)
     assert got == sorted([(None, a), (None, b), (5, "x " + b), (5, "short"), (6, "  ")], key=str)
     assert keep_one_copy(df.limit(0)).count() == 0
+
+
+def test_stage_ties_by_fingerprints_too(spark):
+    """Fingerprints within two bits tie texts of a smaller similarity, also over a copy that only shingles tie."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+    alike = None
+    while alike is None:
+        changed = list(words)
+        for at in rng.choice(np.arange(5, 395, 6), 10, replace=False):
+            changed[at] = f"x{at}"
+        text = " ".join(changed)
+        if (fingerprint(text) ^ fingerprint(" ".join(words))).bit_count() <= 2:
+            alike = changed
+    copy = list(alike)
+    copy[200] = "other"
+    rows = [(1, " ".join(words)), (2, " ".join(alike)), (3, " ".join(copy)), (4, " ".join(words[::-1]))]
+    grams = [set(nearcopies.grams(t).tolist()) for _, t in rows]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    assert jaccard(grams[0], grams[1]) < 0.8 <= jaccard(grams[1], grams[2])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in keep_one_copy(df).collect()) == [1, 2, 4]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [1, 4]
