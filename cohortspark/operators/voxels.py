@@ -434,7 +434,8 @@ def resample_voxels(
     """
     grid = resample_grid(volumes, target).select("voi_id", "nx", "ny", "nz", "mx", "my", "mz", "spacing")
     values = voxels.select("voi_id", *AXES, F.col(value).cast("double").alias("_v"))
-    current = spread_join(values, grid, "voi_id", AXES)
+    # A slice stays in one task, so what its voxels give to one output voxel is added up before the shuffle.
+    current = spread_join(values, grid, "voi_id", ["z"])
     current = current.withColumn("_w", F.lit(1.0)).withColumn("_outside", F.lit(False))
     for i, a in enumerate(AXES):
         step = F.lit(float(target[i])) / F.col("spacing")[i]
