@@ -61,3 +61,12 @@ def test_summary_of_nothing(spark):
     empty = spark.createDataFrame([], "patient_id string, group string, phase string, validation string")
     got = {(r.section, r["item"]): r.n for r in ops.conversion_summary(empty, empty).collect()}
     assert got == {("total", k): 0 for k in ops.SUMMARY_TOTALS}
+
+
+def test_header_values_are_cleaned_in_one_place(spark):
+    """One trim for all values: as columns of their own they make a method that the JVM does not compile."""
+    from cohortspark.plans.catalog import catalog
+
+    rows = catalog()["series_metadata"].run(spark, SF)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("trim(") == 1
+    assert len(rows.columns) == 17 and rows.where("sex = 'M' and DOB is not null and age_at_scan > 0").count() > 0
