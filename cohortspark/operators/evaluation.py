@@ -79,12 +79,9 @@ def binary_rows(predictions: DataFrame, positive: int) -> DataFrame:
 
 
 def _totals(rows: DataFrame) -> DataFrame:
-    # one row per class; classes with only one outcome have no curve
-    return (
-        rows.groupBy("class")
-        .agg(F.sum("positive").alias("n_pos"), (F.count("*") - F.sum("positive")).alias("n_neg"))
-        .where("n_pos > 0 and n_neg > 0")
-    )
+    # One row per class; classes with only one outcome have no curve.  Broadcast, as a join by class would put each into one task.
+    totals = rows.groupBy("class").agg(F.sum("positive").alias("n_pos"), (F.count("*") - F.sum("positive")).alias("n_neg"))
+    return F.broadcast(totals.where("n_pos > 0 and n_neg > 0"))
 
 
 def roc_curve(rows: DataFrame, collapse_ties: bool = False, max_group_rows: int | None = None) -> DataFrame:

@@ -90,3 +90,13 @@ def test_no_broadcast_of_what_grows(spark):
     for rows in made:
         assert "BroadcastHashJoin" not in rows._jdf.queryExecution().sparkPlan().toString()
     assert rad.glszm_counts(levels).count() == 6
+
+
+def test_ranged_parts_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """Parts grow with the rows and stay one to a task, so that what a task sorts does not grow."""
+    monkeypatch.setattr(scale, "TASK_ROWS", 50, raising=False)
+    rows = spark.range(1000).select(F.lit(1).alias("k"), "id")
+    got = scale.running(rows, ["k"], [F.desc("id")], {"n": ("sum", F.lit(1))}, max_group_rows=0)
+    sizes = [len(part) for part in got.rdd.glom().collect()]
+    assert len(sizes) == 20 and max(sizes) < 200
+    assert sorted(tuple(r) for r in got.collect()) == [(1, i, 1000 - i) for i in range(1000)]
