@@ -282,3 +282,15 @@ def test_pairs_take_the_manifest_row_of_their_file(spark):
     assert sorted((r.sample_id.rsplit("/", 1)[1], r.manufacturer) for r in got.collect()) == [
         ("00_case_00001_L", "M3"), ("00_case_00001_R", "M3"), ("01_case_00001_L", "M2"),
     ]
+
+
+def test_file_lists_shuffle_slices_once(spark):
+    files = ["r/x.dcm", "r/a/1.dcm", "r/a/2.dcm", "/t/1", "/u", "lone", "s//y/1", "s//z", "v/w/q/1", "v/2", None]
+    rows = spark.createDataFrame([(f, "u") for f in files], "file string, series_uid string")
+    made = series.series_files(rows)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.directory, r.file, r.position) for r in made.collect()) == [
+        ("/t", "/t/1", 1), ("lone", "lone", 1), ("r/a", "r/a/1.dcm", 1), ("r/a", "r/a/2.dcm", 2), ("s//y", "s//y/1", 1), ("v/w/q", "v/w/q/1", 1),
+    ]
+    # the other two are of folders above others, combined before their shuffle
+    assert plan.count("Exchange hashpartitioning") <= 3

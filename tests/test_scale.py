@@ -100,3 +100,11 @@ def test_ranged_parts_hold_a_bounded_number_of_rows(spark, monkeypatch):
     sizes = [len(part) for part in got.rdd.glom().collect()]
     assert len(sizes) == 20 and max(sizes) < 200
     assert sorted(tuple(r) for r in got.collect()) == [(1, i, 1000 - i) for i in range(1000)]
+
+
+def test_group_bound(spark):
+    rows = skewed(spark)
+    largest = rows.groupBy("k").count().agg(F.max("count")).first()[0]
+    assert largest <= scale.group_bound(rows, ["k"]) <= rows.count()
+    assert scale.group_bound(rows, ["k"], enough=10) == largest
+    assert scale.group_bound(rows.where("false"), ["k"]) == 0
