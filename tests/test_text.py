@@ -151,3 +151,12 @@ def test_fingerprint_versions(spark):
     assert tuple(apply(spark, stats, [named])[0]) == (1.0, 2.0, 3.0, 4.0, 5.0)
     with pytest.raises(Exception, match="fingerprint has no"):
         apply(spark, stats, ['{"mean": 1}'])
+
+
+def test_sanitized_once(spark):
+    """The patterns run once for an id, not once to look for a blank and once for the value."""
+    rows = spark.createDataFrame([("a b",), ("__.",), ("",), (None,), ("_x..y_",)], "c string")
+    made = rows.select("c", text.sanitize_id(F.col("c")).alias("s"))
+    assert [r.s for r in made.collect()] == ["a_b", "UNKNOWN", "UNKNOWN", "UNKNOWN", "x..y"]
+    nested = spark.createDataFrame([(["a b"],)], "c array<string>").select(F.transform("c", text.sanitize_id).alias("s"))
+    assert nested._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
